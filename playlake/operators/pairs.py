@@ -77,11 +77,10 @@ def sample_pairs(df: DataFrame, key: str, label: str, vec: str, n_pairs: int, sa
 
 def _class_pairs(samples: DataFrame, label: str) -> DataFrame:
     # Every sample row is sent to each class pair it belongs to.  The class
-    # list is one row (bounded by the number of classes) and broadcast.
-    classes = samples.agg(F.array_sort(F.collect_set(label)).alias("_classes"))
-    s = samples.withColumn("_one", F.lit(1)) \
-               .join(F.broadcast(classes.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    s = s.select("*", F.explode("_classes").alias("_other")).drop("_classes")
+    # list (bounded by the number of classes) is a scalar subquery: computed
+    # once, no join.
+    classes = samples.agg(F.array_sort(F.collect_set(label)).alias("_classes")).scalar()
+    s = samples.select("*", F.explode(classes).alias("_other"))
     lo, hi = F.least(F.col(label), F.col("_other")), F.greatest(F.col(label), F.col("_other"))
     return s.select(lo.alias("class_i"), hi.alias("class_j"),
                     (F.col(label) == lo).alias("_is_i"), (F.col(label) == hi).alias("_is_j"), "*")

@@ -143,12 +143,13 @@ def exact_quantiles(df: DataFrame, value: str, group: str | None, probs, names=N
 
 def histogram(df: DataFrame, value: str, series: str | None = None, bins: int = 50) -> DataFrame:
     """Density histogram with ``bins`` equal bins over each series' own range."""
-    if series is None:
-        df, series = df.withColumn("_series", F.lit(1)), "_series"
-    gcols = [series]
-    rng = df.groupBy(*gcols).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                 F.count(value).alias("_n"))
-    j = df.select(*gcols, value).join(rng, gcols)
+    gcols = [series] if series else []
+    stats = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")]
+    if gcols:
+        j = df.select(*gcols, value).join(df.groupBy(*gcols).agg(*stats), gcols)
+    else:
+        r = df.agg(*stats).select(F.struct("_lo", "_hi", "_n").alias("_r")).scalar()
+        j = df.select(value).withColumns({"_lo": r["_lo"], "_hi": r["_hi"], "_n": r["_n"]})
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / width).cast("bigint") + 1, F.lit(bins))
     b = F.when(width == 0, F.lit(1)).otherwise(b)

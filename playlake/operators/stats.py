@@ -75,8 +75,9 @@ def distance_report(a: DataFrame, b: DataFrame, col: str = "distance", alpha: fl
     ab = tagged(a, b, col)
     s = t_statistic(two_sample_summary(ab))
     u = mann_whitney(ab)
-    # both sides are single rows
-    r = s.withColumn("_k", F.lit(1)).join(F.broadcast(u.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    # the rank statistics are one row: attached as a scalar subquery
+    us = u.select(F.struct("u_stat", "tie_term").alias("_u")).scalar()
+    r = s.withColumn("u_stat", us["u_stat"]).withColumn("tie_term", us["tie_term"])
     n1, n2 = F.col("n_1").cast("double"), F.col("n_2").cast("double")
     mu = n1 * n2 / 2.0
     nn = n1 + n2
