@@ -87,3 +87,15 @@ def test_jagged_csv_with_quoted_newline(spark, tmp_path):
     p.write_text('a,b,c\n1,"two\nlines",3\n4,5\n')
     rows = read_raw_csv(spark, str(p), ["a", "b", "c"]).collect()
     assert [tuple(r) for r in rows] == [("1", "two\nlines", "3"), ("4", "5", None)]
+
+
+def test_streaming_landing_load(spark, raw, tmp_path):
+    from playlake.streaming.monthly import load_landing
+    from playlake.sources.files import write_csv
+    landing, table, ckpt = str(tmp_path / "landing"), str(tmp_path / "facts"), str(tmp_path / "ckpt")
+    write_csv(raw.coalesce(1), landing)
+    load_landing(spark, landing, COLS, table, ckpt)
+    facts = spark.read.parquet(table)
+    assert sorted(r.at_bat_number for r in facts.collect()) == [1, 4, 5, 6]
+    load_landing(spark, landing, COLS, table, ckpt)  # nothing new: no change
+    assert spark.read.parquet(table).count() == 4
