@@ -99,3 +99,28 @@ def test_streaming_landing_load(spark, raw, tmp_path):
     assert sorted(r.at_bat_number for r in facts.collect()) == [1, 4, 5, 6]
     load_landing(spark, landing, COLS, table, ckpt)  # nothing new: no change
     assert spark.read.parquet(table).count() == 4
+
+
+def test_season_batting_stats(spark):
+    from playlake.plans.players import season_batting_stats
+    pitch = "array<struct<pitch_number:bigint, bat_score:bigint, post_bat_score:bigint, woba_value:double, woba_denom:bigint, launch_speed:double>>"
+    rows = [
+        (7, "2023-05-01", "Bot", "H", "A", "single", [(1, 0, 0, None, None, None), (2, 0, 0, 0.9, 1, 100.0)]),
+        (7, "2023-05-01", "Bot", "H", "A", "home_run", [(1, 0, 1, 2.0, 1, 110.0)]),
+        (7, "2023-05-02", "Bot", "H", "A", "walk", [(1, 1, 1, 0.7, 1, None)]),
+        (7, "2023-05-02", "Bot", "H", "A", "strikeout", [(1, 1, 1, 0.0, 1, None)]),
+        (7, "2023-05-03", "Top", "H", "A", "sac_fly", [(1, 1, 2, 0.0, 1, 90.0)]),
+        (7, "2024-04-01", "Top", "H", "A", "double", [(1, 0, 0, 1.2, 1, 105.0)]),
+    ]
+    df = spark.createDataFrame(rows, f"batter long, game_date string, inning_topbot string, home_team string, "
+                                     f"away_team string, events string, pitches {pitch}") \
+        .withColumn("game_date", F.to_date("game_date"))
+    r = season_batting_stats(df).collect()
+    assert len(r) == 1
+    s2023, s2024 = r[0].seasonal_stats
+    assert (s2023.season_year, s2023.team, s2023.plate_apperances, s2023.atbats) == (2023, "H", 5, 3)
+    assert (s2023.hits, s2023.home_runs, s2023.rbi) == (2, 1, 2)
+    assert abs(s2023.batting_avg - 2 / 3) < 1e-12 and abs(s2023.obp - 3 / 5) < 1e-12
+    assert abs(s2023.slg - 5 / 3) < 1e-12 and abs(s2023.ops - (3 / 5 + 5 / 3)) < 1e-12
+    assert abs(s2023.woba - 3.6 / 5) < 1e-12 and abs(s2023.avg_exit_vel - 100.0) < 1e-12
+    assert (s2024.team, s2024.hits) == ("A", 1)
