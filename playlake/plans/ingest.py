@@ -168,7 +168,8 @@ def ingest(spark: SparkSession, raw: DataFrame, table_path: str, plan: DataFrame
     facts = facts.withColumn(spec.partition_col, F.col(spec.date_col)) if spec.partition_col != spec.date_col else facts
     out = facts.repartition(spec.partition_col)
     if FS.table_path_exists(spark, table_path):
-        out.write.mode("overwrite").partitionBy(spec.partition_col).parquet(table_path)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(spec.partition_col).parquet(table_path))
     else:
         out.write.mode("errorifexists").partitionBy(spec.partition_col).parquet(table_path)
     loaded = spark.read.parquet(table_path)

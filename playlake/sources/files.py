@@ -88,7 +88,8 @@ def write_disposition(df: DataFrame, path: str, disposition: str = "WRITE_TRUNCA
     """
     w = df.write.mode(WRITE_MODES[disposition])
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # set on the writer so it holds whatever the session default is
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
