@@ -160,3 +160,36 @@ def a14_write_once_cache(spark, sf):
 
     S.write_once_cache(spark, path, build)
     return S.write_once_cache(spark, path, lambda: (_ for _ in ()).throw(AssertionError("rebuilt")))
+
+
+@register("a8_create_database", """
+SELECT CAST(count(*) AS BIGINT) AS n, true AS database_exists, true AS second_create_failed FROM orders
+""")
+def a8_create_database(spark, sf):
+    import uuid
+    db = f"playlake_{uuid.uuid4().hex[:8]}"
+    C.create_database(spark, db, location=scratch_path(spark, "a8_db"))
+    try:
+        C.create_database(spark, db)
+        failed = False
+    except ValueError:
+        failed = True
+    read_table(spark, sf, "orders").write.option("path", scratch_path(spark, "a8_t")).saveAsTable(f"{db}.orders_copy")
+    return spark.table(f"{db}.orders_copy").agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.lit(C.database_exists(spark, db)).alias("database_exists"), F.lit(failed).alias("second_create_failed"))
+
+
+@register("a9_table_exists", """
+SELECT 'orders_copy' AS table_name, true AS table_exists, CAST(count(*) AS BIGINT) AS n FROM orders
+UNION ALL SELECT 'never_created', false, CAST(0 AS BIGINT)
+""")
+def a9_table_exists(spark, sf):
+    import uuid
+    db = f"playlake_{uuid.uuid4().hex[:8]}"
+    C.create_database(spark, db, location=scratch_path(spark, "a9_db"))
+    read_table(spark, sf, "orders").write.option("path", scratch_path(spark, "a9_t")).saveAsTable(f"{db}.orders_copy")
+    have = spark.table(f"{db}.orders_copy").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("orders_copy").alias("table_name"), F.lit(C.table_exists(spark, f"{db}.orders_copy")).alias("table_exists"), "n")
+    missing = spark.createDataFrame([("never_created", C.table_exists(spark, f"{db}.never_created"), 0)],
+                                    "table_name string, table_exists boolean, n bigint")
+    return have.unionByName(missing)
