@@ -31,9 +31,19 @@ LINEITEM_SPEC = IG.IngestSpec(
 )
 
 
+_LANDING: dict = {}
+
+
 def _raw_feed(spark, sf):
-    path = scratch_path(spark, "k_raw_csv")
-    S.write_csv(read_table(spark, sf, "lineitem"), path)
+    # The raw landing folder is written once per (session checkpoint folder,
+    # table folder) and then read like a feed drop.
+    from ..session import ensure_checkpoint_dir
+    key = (ensure_checkpoint_dir(spark), sf)
+    path = _LANDING.get(key)
+    if path is None or not S.table_path_exists(spark, path):
+        path = scratch_path(spark, "k_raw_csv")
+        S.write_csv(read_table(spark, sf, "lineitem"), path)
+        _LANDING[key] = path
     return S.read_raw_csv(spark, path)
 
 
