@@ -47,3 +47,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def evaluated(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``column`` renamed to ``name`` and computed once a row.
+
+    Spark copies an expression into each place that uses it, also into a
+    lambda, where it would run again for each element; an expression is not
+    moved past a generator.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.array(F.col(column))).alias(name))
