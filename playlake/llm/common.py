@@ -58,3 +58,16 @@ def evaluated(df: DataFrame, column: str, name: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.explode(F.array(F.col(column))).alias(name))
+
+
+# Most row keys (16 bytes each) that are broadcast to pick rows; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def pick_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` with (``left_semi``) or without (``left_anti``) one of ``keys``, by k1 and k2.
+
+    Few keys, by a count of them, go to the rows, and no text is moved.
+    """
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, ["k1", "k2"], how)
