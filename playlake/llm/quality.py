@@ -16,9 +16,11 @@ ARROW_ROWS = 500
 # Most labelled documents used: their ids (8 bytes) are broadcast; a hash of the id picks them if there are more.
 MAX_LABELLED = 1_000_000
 # One in so many trusted documents sets the thresholds and is not trained on.
-HOLD_OUT = 10
+HOLD_OUT = 5
 # Languages with fewer held-out documents take the quantiles of all languages together.
 MIN_HELD_OUT = 20
+# Distances of the quartiles by which a threshold lies outside them at least.
+FENCE = 3.0
 # n-grams a scoring task holds at once (about 120 bytes each); more are scored shard by shard.
 SHARD_GRAMS = 1_500_000
 # Distinct words a task holds.
@@ -180,10 +182,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
 
     Trusted are the documents that ``labels`` (doc_id, quality, toxic) calls
     good and not toxic, at most about ``max_labelled`` of them; repeated
-    labels must agree.  Nine in ten train an interpolated modified
+    labels must agree.  Four in five train an interpolated modified
     Kneser-Ney model of character ``order``-grams inside words (white space
-    ends a word); the tenth sets, for each language, the quantiles ``low``
-    and ``high`` between which perplexities are accepted.  All different
+    ends a word); the fifth sets, for each language, the quantiles
+    between which perplexities are accepted (:func:`thresholds`).  All different
     n-grams of the corpus are gathered, joined with the model's counts once
     each, and dealt back to the documents in shards of bounded size.
 
@@ -213,12 +215,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
 
 
 def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """(lang, lo, hi) of the languages of ``scores``, and one row with every = true for all others."""
-    s = scores.where("perplexity IS NOT NULL")
-    q = [F.percentile_approx("perplexity", F.lit(x), F.lit(10_000)).alias(name) for x, name in ((low, "lo"), (high, "hi"))]
-    own = s.groupBy("lang").agg(*q, F.count("*").alias("m")).where(F.col("m") >= MIN_HELD_OUT)
-    return (own.select("lang", "lo", "hi", F.lit(False).alias("every"))
-            .unionByName(s.agg(*q).select(F.lit(None).cast("string").alias("lang"), "lo", "hi", F.lit(True).alias("every"))))
+    """(lang, lo, hi) of the languages of ``scores``, and one row with every = true for all others.
+
+    The quantiles ``low`` and ``high`` of the logarithms, or the quartiles
+    moved out by ``FENCE`` times their distance if that is farther: a few
+    documents don't tell the outer quantiles.
+    """
+    s = scores.where("perplexity IS NOT NULL").withColumn("x", F.log("perplexity"))
+    q = F.percentile_approx("x", F.array(*[F.lit(x) for x in (low, 0.25, 0.75, high)]), F.lit(10_000)).alias("q")
+    own = s.groupBy("lang").agg(q, F.count("*").alias("m")).where(F.col("m") >= MIN_HELD_OUT)
+    rows = (own.select("lang", "q", F.lit(False).alias("every"))
+            .unionByName(s.agg(q).select(F.lit(None).cast("string").alias("lang"), "q", F.lit(True).alias("every"))))
+    margin = FENCE * (F.col("q")[2] - F.col("q")[1])
+    return rows.select("lang", F.exp(F.least(F.col("q")[0], F.col("q")[1] - margin)).alias("lo"),
+                       F.exp(F.greatest(F.col("q")[3], F.col("q")[2] + margin)).alias("hi"), "every")
 
 
 def _judged(scores: DataFrame, bounds: DataFrame) -> DataFrame:
