@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, saved
+from .common import arrow_rows, non_empty, saved
 from .words import BASE_A, mixed
 
 ARROW_ROWS = 4000
@@ -147,7 +147,7 @@ def _index(model):
                 codes = np.floor(_places(_matrix(pdf["vec"]), model.value)).astype(np.int64)
                 yield pd.concat([pd.DataFrame({"bucket": _keys(codes[t], t), "id": pdf["id"], "vec": pdf["vec"]})
                                  for t in range(len(codes))])
-    return run
+    return non_empty(run)
 
 
 def _probes(model, probes: int):
@@ -162,7 +162,7 @@ def _probes(model, probes: int):
                         keys = _keys(probe_order(place[t, j], probes), t)
                         out.append(pd.DataFrame({"bucket": keys, "id": query, "vec": [vec] * len(keys)}))
                 yield pd.concat(out)
-    return run
+    return non_empty(run)
 
 
 def _search(k: int):
@@ -188,7 +188,7 @@ def _search(k: int):
                     for i, (at, d2) in enumerate(_nearest(x, ids, q, mine, k)):
                         best.add(own[i], ids[at], d2)
         yield best.rows()
-    return run
+    return non_empty(run)
 
 
 def _scan(block, k: int):
@@ -203,7 +203,7 @@ def _scan(block, k: int):
                     for j, (at, d2) in enumerate(_nearest(x, ids, q[i:i + 64], own[i:i + 64], k)):
                         best.add(int(own[i + j]), ids[at], d2)
         yield best.rows()
-    return run
+    return non_empty(run)
 
 
 RESULT = "query_id long, vec_id long, score double"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +75,13 @@ def pick_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """
     small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if small else keys, ["k1", "k2"], how)
+
+
+def non_empty(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """``run`` without the frames that have no rows: Arrow cannot always tell their types."""
+    @wraps(run)
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in run(batches):
+            if len(pdf):
+                yield pdf
+    return only

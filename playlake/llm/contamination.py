@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_rows, row_keys, saved
+from .common import arrow_rows, non_empty, row_keys, saved
 
 ARROW_ROWS = 500
 # Most test terms that tasks hold as a dictionary (about 100 bytes each); beyond it all terms are indexed and joined.
@@ -26,6 +26,7 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
+@non_empty
 def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"item": pdf["item"], "words": [[w.decode("utf-8", "surrogatepass") for w in tokens(t)]
@@ -61,7 +62,7 @@ def _statistics(vocabulary):
                 rest.clear()
         if index or rest:
             yield flush()
-    return run
+    return non_empty(run)
 
 
 def _postings(vocabulary):
@@ -85,7 +86,7 @@ def _postings(vocabulary):
                 k1 += [a] * len(found)
                 k2 += [b] * len(found)
             yield pd.DataFrame({"term": terms, "k1": k1, "k2": k2, "positions": positions})
-    return run
+    return non_empty(run)
 
 
 def _dictionary(terms: DataFrame):
@@ -130,6 +131,7 @@ def _rarest(windows: DataFrame, frequency: DataFrame, k: int) -> DataFrame:
     return w.select("row", "start", "offset", "term")
 
 
+@non_empty
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Compare candidates with the text, word by word."""
     for pdf in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, row_keys, saved
+from .common import arrow_rows, non_empty, row_keys, saved
 from .graph import connected_components
 from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 
@@ -74,7 +74,7 @@ def _signatures(words: int, bands: int, bins: int):
                 keys.append(band_keys(signature(s, bands * bins), bands) if len(s) else np.empty(0, np.int64))
             yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "k2": pdf["k2"], "n": n, "c1": c1, "c2": c2,
                                 "bands": keys})
-    return run
+    return non_empty(run)
 
 
 def _sets(words: int):
@@ -83,7 +83,7 @@ def _sets(words: int):
         for pdf in batches:
             yield pd.DataFrame({"cid": pdf["cid"], "shingles": [
                 shingle_set(t, words, hashes).view(np.int64) for t in pdf["text"]]})
-    return run
+    return non_empty(run)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, row_keys, saved
+from .common import arrow_rows, non_empty, row_keys, saved
 
 ARROW_ROWS = 500
 # Most labelled documents used: their ids (8 bytes) are broadcast; a hash of the id picks them if there are more.
@@ -55,7 +55,7 @@ def _gram_counts(n: int, distinct: bool):
                 if len(words) > MAX_WORDS:
                     yield flush()
         yield flush()
-    return run
+    return non_empty(run)
 
 
 def kneser_ney(counts: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame]]:
@@ -136,7 +136,7 @@ def _partial_scores(table, n: int):
                 chars.append(size)
             yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "k2": pdf["k2"], "lang": pdf["lang"], "n": chars,
                                 "logp": sums})
-    return run
+    return non_empty(run)
 
 
 def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SHARD_GRAMS) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick_rows, row_keys, saved
+from .common import arrow_rows, non_empty, pick_rows, row_keys, saved
 from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 
 ARROW_ROWS = 500
@@ -52,7 +52,7 @@ def _seeds(n: int):
                 left = np.where(to_left >= 0, wide[np.maximum(to_left, 0)], np.uint64(0))
                 rows.append((k1, k2, at.astype(np.int32), _signed(short[at]), _signed(right), _signed(left)))
             yield pd.DataFrame(rows, columns=["k1", "k2", "at", "short", "rgt", "lft"])
-    return run
+    return non_empty(run)
 
 
 def _long_windows(n: int):
@@ -76,7 +76,7 @@ def _long_windows(n: int):
                 rows.append((k1, k2, start.astype(np.int32), _signed(windows(h, n)[start]),
                              _signed(windows(mixed(h), n, BASE_B)[start])))
             yield pd.DataFrame(rows, columns=["k1", "k2", "start", "a", "b"])
-    return run
+    return non_empty(run)
 
 
 def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
@@ -135,7 +135,7 @@ def _cut(n: int, with_text: bool):
                             rest.decode("utf-8", "surrogatepass") if with_text else None))
             o = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
             yield pd.concat([pdf[["id", "k1", "k2"]].reset_index(drop=True), o], axis=1)
-    return run
+    return non_empty(run)
 
 
 def dedup_substrings(docs: DataFrame, n: int = 50, with_text: bool = True, id_col: str = "doc_id",

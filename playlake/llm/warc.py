@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, evaluated, saved, scratch_path
+from .common import arrow_rows, evaluated, non_empty, saved, scratch_path
 
 ARROW_ROWS = 500
 CHUNK_BYTES = 64 * 1024
@@ -131,7 +131,7 @@ def _writer(folder: str, date: str, file_bytes: int):
             archive.out.close()
         yield pd.DataFrame({"file": [f for f, _ in done], "records": [a.records for _, a in done],
                             "bytes": [a.bytes for _, a in done]})
-    return run
+    return non_empty(run)
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z",
@@ -243,7 +243,7 @@ def _reader(chunk_bytes: int, with_data: bool):
                         yield pd.DataFrame(rows, columns=names)
                         rows, held = [], 0
         yield pd.DataFrame(rows, columns=names)
-    return run
+    return non_empty(run)
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, chunk_bytes: int = CHUNK_BYTES,
