@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_rat
     level = ((total - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / (F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     s = s.withColumn("level", level).withColumn("full", F.col("fill") <= F.col("level"))
-    open_level = F.min(F.when(~F.col("full"), F.col("level"))).over(everyone)
+    # past the first source that is not full the levels fall
+    open_level = F.max(F.when(~F.col("full"), F.col("level"))).over(everyone)
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * open_level)
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return s.select("source", "source_size", target.alias("target"), rate.alias("rate"))

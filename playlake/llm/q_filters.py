@@ -52,7 +52,7 @@ l AS (
 t AS (
   SELECT source, source_size,
          CASE WHEN fill <= level THEN cap
-              ELSE w * min(CASE WHEN fill > level THEN level END) OVER () END AS target
+              ELSE w * max(CASE WHEN fill > level THEN level END) OVER () END AS target
   FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
