@@ -24,10 +24,12 @@ CONTEXT_CHARS = 64
 # What a mention must look like to be taken for a kind, apart from its contexts.
 SHAPES = {
     "email": r"\A[^@]+@[^@]+\z",
-    "ip": r"\A(?:[0-9]{1,3}[.:]){2,}[0-9]{1,5}\z|\A(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}\z",
+    "ip": r"\A(?:[0-9]{1,3}[.:]){2,7}[0-9]{1,5}\z|\A(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}\z",
     "card": r"\A(?:[0-9][ -]?){11,18}[0-9]\z",
     "phone": r"\A[(]?[0-9](?:[().-]?[0-9]){6,14}\z",
 }
+# No identifier of these kinds is longer.
+MAX_IDENTIFIER = 128
 # A pattern is trusted with so many different seeds and this score; an identifier with this one.
 MIN_SEEDS, MIN_PATTERN, MIN_IDENTIFIER, ROUNDS = 3, 0.75, 0.75, 3
 
@@ -92,6 +94,7 @@ def _matches(docs: DataFrame) -> DataFrame:
 
 def _candidates(mentions: DataFrame, base: DataFrame) -> DataFrame:
     """Mentions without outer punctuation, away from all base spans, once for each kind whose shape they have."""
+    mentions = mentions.where(F.length("value") <= MAX_IDENTIFIER)
     lead = F.length(F.regexp_extract("value", r"\A[^A-Za-z0-9(]*", 0))
     trail = F.length(F.regexp_extract("value", r"[^A-Za-z0-9]*\z", 0))
     m = mentions.select("*", lead.alias("lead"), trail.alias("trail")).where("lead + trail < length(value)")
