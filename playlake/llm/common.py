@@ -85,3 +85,13 @@ def non_empty(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
             if len(pdf):
                 yield pdf
     return only
+
+
+def filter_rows(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with or without the rows that ``keys`` (k1, k2) name; see :func:`pick_rows`."""
+    a, b = free_name(docs, "row_k1"), free_name(docs, "row_k2")
+    k1, k2 = row_keys(docs[id_col], docs[text_col])
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    named = keys.select(F.col("k1").alias(a), F.col("k2").alias(b))
+    rows = docs.select("*", k1.alias(a), k2.alias(b))
+    return rows.join(F.broadcast(named) if small else named, [a, b], how).select(*docs.columns)
