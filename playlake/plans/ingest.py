@@ -1,14 +1,14 @@
 """Incremental monthly ingestion (K1-K4): raw feed -> clean -> nest -> load.
 
 The per-month process pool of a shell-driven loader becomes ONE Spark job
-over all planned months: months are a column, the facts table is
-partitioned by date, and dynamic partition overwrite makes re-runs
-idempotent.  The plan (which months to ingest or skip) is itself a
+over all planned months: months are a column and the facts table is
+partitioned by date.  The plan (which months to ingest or skip) is itself a
 DataFrame computed with an anti-join against the loaded table.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,27 +151,98 @@ def nest(clean_df: DataFrame, spec: IngestSpec = PITCH_SPEC, with_reason: bool =
 
 
 # ------------------------------------------------------------------ K2/K3
+ACTIONS = ("ingest", "append", "replace", "skip")
+
+
+def planned(plan: DataFrame) -> dict:
+    """Months of each action, ``{action: [first days]}`` (a calendar list); an unknown action is an error."""
+    by: dict = {a: [] for a in ACTIONS}
+    for r in plan.select("month_start", "action").collect():
+        if r["action"] not in by:
+            raise ValueError(f"unknown action {r['action']!r} for {r['month_start']}")
+        by[r["action"]].append(r["month_start"])
+    return by
+
+
+def _in_months(col: str, months: list):
+    """A condition on a date column that prunes partitions: one range per month."""
+    cond = F.lit(False)
+    for m in sorted(months):
+        after = (m.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+        cond = cond | ((F.col(col) >= F.lit(m)) & (F.col(col) < F.lit(after)))
+    return cond
+
+
+def _drop_partitions(spark: SparkSession, table_path: str, col: str, values: list) -> None:
+    """Remove the folders of partition values (dates, so names need no escaping)."""
+    for v in values:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{col}={v}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ingest(spark: SparkSession, raw: DataFrame, table_path: str, plan: DataFrame,
            spec: IngestSpec = PITCH_SPEC) -> DataFrame:
     """Clean + nest the raw rows of the planned months and load them.
 
-    Months with action ``ingest``/``replace`` are written with dynamic
-    partition overwrite (idempotent), ``append`` months appended.  Returns
-    the per-month tally (rows loaded), computed from the written table.
+    ``ingest`` and ``append`` months are appended to what the table holds;
+    a ``replace`` month is overwritten as a whole: days that the feed no
+    longer has go too.  ``skip`` months are not read.  Rows of one day are
+    dealt to as many tasks as their size asks for.  Returns the report of
+    :func:`ingest_report`, counted over the planned months only.
+    """
+    by = planned(plan)
+    col = spec.partition_col
+
+    def facts(months: list) -> DataFrame:
+        cleaned, _ = clean(raw, spec)
+        out = nest(cleaned.where(_in_months(spec.date_col, months)), spec)
+        out = out.withColumn(col, F.col(spec.date_col)) if col != spec.date_col else out
+        return out.hint("rebalance", col)
+
+    there = FS.table_path_exists(spark, table_path)
+    add = by["ingest"] + by["append"]
+    if add or not there:
+        facts(add).write.mode("append").partitionBy(col).parquet(table_path)
+    if by["replace"]:
+        had = [r[0] for r in spark.read.parquet(table_path).where(_in_months(col, by["replace"]))
+               .select(col).distinct().collect()] if there else []
+        new = facts(by["replace"])
+        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(table_path))
+        # days written just now are those of the feed; the others of these months are stale
+        fed = {r[0] for r in facts(by["replace"]).select(col).distinct().collect()}
+        _drop_partitions(spark, table_path, col, [v for v in had if v not in fed])
+    return ingest_report(spark, table_path, plan, col)
+
+
+def ingest_report(spark: SparkSession, table_path: str, plan: DataFrame, partition_col: str) -> DataFrame:
+    """month_start, action, existing (rows before), sequences (rows now) and status of each planned month.
+
+    ``loaded``; ``skipped``; ``failed`` if the month was to be loaded and the
+    table holds nothing (more) of it.  Reads the planned months' partitions.
     """
-    todo = plan.where(F.col("action") != "skip").select("month_start", "action")
-    cleaned, _ = clean(raw, spec)
-    cleaned = cleaned.withColumn("month_start", F.trunc(spec.date_col, "month"))
-    # The plan has one row per requested month (a bounded calendar list).
-    cleaned = cleaned.join(F.broadcast(todo), "month_start", "left_semi").drop("month_start")
-    facts = nest(cleaned, spec)
-    facts = facts.withColumn(spec.partition_col, F.col(spec.date_col)) if spec.partition_col != spec.date_col else facts
-    out = facts.repartition(spec.partition_col)
-    if FS.table_path_exists(spark, table_path):
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(spec.partition_col).parquet(table_path))
-    else:
-        out.write.mode("errorifexists").partitionBy(spec.partition_col).parquet(table_path)
-    loaded = spark.read.parquet(table_path)
-    return loaded.groupBy(F.trunc(spec.partition_col, "month").alias("month_start")) \
-                 .agg(F.count(F.lit(1)).alias("sequences"))
+    months = [m for ms in planned(plan).values() for m in ms]
+    t = spark.read.parquet(table_path).where(_in_months(partition_col, months))
+    now = t.groupBy(F.trunc(F.to_date(partition_col), "month").alias("month_start")) \
+           .agg(F.count(F.lit(1)).alias("sequences"))
+    out = plan.join(now, "month_start", "left").withColumn("sequences", F.coalesce("sequences", F.lit(0)).cast("bigint"))
+    gained = F.when(F.col("action") == "append", F.col("sequences") > F.col("existing")).otherwise(F.col("sequences") > 0)
+    status = F.when(F.col("action") == "skip", "skipped").when(gained, "loaded").otherwise("failed")
+    return out.select("month_start", "action", "existing", "sequences", status.alias("status"))
+
+
+# ------------------------------------------------------------------ landing
+def write_landing(df: DataFrame, path: str, date_col: str) -> None:
+    """Raw CSV files of a feed, one folder per month (``landing_month=YYYY-MM-01``)."""
+    month = F.trunc(F.to_date(date_col), "month")
+    (df.withColumn("landing_month", month).write.partitionBy("landing_month").option("header", True)
+     .option("quote", '"').option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+
+
+def read_landing(spark: SparkSession, path: str, plan: DataFrame, columns: list) -> DataFrame:
+    """The raw rows of the months that ``plan`` loads; other folders are not opened."""
+    by = planned(plan)
+    months = by["ingest"] + by["append"] + by["replace"]
+    folders = [f for f in (f"{path}/landing_month={m}" for m in sorted(months)) if FS.table_path_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], S.raw_string_schema(columns))
+    return FS.read_raw_csv(spark, folders, columns)

@@ -31,22 +31,6 @@ LINEITEM_SPEC = IG.IngestSpec(
 )
 
 
-_LANDING: dict = {}
-
-
-def _raw_feed(spark, sf):
-    # The raw landing folder is written once per (session checkpoint folder,
-    # table folder) and then read like a feed drop.
-    from ..session import ensure_checkpoint_dir
-    key = (ensure_checkpoint_dir(spark), sf)
-    path = _LANDING.get(key)
-    if path is None or not S.table_path_exists(spark, path):
-        path = scratch_path(spark, "k_raw_csv")
-        S.write_csv(read_table(spark, sf, "lineitem"), path)
-        _LANDING[key] = path
-    return S.read_raw_csv(spark, path)
-
-
 @register("k1_plan_months", """
 WITH m AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)),
                                                INTERVAL 1 MONTH)) AS DATE) AS month_start FROM orders),
@@ -60,47 +44,93 @@ def k1_plan_months(spark, sf):
     return IG.plan_months(months, read_table(spark, sf, "lineitem"), "l_shipdate", on_existing="skip")
 
 
-_TALLY_SQL = """
-WITH r AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{s}' AND l_shipdate < TIMESTAMP '{e}'),
-g AS (SELECT l_orderkey, arg_max(l_shipdate, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS d
-      FROM r GROUP BY l_orderkey)
-SELECT CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(count(*) AS BIGINT) AS sequences FROM g GROUP BY 1
+# Sequences of a set of feed rows, by month; header values come from the last row of a sequence.
+_SEQUENCES = """
+g AS (SELECT feed, l_orderkey, arg_max(l_shipdate, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS d
+      FROM r GROUP BY ALL),
+n AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(count(*) AS BIGINT) AS sequences FROM g GROUP BY 1),
+m AS (SELECT CAST(unnest(generate_series(DATE '{s}', DATE '{e}', INTERVAL 1 MONTH)) AS DATE) AS month_start)
+"""
+_ROWS = "SELECT {feed} AS feed, * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{s}' AND l_shipdate < DATE '{e}' + INTERVAL 1 MONTH"
+_FIRST_LOAD = """
+SELECT m.month_start, 'ingest' AS action, CAST(0 AS BIGINT) AS existing, coalesce(sequences, 0) AS sequences,
+       CASE WHEN sequences > 0 THEN 'loaded' ELSE 'failed' END AS status
+FROM m LEFT JOIN n USING (month_start)
 """
 
 
-def _ingest(spark, sf, start, end, on_existing="skip", twice=False):
-    table = scratch_path(spark, "k_facts")
-    raw = _raw_feed(spark, sf)
-    months = IG.month_series(spark, start, end)
-    empty = spark.createDataFrame([], "ship_date date")
+def _first_load_sql(s, e):
+    return "WITH r AS (" + _ROWS.format(feed=1, s=s, e=e) + ")," + _SEQUENCES.format(s=s, e=e) + _FIRST_LOAD
 
-    def current():
-        return spark.read.parquet(table) if S.table_path_exists(spark, table) else empty
 
-    plan = IG.plan_months(months, current(), "ship_date", on_existing)
-    tally = IG.ingest(spark, raw, table, plan, LINEITEM_SPEC)
-    if twice:
-        plan2 = IG.plan_months(months, current(), "ship_date", on_existing)
-        return tally, plan2
-    return tally
+def _load(spark, feed, table, start, end, on_existing="skip"):
+    """Land a feed by month, plan the months against the table, load them; returns the report."""
+    landing = scratch_path(spark, "k_landing")
+    IG.write_landing(feed, landing, "l_shipdate")
+    have = spark.read.parquet(table) if S.table_path_exists(spark, table) else spark.createDataFrame([], "ship_date date")
+    plan = IG.plan_months(IG.month_series(spark, start, end), have, "ship_date", on_existing)
+    # the plan is a calendar list: fixed here, before the table changes
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
+    raw = IG.read_landing(spark, landing, plan, feed.columns)
+    return IG.ingest(spark, raw, table, plan, LINEITEM_SPEC)
 
 
-@register("k2_ingest_month", _TALLY_SQL.format(s="1996-03-01", e="1996-04-01"))
+@register("k2_ingest_month", _first_load_sql("1996-03-01", "1996-03-01"))
 def k2_ingest_month(spark, sf):
-    return _ingest(spark, sf, "03-1996", "03-1996")
+    return _load(spark, read_table(spark, sf, "lineitem"), scratch_path(spark, "k_facts"), "03-1996", "03-1996")
 
 
-@register("k3_ingest_range", _TALLY_SQL.format(s="1996-01-01", e="1998-01-01"))
+@register("k3_ingest_range", _first_load_sql("1996-01-01", "1997-12-01"))
 def k3_ingest_range(spark, sf):
-    return _ingest(spark, sf, "01-1996", "12-1997")
+    return _load(spark, read_table(spark, sf, "lineitem"), scratch_path(spark, "k_facts"), "01-1996", "12-1997")
+
+
+def _second_load(spark, sf, on_existing, feed_of=lambda li: li):
+    li, table = read_table(spark, sf, "lineitem"), scratch_path(spark, "k_facts")
+    _load(spark, li, table, "01-1997", "04-1997")
+    return _load(spark, feed_of(li), table, "01-1997", "06-1997", on_existing)
+
 
+def _second_load_sql(action, first, second, sequences, status, feed="2"):
+    """Report of a second load over 01..06-1997 after a first one over 01..04-1997.
 
-@register("k4_duplicate_guard", _TALLY_SQL.format(s="1997-01-01", e="1997-07-01").replace(
-    "CAST(count(*) AS BIGINT) AS sequences FROM g GROUP BY 1",
-    "CAST(count(*) AS BIGINT) AS existing, 'skip' AS action FROM g GROUP BY 1"))
+    ``feed`` tells rows of the second load apart that are nested apart.
+    """
+    return f"""
+    WITH r AS ({_ROWS.format(feed=1, s='1997-01-01', e='1997-06-01')} AND ({first}) UNION ALL
+               {_ROWS.format(feed=feed, s='1997-01-01', e='1997-06-01')} AND ({second})),
+    {_SEQUENCES.format(s='1997-01-01', e='1997-06-01')},
+    o AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month_start, count(*) FILTER (feed = 1) AS a,
+                 count(*) FILTER (feed > 1) AS b FROM g GROUP BY 1)
+    SELECT m.month_start, CASE WHEN coalesce(a, 0) > 0 THEN '{action}' ELSE 'ingest' END AS action,
+           CAST(coalesce(a, 0) AS BIGINT) AS existing,
+           CAST(CASE WHEN coalesce(a, 0) > 0 THEN {sequences} ELSE coalesce(b, 0) END AS BIGINT) AS sequences,
+           CASE WHEN coalesce(a, 0) > 0 THEN {status} WHEN coalesce(b, 0) > 0 THEN 'loaded' ELSE 'failed' END AS status
+    FROM m LEFT JOIN o USING (month_start)
+    """
+
+
+_BEFORE_MAY = "l_shipdate < TIMESTAMP '1997-05-01'"
+
+
+@register("k4_duplicate_guard", _second_load_sql("skip", _BEFORE_MAY, f"NOT {_BEFORE_MAY}", "a", "'skipped'"))
 def k4_duplicate_guard(spark, sf):
-    _, plan2 = _ingest(spark, sf, "01-1997", "06-1997", on_existing="skip", twice=True)
-    return plan2
+    return _second_load(spark, sf, "skip")
+
+
+@register("k4_append", _second_load_sql("append", _BEFORE_MAY, "true", "a + b", "'loaded'"))
+def k4_append(spark, sf):
+    """Months that have rows get the feed's rows as well."""
+    return _second_load(spark, sf, "append")
+
+
+@register("k4_replace", _second_load_sql(
+    "replace", _BEFORE_MAY, "day(l_shipdate) > 9 AND NOT (month(l_shipdate) = 2)", "b",
+    "CASE WHEN b > 0 THEN 'loaded' ELSE 'failed' END", feed=f"CASE WHEN {_BEFORE_MAY} THEN 2 ELSE 3 END"))
+def k4_replace(spark, sf):
+    """A later feed without the first nine days of each month, and without February: those days go."""
+    return _second_load(spark, sf, "replace", lambda li: li.where((F.dayofmonth("l_shipdate") > 9)
+                                                                  & (F.month("l_shipdate") != 2)))
 
 
 @register("k5_load_features")

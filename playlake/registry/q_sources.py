@@ -97,7 +97,7 @@ def a6_load_csv_append(spark, sf):
     S.write_csv(conv, cpath)
     spark.createDataFrame([], conv.schema).write.mode("errorifexists").parquet(tpath)
     return S.load_csv_append(spark, cpath, tpath, conv.columns,
-                             cast={"conv_id": "bigint", "turn": "bigint"})
+                             cast={"conv_id": "bigint", "turn": "bigint"}, multi_line=True)
 
 
 @register("a7_create_table", """
@@ -135,17 +135,29 @@ def a11_scan_since(spark, sf):
 
 
 @register("a12_write_disposition", """
-SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, CAST(count(*) AS BIGINT) AS n
-FROM orders GROUP BY 1
+SELECT 'partitions' AS step, CAST(year(o_orderdate) AS INTEGER) AS order_year, CAST(count(*) AS BIGINT) AS n
+FROM orders GROUP BY 2
+UNION ALL
+SELECT 'append', CAST(year(o_orderdate) AS INTEGER), CAST(count(*) * CASE WHEN year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS BIGINT)
+FROM orders GROUP BY year(o_orderdate)
+UNION ALL
+SELECT 'truncate', 1996, CAST(count(*) AS BIGINT) FROM orders WHERE year(o_orderdate) = 1996
 """)
 def a12_write_disposition(spark, sf):
     o = read_table(spark, sf, "orders").withColumn("order_year", F.year("o_orderdate"))
-    path = scratch_path(spark, "a12_table")
-    S.write_disposition(o, path, "WRITE_EMPTY", partition_by=["order_year"])
     one_year = o.where(F.col("order_year") == 1996)
-    S.write_disposition(one_year, path, "WRITE_APPEND", partition_by=["order_year"])  # duplicates 1996
-    S.write_disposition(one_year, path, "WRITE_TRUNCATE", partition_by=["order_year"])  # replaces 1996 only
-    return spark.read.parquet(path).groupBy("order_year").agg(F.count(F.lit(1)).alias("n"))
+    steps = []
+    for step in ("append", "partitions", "truncate"):
+        path = scratch_path(spark, f"a12_{step}")
+        S.write_disposition(o, path, "WRITE_EMPTY", partition_by=["order_year"])
+        S.write_disposition(one_year, path, "WRITE_APPEND", partition_by=["order_year"])  # 1996 twice
+        if step == "partitions":
+            S.write_disposition(one_year, path, "WRITE_TRUNCATE_PARTITIONS", partition_by=["order_year"])  # 1996 anew
+        elif step == "truncate":
+            S.write_disposition(one_year, path, "WRITE_TRUNCATE", partition_by=["order_year"])  # 1996 alone is left
+        steps.append(spark.read.parquet(path).groupBy("order_year").agg(F.count(F.lit(1)).alias("n"))
+                     .select(F.lit(step).alias("step"), "order_year", "n"))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
 @register("a14_write_once_cache", """

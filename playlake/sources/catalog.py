@@ -35,8 +35,14 @@ def create_table(spark: SparkSession, name: str, ddl_columns: str, partition_by:
 
 
 def write_clustered(df: DataFrame, name: str, partition_col: str, cluster_cols, mode: str = "append") -> None:
-    """Insert with clustering: rows of one partition value go to the same
-    writer task and are sorted by the cluster keys, so Parquet row-group
-    min/max statistics can skip data on those keys."""
-    (df.repartition(partition_col).sortWithinPartitions(partition_col, *cluster_cols)
+    """Insert with clustering: rows are brought together by partition value and
+    range of the cluster keys, and sorted by them, so Parquet row-group
+    min/max statistics can skip data on those keys.  A partition value that
+    holds much of the data is split by ranges and written by many tasks."""
+    (df.repartitionByRange(partition_col, *cluster_cols).sortWithinPartitions(partition_col, *cluster_cols)
      .write.mode(mode).insertInto(name))
+
+
+def drop_database(spark: SparkSession, name: str) -> None:
+    """Drop a database with its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..schemas import raw_string_schema
 
-WRITE_MODES = {"WRITE_TRUNCATE": "overwrite", "WRITE_APPEND": "append", "WRITE_EMPTY": "errorifexists"}
+WRITE_MODES = {"WRITE_TRUNCATE": "overwrite", "WRITE_TRUNCATE_PARTITIONS": "overwrite", "WRITE_APPEND": "append",
+               "WRITE_EMPTY": "errorifexists"}
 
 
-def _csv_reader(spark: SparkSession, columns=None, mode: str = "PERMISSIVE"):
-    r = (spark.read.option("header", True).option("multiLine", True)
+def _csv_reader(spark: SparkSession, columns=None, mode: str = "PERMISSIVE", multi_line: bool = False):
+    r = (spark.read.option("header", True).option("multiLine", multi_line)
          .option("quote", '"').option("escape", '"').option("mode", mode))
     if columns is not None:
         r = r.schema(raw_string_schema(columns))
     return r
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """Raw feed CSV, every column as string (typing happens in cleaning).
+def read_raw_csv(spark: SparkSession, path, columns=None, multi_line: bool = False) -> DataFrame:
+    """Raw feed CSV (one path or a list), every column as string (typing happens in cleaning).
 
     Without ``columns`` the header decides the names and all are strings
-    (no schema inference pass over the data).  Quoted newlines allowed.
+    (no schema inference pass over the data).  ``multi_line`` is for feeds
+    with quoted newlines: each file is then read by one task.
     """
-    return _csv_reader(spark, columns).csv(path)
+    return _csv_reader(spark, columns, multi_line=multi_line).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -68,28 +71,36 @@ def load_json_append(spark: SparkSession, json_path: str, table_path: str, schem
     return spark.read.parquet(table_path)
 
 
-def load_csv_append(spark: SparkSession, csv_path: str, table_path: str, columns, cast=None) -> DataFrame:
-    """Append a CSV (header skipped, quoted newlines, short rows padded with nulls)."""
+def load_csv_append(spark: SparkSession, csv_path: str, table_path: str, columns, cast=None,
+                    multi_line: bool = False, observation: Observation | None = None) -> DataFrame:
+    """Append a CSV (header skipped, short rows padded with nulls).
+
+    Cells that do not fit their type become null; ``observation`` gets their
+    number as ``rejected_cells`` when the append has run.
+    """
     if not table_path_exists(spark, table_path):
         raise FileNotFoundError(f"table {table_path} does not exist")
-    df = _csv_reader(spark, columns, mode="PERMISSIVE").csv(csv_path)
+    df = _csv_reader(spark, columns, multi_line=multi_line).csv(csv_path)
     if cast:
-        df = df.select(*[df[c].cast(cast.get(c, "string")).alias(c) for c in columns])
+        bad = sum((F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).cast("bigint") for c, t in cast.items())
+        if observation is not None:
+            df = df.observe(observation, F.coalesce(F.sum(bad), F.lit(0)).alias("rejected_cells"))
+        df = df.select(*[F.col(c).try_cast(cast.get(c, "string")).alias(c) for c in columns])
     df.write.mode("append").parquet(table_path)
     return spark.read.parquet(table_path)
 
 
 def write_disposition(df: DataFrame, path: str, disposition: str = "WRITE_TRUNCATE", partition_by=None) -> None:
-    """WRITE_TRUNCATE / WRITE_APPEND / WRITE_EMPTY.
+    """WRITE_TRUNCATE / WRITE_APPEND / WRITE_EMPTY / WRITE_TRUNCATE_PARTITIONS.
 
-    With ``partition_by`` and dynamic partition overwrite (session default),
-    WRITE_TRUNCATE replaces only the partitions present in ``df``, which is
-    what an idempotent monthly re-run needs.
+    WRITE_TRUNCATE replaces the whole table, also partitions that ``df``
+    lacks; WRITE_TRUNCATE_PARTITIONS only those that it has.
     """
+    mode = "dynamic" if disposition == "WRITE_TRUNCATE_PARTITIONS" else "static"
     w = df.write.mode(WRITE_MODES[disposition])
     if partition_by:
         # set on the writer so it holds whatever the session default is
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", mode)
     w.parquet(path)
 
 

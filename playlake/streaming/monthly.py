@@ -1,33 +1,45 @@
 """Incremental load of a raw-CSV landing folder with Structured Streaming.
 
 ``trigger(availableNow=True)`` processes every file not yet seen (the
-checkpoint remembers which), in bounded micro-batches, then stops: the
-skip-what-is-done behaviour of the monthly loader without a month plan.
-Each micro-batch is cleaned, nested and written with dynamic partition
-overwrite, so a replayed batch after a failure rewrites the same partitions.
+checkpoint remembers which), in micro-batches, then stops.  Each batch's
+clean rows go to a staging table, under a folder named by the batch, so a
+replayed batch rewrites its own rows only.  Then the days that the batch
+touches are nested again from all staged rows of these days and replace
+their partitions: which files share a batch does not show in the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import ingest as IG
 from ..schemas import raw_string_schema
 
 
 def load_landing(spark: SparkSession, landing: str, columns, table_path: str, checkpoint: str,
-                 spec: IG.IngestSpec = IG.PITCH_SPEC, max_files_per_trigger: int = 16):
-    """Run the stream to completion; returns the finished StreamingQuery."""
+                 spec: IG.IngestSpec = IG.PITCH_SPEC, max_files_per_trigger: int = 16, multi_line: bool = False):
+    """Run the stream to completion; returns the finished StreamingQuery.
+
+    Staged rows are kept in ``<table_path>_staged``.  ``multi_line`` allows
+    quoted newlines, at the price of one task per file.
+    """
     stream = (spark.readStream.schema(raw_string_schema(columns))
-              .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+              .option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(landing))
+    staged = f"{table_path}_staged"
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         clean, _ = IG.clean(batch, spec)
-        facts = IG.nest(clean, spec)
+        clean = clean.withColumn("staged_day", F.col(spec.date_col))
+        (clean.write.mode("overwrite").partitionBy("staged_day").parquet(f"{staged}/batch={epoch_id}"))
+        days = spark.read.parquet(f"{staged}/batch={epoch_id}").select("staged_day").distinct()
+        rows = (spark.read.schema(clean.schema).option("basePath", staged).parquet(f"{staged}/batch=*")
+                .join(F.broadcast(days), "staged_day", "left_semi").drop("staged_day"))  # days of one batch: a calendar list
+        facts = IG.nest(rows.select(*[c for c in clean.columns if c != "staged_day"]), spec)
         if spec.partition_col not in facts.columns:
             facts = facts.withColumn(spec.partition_col, facts[spec.date_col])
-        (facts.repartition(spec.partition_col).write.mode("overwrite")
+        (facts.hint("rebalance", spec.partition_col).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(spec.partition_col).parquet(table_path))
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
