@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, non_empty, row_keys, saved
+from .common import BROADCAST_KEYS, arrow_rows, non_empty, row_keys, saved
 from .graph import connected_components
 from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 
 # 30 bands of 6 bins: documents at a similarity of 0.85 share no band with probability (1 - 0.85^6)^30 < 1e-6.
 BANDS, BAND_BINS = 30, 6
 # Star rounds before what is left in buckets is compared pair by pair.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 ARROW_ROWS = 500
 
 
@@ -87,12 +87,12 @@ def _sets(words: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets are similar enough; a may be a hub: its join is split when skewed."""
+    """Those ``pairs`` (a, b, ...) whose full sets are similar enough; a may be a hub: its join is split when skewed."""
     p = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     p = p.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    p = p.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return p.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).select("a", "b")
+    inter, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
+    p = p.select(*pairs.columns, inter.alias("i"), total.alias("total"))
+    return p.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS,
@@ -105,92 +105,110 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     and classes take the place of documents from then on.
 
     One-permutation MinHash with optimal densification makes a signature,
-    bands of it name buckets.  In each bucket the class with the most bucket
-    neighbours is the centre of a star: it is compared with each other
-    member on the full sets, so that a bucket of m classes gives m - 1 pairs.
-    The centre then leaves the bucket, buckets that lie in one component are
+    bands of it name buckets.  Shingles that no other class in a bucket has
+    bound what a class can share; where that rules out every link, the class
+    leaves.  In each bucket the class with the most bucket neighbours is the
+    centre of a star: it is compared with each other member on the full
+    sets, so that a bucket of m classes gives m - 1 pairs.  The centre then
+    leaves the bucket, buckets whose members are linked to one centre are
     done, and the next star follows.  After a few rounds the members left
-    over in different components are compared pair by pair: no pair that
-    shares a bucket goes unexamined unless it is connected already.
+    over under different centres are compared pair by pair: no pair that
+    shares a bucket goes unexamined unless it is connected already or its
+    sizes forbid a link.
 
     Returns one row per row of ``docs``: doc_id, k1, k2 (row key), n_shingles,
-    class_id (null without words), component_id (smallest doc_id reachable,
-    its own included; null if the component has null ids only), kept
-    (doc_id = component_id).  Null or blank texts have no shingles and are
+    group_id (one number a component; null without words), component_id
+    (smallest doc_id reachable, its own included; null if the component has
+    null ids only), kept (doc_id = component_id).  Null or blank texts have no shingles and are
     linked with nothing.  Rows that repeat id and text come back each; rows
     of one id with different texts are judged apart.  Empty table: no rows.
     Other columns of ``docs`` are not used.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark, ARROW_ROWS)
+    arrow_rows(docs.sparkSession, ARROW_ROWS)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                     *row_keys(F.col(id_col), F.col(text_col)))
     sig = saved(d.mapInPandas(_signatures(shingle_words, bands, band_bins),
                               "id long, k1 long, k2 long, n long, c1 long, c2 long, bands array<long>"), "signatures")
     # one class per distinct set; hot groups of copies are combined before the shuffle
     classes = saved(sig.where("n > 0").groupBy("c1", "c2", "n")
-                    .agg(F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("docs"))
+                    .agg(F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"))
                     .withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rep = sig.join(classes.select(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "cid"), ["k1", "k2"])
-    buckets = rep.select("cid", "n", F.explode("bands").alias("bucket"))
-    many = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = buckets.join(many, "bucket").dropDuplicates(["bucket", "cid"])
-    degree = members.groupBy("cid").agg(F.sum("size").alias("degree"))
-    members = saved(members.join(degree, "cid").select("bucket", "cid", "n", "degree"), "members")
-
+    buckets = classes.select("cid", F.explode("bands").alias("bucket"))
+    many = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = saved(buckets.join(many, "bucket", "left_semi"), "members")
     need = members.select("cid").distinct()
-    keys = (classes.join(need, "cid", "left_semi").select("cid", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")))
-    sets = saved(d.select("text", "k1", "k2").join(keys, ["k1", "k2"]).dropDuplicates(["cid"])
+    keys = saved(classes.select("cid", "n", "k.k1", "k.k2").join(need, "cid", "left_semi"), "keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = d.select("text", "k1", "k2").join(F.broadcast(keys) if few else keys, ["k1", "k2"])
+    sets = saved(texts.select("cid", "text").dropDuplicates(["cid"])
                  .mapInPandas(_sets(shingle_words), "cid long, shingles array<long>"), "sets")
 
-    links = _links(members, sets, percent)
+    links = _links(members, keys.select("cid", "n"), sets, percent)
     comp = connected_components(links).select(F.col("node").alias("cid"), "component")
     # of the few classes that have links: the smallest id of each component
-    low = (comp.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("component_low")))
-    linked = comp.join(low, "component").select("cid", "component_low")
+    low = comp.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("component_low"))
+    linked = comp.join(low, "component").select("cid", "component", "component_low")
     named = (classes.select("c1", "c2", "n", "low", "cid").join(linked, "cid", "left")
-             .select("c1", "c2", "n", "cid", F.coalesce("component_low", "low").alias("component_id")))
+             .select("c1", "c2", "n", F.coalesce("component", "cid").alias("group_id"),
+                     F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_low"))
+                     .alias("component_id")))
     out = sig.select("id", "k1", "k2", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), "k1", "k2", F.col("n").alias("n_shingles"),
-                      F.col("cid").alias("class_id"), component.alias("component_id"),
+                      "group_id", component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that share a bucket; enough of them for the components."""
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # else the sizes alone forbid a link
+    # shingles of one class alone can't be shared: s is what is left of a set
+    alone = (sets.select("cid", F.explode("shingles").alias("x")).groupBy("x")
+             .agg(F.count("*").alias("m"), F.min("cid").alias("cid")).where("m = 1")
+             .groupBy("cid").agg(F.count("*").alias("alone")))
+    shared = (sizes.join(alone, "cid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+              .where(F.col("s") * 100 >= F.col("n") * percent).select("cid", "n", "s"))
+    left = members.join(shared, "cid")
+    many = left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    left = saved(left.join(many, "bucket"), "bucketed")
+    degree = left.groupBy("cid").agg(F.sum("size").alias("degree"))
+    left = left.select("bucket", "cid", "n", "s").join(degree, "cid")
+    # the most that two sets can share still has to be enough
+    fits = F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     links = tested = None
-    left = members
     for _ in range(STAR_ROUNDS):
-        left = left.select("bucket", "cid", "n", "degree")
-        centre = (left.groupBy("bucket")
-                  .agg(F.max(F.struct(F.col("degree"), (-F.col("cid")).alias("low"), F.col("n"))).alias("c"))
-                  .select("bucket", (-F.col("c.low")).alias("a"), F.col("c.n").alias("m")))
-        star = left.join(centre, "bucket").where(F.col("cid") != F.col("a"))
-        pairs = (star.where(fits).select("a", F.col("cid").alias("b"), F.least("a", "cid").alias("x"),
+        top = F.struct(F.col("degree"), (-F.col("cid")).alias("low"), F.col("n"), F.col("s"))
+        centre = (left.groupBy("bucket").agg(F.max(top).alias("c"))
+                  .select("bucket", (-F.col("c.low")).alias("a"), F.col("c.degree").alias("da"), F.col("c.n").alias("m"),
+                          F.col("c.s").alias("t")))
+        star = saved(left.join(centre, "bucket").where(F.col("cid") != F.col("a")), "star")
+        pairs = (star.where(fits).select("a", F.col("cid").alias("b"), "da", F.least("a", "cid").alias("x"),
                                          F.greatest("a", "cid").alias("y")).dropDuplicates(["x", "y"]))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = saved(pairs, "pairs")
-        new = saved(_verified(pairs.select("a", "b"), sets, percent), "links")
         tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
+        new = saved(_verified(pairs.select("a", "b", "da"), sets, percent), "links")
         links = new if links is None else links.unionByName(new)
-        comp = connected_components(links).withColumnRenamed("node", "cid")
-        rest = (star.select("bucket", "cid", "n", "degree").join(comp, "cid", "left")
-                .withColumn("component", F.coalesce("component", "cid")))
-        # buckets that lie in one component are done
-        apart = (rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+        # members linked to one centre, or to centres linked to one, are connected
+        own = links.groupBy("b").agg(F.max(F.struct("da", "a")).alias("c")).select("b", F.col("c.a").alias("a"))
+        next_ = own.select(F.col("b").alias("a"), F.col("a").alias("up"))
+        own = own.join(next_, "a", "left").select(F.col("b").alias("cid"), F.coalesce("up", "a").alias("group"))
+        rest = (star.select("bucket", "cid", "n", "s", "degree").join(own, "cid", "left")
+                .withColumn("group", F.coalesce("group", "cid")))
+        apart = (rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"),
                                             F.count("*").alias("size")).where("lo < hi").select("bucket", "size"))
-        left = saved(rest.join(apart, "bucket"), "left")
-        work = (left.select("bucket", "size").distinct()
+        rest = saved(rest.join(apart, "bucket"), "left")
+        work = (rest.select("bucket", "size").distinct()
                 .agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("pairs"),
                      F.coalesce(F.sum("size"), F.lit(0)).alias("members")).first())
         if work["members"] == 0:
-            return links
+            return links.select("a", "b")
+        left = rest.select("bucket", "cid", "n", "s", "degree")
         if work["pairs"] <= 8 * work["members"]:
             break
-    x = left.select("bucket", F.col("cid").alias("a"), F.col("n"), F.col("component").alias("ca"))
-    y = left.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    return links.unionByName(saved(_verified(pairs.select("a", "b").distinct(), sets, percent), "links"))
+    x = rest.select("bucket", F.col("cid").alias("a"), "n", "s", F.col("group").alias("ga"))
+    y = rest.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"),
+                    F.col("group").alias("gb"))
+    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & fits)
+    last = saved(_verified(pairs.select("a", "b").distinct(), sets, percent), "links")
+    return links.select("a", "b").unionByName(last)
