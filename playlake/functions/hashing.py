@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+TWO60 = float(2 ** 60)
 
 
 def md5_u32(*parts) -> Column:
@@ -20,9 +20,16 @@ def md5_u32(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def md5_u60(*parts) -> Column:
+    """As :func:`md5_u32`, from 15 hex digits: an integer in [0, 2^60), for draws among many rows."""
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    text = F.concat_ws(":", *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def md5_uniform(*parts) -> Column:
-    """Uniform (0, 1) number from md5_u32."""
-    return (md5_u32(*parts) + F.lit(0.5)) / F.lit(TWO32)
+    """Uniform (0, 1) number from md5_u60."""
+    return (md5_u60(*parts) + F.lit(0.5)) / F.lit(TWO60)
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:

@@ -3,8 +3,7 @@
 Every dictionary is built from the DISTINCT values of a column (a small
 aggregate with map-side combine) and joined back to the fact rows on the
 value; windows are only ever run over the dictionary, never over fact rows.
-The joins carry no broadcast hint: AQE broadcasts the dictionary once its
-measured size is under the threshold and keeps a shuffle join otherwise.
+See ``joins.dictionary_join`` for how dictionaries of either size are joined.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import dictionary_join
 from ..functions.hashing import md5_u32, signed_hash_vector
 
 # --- fixed values: outcome groups, in code order 0..10 ----------------------
@@ -54,10 +54,8 @@ def category_codes(df: DataFrame, col: str, out: str | None = None, dictionary:
     """Replace ``col`` by its code (null -> -1). Returns (df, dictionary)."""
     out = out or col
     dictionary = dictionary if dictionary is not None else category_dictionary(df, col)
-    coded = df.join(dictionary.withColumnRenamed("code", "_code"), on=col, how="left")
+    coded = dictionary_join(df, dictionary.withColumnRenamed("code", "_code"), col)
     coded = coded.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1).cast("bigint"))).drop("_code")
-    if out != col:
-        return coded, dictionary
     return coded, dictionary
 
 
@@ -72,13 +70,6 @@ def presence_flag(c) -> Column:
 
 
 # ---------------------------------------------------------------- D5
-def outcome_map_frame(spark, mapping: dict | None = None, groups=None) -> DataFrame:
-    mapping = OUTCOME_MAP if mapping is None else mapping
-    groups = OUTCOME_GROUPS if groups is None else groups
-    rows = [(k, v, groups.index(v)) for k, v in mapping.items()]
-    return spark.createDataFrame(rows, "event string, outcome string, outcome_code bigint")
-
-
 def outcome_recode(df: DataFrame, col: str, out: str = "outcome_code", mapping: dict | None = None,
                    groups=None) -> DataFrame:
     """Name-based recode of outcome events to group codes; null/unknown -> 0.
@@ -132,8 +123,7 @@ def feature_hash(df: DataFrame, col: str, out: str | None = None, dictionary: Da
     out = out or col
     dictionary = dictionary if dictionary is not None else hash_dictionary(df, col, null_label, round_even, method)
     keyed = df.withColumn("_label", _text(col, null_label))
-    res = keyed.join(dictionary.select(F.col("label").alias("_label"), F.col("hash").alias("_hash")),
-                     on="_label", how="left")
+    res = dictionary_join(keyed, dictionary.select(F.col("label").alias("_label"), F.col("hash").alias("_hash")), "_label")
     return res.withColumn(out, F.col("_hash")).drop("_label", "_hash"), dictionary
 
 

@@ -1,11 +1,9 @@
 """Join helpers.
 
-Dictionary frames (distinct categories, per-class tables) are small only by
-nature of the data, so they are joined *without* a broadcast hint: AQE
-measures the shuffled dictionary at runtime and turns the join into a
-broadcast hash join when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``,
-and keeps the shuffle join otherwise.  Only frames built from constants get
-an explicit ``broadcast`` (their size is fixed by the code).
+A dictionary (distinct categories, per-class tables) is built once, written,
+and counted.  A small one is broadcast, so that fact rows stay where they
+are; a larger one meets salted fact rows, so that a category that holds a
+third of them is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def attach_by_key(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     return left.join(right, on=list(keys), how=how)
@@ -22,9 +22,20 @@ def lookup(fact: DataFrame, dim: DataFrame, keys, how: str = "left") -> DataFram
     return fact.join(dim, on=list(keys), how=how)
 
 
-def constant_lookup(fact: DataFrame, const_dim: DataFrame, keys, how: str = "left") -> DataFrame:
-    """Join a table built from literals: its size is bounded by the code."""
-    return fact.join(F.broadcast(const_dim), on=list(keys), how=how)
+# Most rows of a dictionary that are broadcast.
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def dictionary_join(fact: DataFrame, dictionary: DataFrame, on: str, how: str = "left",
+                    limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Attach a dictionary with one row per value of ``on`` to fact rows; null values meet nothing."""
+    dictionary = written(dictionary, "dictionary")
+    if dictionary.limit(limit + 1).count() <= limit:
+        return fact.join(F.broadcast(dictionary), on, how)
+    salted = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [on, "_salt"], how).drop("_salt")
 
 
 def semi_top(df: DataFrame, top: DataFrame, key: str) -> DataFrame:

@@ -102,11 +102,11 @@ def nest_periods(df: DataFrame, entity: str, period: Column, aggs: list, name: s
     return per.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
-def unwrap_list_record(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+def unwrap_list_record(df: DataFrame, col: str, out: str | None = None, require_any: bool = False) -> DataFrame:
     """``struct<list: array<struct<element: x>>>`` or a plain array -> array<double>.
 
     Rows whose vector is null or holds a null element are dropped (the whole
-    vector is unusable then).
+    vector is unusable then).  ``require_any``: an error if none is left.
     """
     out = out or col
     dtype = df.schema[col].dataType.simpleString()
@@ -116,7 +116,10 @@ def unwrap_list_record(df: DataFrame, col: str, out: str | None = None) -> DataF
         vec = F.transform(F.col(col), lambda x: x.cast("double"))
     res = df.withColumn(out, vec)
     ok = F.col(out).isNotNull() & ~F.exists(F.col(out), lambda x: x.isNull() | F.isnan(x))
-    return res.where(ok)
+    res = res.where(ok)
+    if require_any and res.isEmpty():
+        raise ValueError(f"no usable vector in {col}")
+    return res
 
 
 def vector_assemble(df: DataFrame, exclude, out: str = "features") -> DataFrame:

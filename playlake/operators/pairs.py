@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_u32
+from ..functions.hashing import md5_u60
 from ..functions.vectors import euclid
 
 _LOCAL_BITS = 33
@@ -48,37 +48,64 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx") -> DataFrame:
     return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint")).drop("_mid", "_pid", "_pos", "_off")
 
 
+def pair_index(df: DataFrame, key: str, label: str, vec: str) -> DataFrame:
+    """(idx, key, label) of the rows with a vector and a label, idx dense from 0; vectors stay where they are."""
+    base = df.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(key, label)
+    return dense_index(base, [key])
+
+
 def sample_pairs(df: DataFrame, key: str, label: str, vec: str, n_pairs: int, same: bool,
-                 seed: int = 42, max_attempts: int | None = None) -> DataFrame:
+                 seed: int = 42, max_attempts: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Random ordered pairs (i != j) with equal (``same``) or different labels.
 
-    Output: attempt, key_1, key_2, label_1, label_2, distance (Euclidean).
+    Draws are made and judged on the narrow ``index`` (see :func:`pair_index`;
+    give the same one to both kinds of pairs); vectors are joined for the
+    accepted rows only.  After ``max_attempts`` draws (ten a pair) there may
+    be fewer than ``n_pairs``: count the result.  Output: attempt, key_1,
+    key_2, label_1, label_2, distance (Euclidean).
     """
     spark = df.sparkSession
     max_attempts = max_attempts or n_pairs * 10
-    base = df.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(key, label, vec)
-    indexed = dense_index(base, [key])
-    n_rows = indexed.count()  # one number; the attempts need the range size
+    index = index if index is not None else pair_index(df, key, label, vec)
+    n_rows = max(index.count(), 1)  # one number; the attempts need the range size
     tag = "s" if same else "d"
     att = spark.range(max_attempts).withColumnRenamed("id", "attempt")
     att = att.select("attempt",
-                     F.pmod(md5_u32(F.lit(f"{tag}i"), "attempt", F.lit(seed)), F.lit(n_rows)).alias("i"),
-                     F.pmod(md5_u32(F.lit(f"{tag}j"), "attempt", F.lit(seed)), F.lit(n_rows)).alias("j"))
+                     F.pmod(md5_u60(F.lit(f"{tag}i"), "attempt", F.lit(seed)), F.lit(n_rows)).alias("i"),
+                     F.pmod(md5_u60(F.lit(f"{tag}j"), "attempt", F.lit(seed)), F.lit(n_rows)).alias("j"))
     att = att.where(F.col("i") != F.col("j"))
-    a = indexed.select(F.col("idx").alias("i"), F.col(key).alias("key_1"), F.col(label).alias("label_1"),
-                       F.col(vec).alias("_v1"))
-    b = indexed.select(F.col("idx").alias("j"), F.col(key).alias("key_2"), F.col(label).alias("label_2"),
-                       F.col(vec).alias("_v2"))
-    j = att.join(a, "i").join(b, "j")
+    a = index.select(F.col("idx").alias("i"), F.col(key).alias("key_1"), F.col(label).alias("label_1"))
+    b = index.select(F.col("idx").alias("j"), F.col(key).alias("key_2"), F.col(label).alias("label_2"))
+    # the attempts are ten per pair wanted, so they can be sent to the index
+    j = index_join(index_join(a, att, "i"), b, "j", swap=True)
     cond = (F.col("label_1") == F.col("label_2")) if same else (F.col("label_1") != F.col("label_2"))
     acc = j.where(cond).orderBy("attempt").limit(n_pairs)
-    return acc.select("attempt", "key_1", "key_2", "label_1", "label_2", euclid("_v1", "_v2").alias("distance"))
+    acc = acc.select("attempt", "key_1", "key_2", "label_1", "label_2").checkpoint(eager=True)
+    # n_pairs rows at most: sent to the vectors
+    v = df.where(F.col(vec).isNotNull() & F.col(label).isNotNull())
+    one = v.select(F.col(key).alias("key_1"), F.col(vec).alias("_v1")).join(F.broadcast(acc), "key_1")
+    two = v.select(F.col(key).alias("key_2"), F.col(vec).alias("_v2")) \
+           .join(F.broadcast(acc.select("attempt", "key_2")), "key_2").drop("key_2")
+    return one.join(two, "attempt").select("attempt", "key_1", "key_2", "label_1", "label_2",
+                                           euclid("_v1", "_v2").alias("distance"))
+
+
+def index_join(left: DataFrame, right: DataFrame, on: str, swap: bool = False) -> DataFrame:
+    """Join draws (a number set by the caller) with the index: the draws are broadcast."""
+    return right.join(F.broadcast(left), on) if swap else left.join(F.broadcast(right), on)
+
+
+# Most classes of which every pair is compared; the work grows with their square.
+MAX_CLASSES = 2_000
 
 
 def _class_pairs(samples: DataFrame, label: str) -> DataFrame:
     # Every sample row is sent to each class pair it belongs to.  The class
     # list (bounded by the number of classes) is a scalar subquery: computed
     # once, no join.
+    k = samples.select(label).distinct().limit(MAX_CLASSES + 1).count()
+    if k > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: a matrix of all class pairs is not meant for that")
     classes = samples.agg(F.array_sort(F.collect_set(label)).alias("_classes")).scalar()
     s = samples.select("*", F.explode(classes).alias("_other"))
     lo, hi = F.least(F.col(label), F.col("_other")), F.greatest(F.col(label), F.col("_other"))
@@ -107,35 +134,3 @@ def class_pair_mean_distance(samples: DataFrame, label: str, vec: str) -> DataFr
     schema = f"class_i {ltype}, class_j {ltype}, mean_distance double, n_i long, n_j long"
     return pairs.select("class_i", "class_j", "_is_i", "_is_j", vec) \
                 .groupBy("class_i", "class_j").applyInPandas(mean_dist, schema)
-
-
-def point_class_mean_distance(samples: DataFrame, key: str, label: str, vec: str) -> DataFrame:
-    """For every sampled point, the mean distance to each class (silhouette input).
-
-    Same grouping as ``class_pair_mean_distance``; output rows are
-    (key, to_class, mean_distance, n_to): points x classes, never pairs.
-    """
-    pairs = _class_pairs(samples.select(key, label, vec), label)
-
-    def per_point(pdf: pd.DataFrame) -> pd.DataFrame:
-        ci, cj = pdf["class_i"].iloc[0], pdf["class_j"].iloc[0]
-        A = pdf.loc[pdf["_is_i"]]
-        B = pdf.loc[pdf["_is_j"]]
-        a = np.stack(A[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        b = np.stack(B[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-        d = np.sqrt(np.clip(d2, 0.0, None))
-        if ci == cj:
-            # exclude self-distance: zero diagonal, divide by n - 1
-            n = len(a)
-            m = d.sum(1) / max(n - 1, 1)
-            return pd.DataFrame({key: A[key].to_numpy(), "to_class": cj, "mean_distance": m, "n_to": n - 1})
-        out_a = pd.DataFrame({key: A[key].to_numpy(), "to_class": cj, "mean_distance": d.mean(1), "n_to": len(b)})
-        out_b = pd.DataFrame({key: B[key].to_numpy(), "to_class": ci, "mean_distance": d.mean(0), "n_to": len(a)})
-        return pd.concat([out_a, out_b], ignore_index=True)
-
-    ktype = samples.schema[key].dataType.simpleString()
-    ltype = samples.schema[label].dataType.simpleString()
-    schema = f"{key} {ktype}, to_class {ltype}, mean_distance double, n_to long"
-    return pairs.select("class_i", "class_j", "_is_i", "_is_j", key, vec) \
-                .groupBy("class_i", "class_j").applyInPandas(per_point, schema)

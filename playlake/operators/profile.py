@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import dictionary_join
+from ..session import written
+
 
 def value_counts(df: DataFrame, col: str, by: str = "count") -> DataFrame:
     """Count per non-null category; ordered by count desc (value breaks ties) or by value."""
@@ -16,12 +19,12 @@ def value_counts(df: DataFrame, col: str, by: str = "count") -> DataFrame:
 def value_freq(df: DataFrame, col: str, top: int = 20) -> DataFrame:
     """Normalised counts (nulls outside the denominator), top ``top``.
 
-    The share is computed on the small per-category result, so the global
-    window runs over the category count, never over fact rows.
+    The total is a scalar subquery over the column; no window.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("freq")) \
-        .orderBy(F.col("n").desc(), F.col(col)).limit(top)
+    rows = df.where(F.col(col).isNotNull())
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = rows.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("freq", F.col("n") / total).orderBy(F.col("n").desc(), F.col(col)).limit(top)
 
 
 def null_pct(df: DataFrame, cols=None, top: int = 20) -> DataFrame:
@@ -33,6 +36,11 @@ def null_pct(df: DataFrame, cols=None, top: int = 20) -> DataFrame:
     return stacked.orderBy(F.col("null_pct").desc(), F.col("column_name")).limit(top)
 
 
+def head(df: DataFrame, n: int = 5, *order) -> DataFrame:
+    """``n`` sample rows: the first by ``order``, or any."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)
+
+
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)).cast("bigint"))
 
@@ -101,7 +109,8 @@ def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
-    j = df.select(group, value).join(q.select(group, "lo_fence", "hi_fence"), group)
+    q = written(q, "quantiles")
+    j = dictionary_join(df.select(group, value), q.select(group, "lo_fence", "hi_fence"), group, "inner")
     inside = (F.col(value) >= F.col("lo_fence")) & (F.col(value) <= F.col("hi_fence"))
     w = j.groupBy(group).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
@@ -146,7 +155,7 @@ def histogram(df: DataFrame, value: str, series: str | None = None, bins: int =
     gcols = [series] if series else []
     stats = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")]
     if gcols:
-        j = df.select(*gcols, value).join(df.groupBy(*gcols).agg(*stats), gcols)
+        j = dictionary_join(df.select(*gcols, value), df.groupBy(*gcols).agg(*stats), series, "inner")
     else:
         r = df.agg(*stats).select(F.struct("_lo", "_hi", "_n").alias("_r")).scalar()
         j = df.select(value).withColumns({"_lo": r["_lo"], "_hi": r["_hi"], "_n": r["_n"]})

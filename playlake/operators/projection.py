@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_u32
+from ..functions.hashing import md5_u60
 
 
 def select_existing(df: DataFrame, columns) -> tuple[DataFrame, list[str]]:
@@ -70,8 +70,7 @@ def bernoulli_sample(df: DataFrame, key: str, fraction: float, seed: int = 42,
     """
     if not reproducible:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    buckets = 10000
-    return df.where(F.pmod(md5_u32(key, F.lit(seed)), F.lit(buckets)) < F.lit(int(round(fraction * buckets))))
+    return df.where(md5_u60(key, F.lit(seed)) < F.lit(int(round(fraction * 2 ** 60))))
 
 
 def limit_ordered(df: DataFrame, n: int, *order) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_u32, md5_uniform
+from .joins import dictionary_join
+from ..functions.hashing import md5_u60, md5_uniform
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -66,7 +67,7 @@ def weighted_sample(df: DataFrame, key: str, weight, n: int, seed: int = 42) ->
 def inverse_sqrt_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Attach 1/sqrt(class count) per row (per-class table joined on the label)."""
     cw = class_counts(df, label).select(label, (1.0 / F.sqrt(F.col("n"))).alias(out))
-    return df.join(cw, label, "left")
+    return dictionary_join(df, cw, label)
 
 
 def split_3way(df: DataFrame, key: str, fractions=(0.8, 0.1, 0.1), seed: int = 42, out: str = "split") -> DataFrame:
@@ -86,7 +87,7 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 4
     WindowGroupLimit before the shuffle, so a hot class ships at most n rows
     per map partition instead of all its rows.
     """
-    h = md5_u32(key, F.lit(seed))
+    h = md5_u60(key, F.lit(seed))
     w = Window.partitionBy(label).orderBy(h, F.col(key))
     return df.where(F.col(label).isNotNull()).withColumn("_rn", F.row_number().over(w)) \
              .where(F.col("_rn") <= n).drop("_rn")

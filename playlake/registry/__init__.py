@@ -24,6 +24,6 @@ def register(name: str, sql: str | None = None):
 def load_all():
     # Import for side effects (registration), in inventory order.
     from . import q_sources, q_cleaning, q_nesting, q_encode, q_sampling  # noqa: F401
-    from . import q_pairs, q_profile, q_ranking, q_vectors, q_stats  # noqa: F401
+    from . import q_pairs, q_profile, q_ranking, q_vectors  # noqa: F401
     from . import q_learn, q_ingest  # noqa: F401
     return QUERIES, ORACLE

@@ -139,7 +139,7 @@ def b10_not_null_filter(spark, sf):
 
 @register("b11_bernoulli_sample", """
 SELECT event_id, event_type, value FROM events
-WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 10000 < 100
+WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 15))::BIGINT < 11529215046068470
 """)
 def b11_bernoulli_sample(spark, sf):
     ev = read_table(spark, sf, "events")

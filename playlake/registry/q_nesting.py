@@ -181,7 +181,7 @@ def c9_unwrap_list_record(spark, sf):
     e = read_table(spark, sf, "embeddings")
     wrapped = e.select("vec_id", F.struct(F.transform("embedding", lambda x: F.struct(x.alias("element")))
                                           .alias("list")).alias("emb"))
-    un = N.unwrap_list_record(wrapped, "emb", "vec")
+    un = N.unwrap_list_record(wrapped, "emb", "vec", require_any=True)
     return un.select("vec_id", F.size("vec").cast("bigint").alias("n_dims"), F.round(vsum("vec"), 6).alias("vsum"))
 
 

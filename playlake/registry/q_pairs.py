@@ -14,7 +14,7 @@ from ..operators import stats as ST
 from ..session import read_table
 from . import register
 
-N_PAIRS, SEED = 2000, 42
+N_PAIRS, SEED = 10_000, 42
 N_PER_CLASS = 100
 
 
@@ -22,12 +22,18 @@ def _base(spark, sf):
     return read_table(spark, sf, "embeddings").where(F.col("embedding").isNotNull() & F.col("label").isNotNull())
 
 
-def same_pairs(spark, sf):
-    return PR.sample_pairs(_base(spark, sf), "vec_id", "label", "embedding", N_PAIRS, same=True, seed=SEED)
+def same_pairs(spark, sf, index=None):
+    return PR.sample_pairs(_base(spark, sf), "vec_id", "label", "embedding", N_PAIRS, same=True, seed=SEED, index=index)
 
 
-def diff_pairs(spark, sf):
-    return PR.sample_pairs(_base(spark, sf), "vec_id", "label", "embedding", N_PAIRS, same=False, seed=SEED)
+def diff_pairs(spark, sf, index=None):
+    return PR.sample_pairs(_base(spark, sf), "vec_id", "label", "embedding", N_PAIRS, same=False, seed=SEED, index=index)
+
+
+def both_pairs(spark, sf):
+    """Same-class and different-class pairs, drawn on one index."""
+    index = PR.pair_index(_base(spark, sf), "vec_id", "label", "embedding")
+    return same_pairs(spark, sf, index), diff_pairs(spark, sf, index)
 
 
 def _pairs_sql(name, tag, op):
@@ -36,8 +42,8 @@ def _pairs_sql(name, tag, op):
   SELECT attempt, a.vec_id AS key_1, b.vec_id AS key_2, a.label AS label_1, b.label AS label_2,
          list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
   FROM (SELECT range AS attempt,
-          ('0x' || substr(md5('{tag}i:' || range || ':{SEED}'), 1, 8))::BIGINT % nn.n AS i,
-          ('0x' || substr(md5('{tag}j:' || range || ':{SEED}'), 1, 8))::BIGINT % nn.n AS j
+          ('0x' || substr(md5('{tag}i:' || range || ':{SEED}'), 1, 15))::BIGINT % nn.n AS i,
+          ('0x' || substr(md5('{tag}j:' || range || ':{SEED}'), 1, 15))::BIGINT % nn.n AS j
         FROM range(0, {N_PAIRS * 10}), nn) att
   JOIN ix a ON a.idx = att.i JOIN ix b ON b.idx = att.j
   WHERE att.i <> att.j AND a.label {op} b.label
@@ -106,7 +112,7 @@ _CLASS_SQL = f"""
 WITH s AS (
   SELECT vec_id, label, embedding FROM (
     SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY
-       ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), 1, 8))::BIGINT, vec_id) AS rn
+       ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), 1, 15))::BIGINT, vec_id) AS rn
     FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL) WHERE rn <= {N_PER_CLASS}),
 m AS (
   SELECT a.label AS class_i, b.label AS class_j,
@@ -159,8 +165,9 @@ SELECT 'diff', count(*), round(avg(distance), 6), round(median(distance), 6), ro
        round(min(distance), 6), round(max(distance), 6) FROM diff
 """)
 def f9_distance_stats(spark, sf):
-    s = PF.distance_stats(same_pairs(spark, sf)).withColumn("kind", F.lit("same"))
-    d = PF.distance_stats(diff_pairs(spark, sf)).withColumn("kind", F.lit("diff"))
+    same, diff = both_pairs(spark, sf)
+    s = PF.distance_stats(same).withColumn("kind", F.lit("same"))
+    d = PF.distance_stats(diff).withColumn("kind", F.lit("diff"))
     return _round(s.unionByName(d), _STATS_COLS)
 
 
@@ -209,7 +216,7 @@ _SUMMARY_SQL = _PAIRS_CTE + """
 
 
 def _summary(spark, sf):
-    ab = ST.tagged(same_pairs(spark, sf), diff_pairs(spark, sf))
+    ab = ST.tagged(*both_pairs(spark, sf))
     return ab, ST.two_sample_summary(ab)
 
 
@@ -266,4 +273,4 @@ def i5_effect_label(spark, sf):
 @register("i6_distance_report")
 def i6_distance_report(spark, sf):
     """One-row report incl. p-values (t distribution / normal tails): rows-only check."""
-    return ST.distance_report(same_pairs(spark, sf), diff_pairs(spark, sf))
+    return ST.distance_report(*both_pairs(spark, sf))

@@ -57,10 +57,15 @@ def f3_null_pct(spark, sf):
 
 
 @register("f4_shape_head", """
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_cols FROM events
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM events) AS n_rows, CAST(6 AS BIGINT) AS n_cols, event_id, event_type, value
+FROM events ORDER BY event_id LIMIT 5
 """)
 def f4_shape_head(spark, sf):
-    return PF.shape(read_table(spark, sf, "events"))
+    """The size of the table beside its first rows."""
+    e = read_table(spark, sf, "events")
+    size = PF.shape(e).select(F.struct("n_rows", "n_cols").alias("s")).scalar()
+    return PF.head(e, 5, "event_id").select(size["n_rows"].alias("n_rows"), size["n_cols"].alias("n_cols"),
+                                            "event_id", "event_type", "value")
 
 
 @register("f5_crosstab_counts", """

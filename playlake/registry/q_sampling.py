@@ -48,7 +48,7 @@ def d10_log_scale_weights(spark, sf):
 @register("d11_weighted_sample", """
 WITH c AS (SELECT event_type, 1.0 / sqrt(count(*)) AS weight FROM events GROUP BY event_type)
 SELECT event_id, event_type FROM events JOIN c USING (event_type)
-ORDER BY ln((('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8))::BIGINT + 0.5) / 4294967296.0) / weight DESC,
+ORDER BY ln((('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0) / weight DESC,
          event_id
 LIMIT 500
 """)
@@ -59,7 +59,7 @@ def d11_weighted_sample(spark, sf):
 
 
 @register("d12_split_3way", """
-WITH u AS (SELECT event_id, (('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':7'), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+WITH u AS (SELECT event_id, (('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':7'), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0 AS u
            FROM events)
 SELECT event_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split FROM u
 """)
@@ -69,7 +69,7 @@ def d12_split_3way(spark, sf):
 
 
 @register("j9_label_distribution", """
-WITH u AS (SELECT event_type, (('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':7'), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+WITH u AS (SELECT event_type, (('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':7'), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0 AS u
            FROM events)
 SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split, event_type,
        CAST(count(*) AS BIGINT) AS n
@@ -84,7 +84,7 @@ def j9_label_distribution(spark, sf):
 @register("g6_stratified_sample", """
 SELECT vec_id, label FROM (
   SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY
-     ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 8))::BIGINT, vec_id) AS rn
+     ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 15))::BIGINT, vec_id) AS rn
   FROM embeddings WHERE label IS NOT NULL) WHERE rn <= 20
 """)
 def g6_stratified_sample(spark, sf):

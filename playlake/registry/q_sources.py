@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.nesting import nest_sequences
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, written
 from ..sources import catalog as C
 from ..sources import files as S
 from ..sources import scans as R
@@ -118,15 +118,23 @@ def a7_create_table(spark, sf):
     o = read_table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("order_month"))
     C.write_clustered(o, name, "order_month", ["o_custkey", "o_orderkey"])
-    return spark.table(name).groupBy("order_month").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
+    out = written(spark.table(name).groupBy("order_month").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("n_customers")), "a7_result")
+    C.drop_database(spark, db)
+    return out
 
 
 @register("a10_scan_range", """
 SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1998-07-01'
 """)
 def a10_scan_range(spark, sf):
-    return R.scan_range(read_table(spark, sf, "lineitem"), "l_shipdate", "1997-03-01", "1998-06-30")
+    """From a table partitioned by month: only the folders inside the bounds are opened."""
+    li = read_table(spark, sf, "lineitem")
+    path = scratch_path(spark, "a10_table")
+    (li.withColumn("ship_month", F.trunc(F.to_date("l_shipdate"), "month")).hint("rebalance", "ship_month")
+     .write.partitionBy("ship_month").parquet(path))
+    months = R.read_partitioned(spark, path, "ship_month", "1997-03-01", "1998-06-01")
+    return R.scan_range(months, "l_shipdate", "1997-03-01", "1998-06-30").select(*li.columns)
 
 
 @register("a11_scan_since", "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
@@ -187,8 +195,11 @@ def a8_create_database(spark, sf):
     except ValueError:
         failed = True
     read_table(spark, sf, "orders").write.option("path", scratch_path(spark, "a8_t")).saveAsTable(f"{db}.orders_copy")
-    return spark.table(f"{db}.orders_copy").agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.lit(C.database_exists(spark, db)).alias("database_exists"), F.lit(failed).alias("second_create_failed"))
+    out = written(spark.table(f"{db}.orders_copy").agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.lit(C.database_exists(spark, db)).alias("database_exists"), F.lit(failed).alias("second_create_failed")),
+        "a8_result")
+    C.drop_database(spark, db)
+    return out
 
 
 @register("a9_table_exists", """
@@ -204,4 +215,6 @@ def a9_table_exists(spark, sf):
         F.lit("orders_copy").alias("table_name"), F.lit(C.table_exists(spark, f"{db}.orders_copy")).alias("table_exists"), "n")
     missing = spark.createDataFrame([("never_created", C.table_exists(spark, f"{db}.never_created"), 0)],
                                     "table_name string, table_exists boolean, n bigint")
-    return have.unionByName(missing)
+    out = written(have.unionByName(missing), "a9_result")
+    C.drop_database(spark, db)
+    return out

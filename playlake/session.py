@@ -66,5 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "playlake-tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df, name: str):
+    """``df`` written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
