@@ -10,6 +10,8 @@ broadcast coefficient matrix with column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -18,22 +20,24 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .sampling import class_weights
 
 
 # ------------------------------------------------------------------ D13
 def text_embed(df: DataFrame, text: str, out: str = "sentence_embeddings", dims: int = 384) -> DataFrame:
-    """Sentence -> unit-norm ``dims`` vector: tokens -> hashed TF -> IDF -> L2.
+    """Sentence -> unit-norm ``dims`` vector: tokens -> hashed TF -> IDF -> L2; the text is left out.
 
     The pretrained-encoder slot: any Arrow ``pandas_udf`` returning
     array<float> can replace this (see ``encoder_udf``).
     """
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)
-    t = tf.transform(tok.transform(df))
+    # written, so that the fit and the transform read term counts and the text is tokenised once
+    t = written(tf.transform(tok.transform(df)).drop("_tok", text), "term-counts")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
     n = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf.transform(t))
-    return n.withColumn(out, vector_to_array("_n", "float32")).drop("_tok", "_tf", "_idf", "_n")
+    return n.withColumn(out, vector_to_array("_n", "float32")).drop("_tf", "_idf", "_n")
 
 
 def encoder_udf(encode_batch, dims: int):
@@ -41,7 +45,7 @@ def encoder_udf(encode_batch, dims: int):
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             m = np.asarray(encode_batch(s.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(m))
@@ -71,7 +75,8 @@ def ridge_fit(df: DataFrame, x: str, y: str, lam: float = 1.0) -> np.ndarray:
     """Multi-output ridge with intercept: returns B of shape (dx + 1, dy).
 
     One pass over the data: each partition emits its partial [X 1]^T[X 1]
-    and [X 1]^T Y, Spark sums them element-wise, the driver solves.
+    and [X 1]^T Y as one array; a second stage of about the square root as
+    many tasks adds the arrays up, and the driver adds theirs and solves.
     """
     def partial(it):
         xtx = xty = None
@@ -86,18 +91,26 @@ def ridge_fit(df: DataFrame, x: str, y: str, lam: float = 1.0) -> np.ndarray:
             xty = b if xty is None else xty + b
         if xtx is not None:
             yield pd.DataFrame({"dx": [xtx.shape[0]], "dy": [xty.shape[1]],
-                                "xtx": [xtx.ravel().tolist()], "xty": [xty.ravel().tolist()]})
+                                "m": [np.concatenate([xtx.ravel(), xty.ravel()])]})
 
-    parts = df.select(x, y).mapInPandas(partial, "dx long, dy long, xtx array<double>, xty array<double>")
-    summed = parts.select("dx", "dy", F.posexplode("xtx").alias("i", "v"), F.lit("xtx").alias("m")) \
-        .unionByName(parts.select("dx", "dy", F.posexplode("xty").alias("i", "v"), F.lit("xty").alias("m"))) \
-        .groupBy("m", "i", "dx", "dy").agg(F.sum("v").alias("v"))
-    rows = summed.collect()  # (dx+1)^2 + (dx+1) x dy numbers: bounded by the dimensions
+    def total(it):
+        m = None
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                m = row.m if m is None else m + row.m
+                dx, dy = row.dx, row.dy
+        if m is not None:
+            yield pd.DataFrame({"dx": [dx], "dy": [dy], "m": [m]})
+
+    schema = "dx long, dy long, m array<double>"
+    spark = df.sparkSession
+    tasks = max(1, int(float(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    rows = df.select(x, y).mapInPandas(partial, schema).repartition(tasks).mapInPandas(total, schema).collect()
+    if not rows:
+        raise ValueError("no rows to fit")
     dx, dy = int(rows[0]["dx"]), int(rows[0]["dy"])
-    xtx, xty = np.zeros(dx * dx), np.zeros(dx * dy)
-    for r in rows:
-        (xtx if r["m"] == "xtx" else xty)[r["i"]] = r["v"]
-    xtx, xty = xtx.reshape(dx, dx), xty.reshape(dx, dy)
+    m = np.sum([np.asarray(r["m"]) for r in rows], axis=0)  # one array of (dx + 1)(dx + 1 + dy) numbers a task
+    xtx, xty = m[:dx * dx].reshape(dx, dx), m[dx * dx:].reshape(dx, dy)
     reg = lam * np.eye(dx)
     reg[-1, -1] = 0.0  # no penalty on the intercept
     return solve_spd(xtx + reg, xty)

@@ -30,7 +30,11 @@ def build_features(facts: DataFrame, items: str = "pitches", date_col: str = "ga
                    nominals=NOMINALS, binaries=BINARIES, players=PLAYERS, events_col: str = "events",
                    outcome_map: dict | None = None, remove=REMOVE, hash_method: str = "murmur3",
                    checkpoint: bool = True):
-    """Returns (features, key_table).  Expanded hash columns are ``<col><i>``."""
+    """Returns (features, key_table).
+
+    Expanded hash columns are ``<col><i>``; ``embedding_vector`` is null
+    until the embedding job fills it.
+    """
     flat = unnest(facts, items)
     cols = set(flat.columns)
     flat = flat.withColumn(f"{date_col}_int", date_to_int(date_col))
@@ -55,4 +59,5 @@ def build_features(facts: DataFrame, items: str = "pitches", date_col: str = "ga
         flat = EN.expand_vector(flat, c, int(width))
     flat = flat.drop(*[c for c in remove if c in flat.columns])
     flat = flat.dropna(subset=[events_col]) if events_col in flat.columns else flat
-    return flat.dropna(how="any"), EN.key_table(*keys)
+    flat = flat.dropna(how="any").withColumn("embedding_vector", F.lit(None).cast("array<double>"))
+    return flat, EN.key_table(*keys)

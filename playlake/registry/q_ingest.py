@@ -133,20 +133,60 @@ def k4_replace(spark, sf):
                                                                   & (F.month("l_shipdate") != 2)))
 
 
-@register("k5_load_features")
+_K5_EVENTS = {"A": "single", "R": "strikeout"}
+
+# header values come from the last line of an order; one row per line; the md5 form of the hash
+_K5_FEATURES = """
+WITH h AS (SELECT l_orderkey, arg_max(l_returnflag, o) AS event, arg_max(l_shipdate, o) AS d
+           FROM (SELECT *, (l_linenumber, l_partkey, l_quantity, l_extendedprice) AS o FROM lineitem) GROUP BY 1),
+k AS (SELECT label, count(*) OVER () + count(*) OVER () % 2 AS width,
+             ('0x' || substr(md5('l_tax_band=' || label), 1, 8))::BIGINT AS hv
+      FROM (SELECT DISTINCT CAST(l_tax > 0.04 AS VARCHAR) AS label FROM lineitem)),
+c AS (SELECT l_linestatus, row_number() OVER (ORDER BY l_linestatus) - 1 AS code
+      FROM (SELECT DISTINCT l_linestatus FROM lineitem WHERE l_linestatus IS NOT NULL))
+"""
+
+
+@register("k5_load_features", _K5_FEATURES + """
+SELECT l.l_orderkey, CAST(strftime(h.d, '%Y%m%d') AS BIGINT) AS l_shipdate_int,
+       CAST(CASE event WHEN 'A' THEN 1 WHEN 'R' THEN 5 ELSE 0 END AS BIGINT) AS l_returnflag,
+       l.l_linenumber, l_quantity, l_extendedprice, CAST(c.code AS BIGINT) AS l_linestatus,
+       CAST(CASE WHEN l_linenumber <> 3 THEN 1 ELSE 0 END AS BIGINT) AS runner,
+       CASE WHEN hv % width = 0 THEN CASE WHEN (hv // width) % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END AS l_tax_band0,
+       CASE WHEN hv % width = 1 THEN CASE WHEN (hv // width) % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END AS l_tax_band1,
+       true AS embedding_is_null
+FROM lineitem l JOIN h USING (l_orderkey) JOIN c USING (l_linestatus) JOIN k ON k.label = CAST(l.l_tax > 0.04 AS VARCHAR)
+""")
 def k5_load_features(spark, sf):
-    """Nested facts -> encoded, expanded feature rows, truncate-loaded (rows-only)."""
-    li = read_table(spark, sf, "lineitem").withColumn(
-        "runner", F.when(F.col("l_linenumber") != 3, F.col("l_suppkey")))
+    """Nested facts -> encoded, expanded feature rows, truncate-loaded and read back."""
+    feats, _ = _k5(spark, sf)
+    return feats.withColumn("embedding_is_null", F.col("embedding_vector").isNull()).drop("embedding_vector", "l_shipdate")
+
+
+@register("k5_key_table", _K5_FEATURES + """
+SELECT 'l_tax_band' AS feature, CAST(NULL AS BIGINT) AS code, label,
+       array_to_string(list_transform(range(0, width), lambda i: CASE WHEN i = hv % width THEN
+         (CASE WHEN (hv // width) % 2 = 0 THEN 1 ELSE -1 END) ELSE 0 END), ',') AS hash FROM k
+UNION ALL SELECT 'l_linestatus', CAST(code AS BIGINT), l_linestatus, NULL FROM c
+UNION ALL SELECT 'l_returnflag', CAST(i AS BIGINT), g, NULL FROM (SELECT unnest(range(0, 11)) AS i, unnest(
+  ['other', 'single', 'double', 'triple', 'homerun', 'strikeout', 'out', 'multi_out', 'walk', 'awarded_first', 'field_play']) AS g)
+""")
+def k5_key_table(spark, sf):
+    _, key = _k5(spark, sf)
+    return key.select("feature", "code", "label", F.array_join(F.col("hash").cast("array<string>"), ",").alias("hash"))
+
+
+def _k5(spark, sf):
+    li = read_table(spark, sf, "lineitem").withColumn("runner", F.when(F.col("l_linenumber") != 3, F.col("l_suppkey"))) \
+        .withColumn("l_tax_band", (F.col("l_tax") > 0.04).cast("string"))
     facts = IG.nest(li, IG.IngestSpec(
-        date_col="l_shipdate", keys=["l_orderkey"], order_cols=["l_linenumber"],
-        header_cols=["l_returnflag"],
-        item_cols=["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus", "runner"],
+        date_col="l_shipdate", keys=["l_orderkey"], order_cols=["l_linenumber"], header_cols=["l_returnflag"],
+        item_cols=["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus", "runner", "l_tax_band"],
         partition_col="l_shipdate", items_name="lines"))
-    feats, key = build_features(facts, items="lines", date_col="l_shipdate", nominals=["l_returnflag"],
-                                binaries=["l_linestatus"], players=["runner"], events_col="l_returnflag_evt",
-                                remove=["l_partkey"])
+    feats, key = build_features(facts, items="lines", date_col="l_shipdate", nominals=["l_tax_band"],
+                                binaries=["l_linestatus"], players=["runner"], events_col="l_returnflag",
+                                outcome_map=_K5_EVENTS, remove=["l_partkey"], hash_method="md5")
     path = scratch_path(spark, "k5_features")
-    feats.write.mode("overwrite").parquet(path)
-    key.write.mode("overwrite").parquet(path + "_key")
-    return spark.read.parquet(path)
+    S.write_disposition(feats, path, "WRITE_TRUNCATE")
+    S.write_disposition(key, path + "_key", "WRITE_TRUNCATE")
+    return spark.read.parquet(path), spark.read.parquet(path + "_key")
