@@ -22,7 +22,7 @@ MIN_HELD_OUT = 20
 # Distances of the quartiles by which a threshold lies outside them at least.
 FENCE = 3.0
 # n-grams a scoring task holds at once (about 120 bytes each); more are scored shard by shard.
-SHARD_GRAMS = 1_500_000
+SHARD_GRAMS = 1_000_000
 # Distinct words a task holds.
 MAX_WORDS = 400_000
 # Discounts where the counts of counts give none (fixed values).
@@ -150,8 +150,8 @@ def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SH
     shards = max(1, math.ceil(logs.count() / shard_grams))
     parts = None
     for i in range(shards):
-        rows = logs.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).collect()
-        table = spark.sparkContext.broadcast({r["gram"]: r["logp"] for r in rows})
+        rows = logs.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).toArrow()
+        table = spark.sparkContext.broadcast(dict(zip(rows["gram"].to_pylist(), rows["logp"].to_pylist())))
         part = docs.mapInPandas(_partial_scores(table, n),
                                 "id long, k1 long, k2 long, lang string, n long, logp double")
         if shards > 1:
