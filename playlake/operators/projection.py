@@ -95,8 +95,3 @@ def isin_filter(df: DataFrame, col: str, values, exclude: bool = False, keep_nul
 
 def contains_filter(df: DataFrame, col: str, needle: str) -> DataFrame:
     return df.where(F.col(col).contains(needle))
-
-
-def with_null_tokens(df: DataFrame, cols, fn) -> DataFrame:
-    """Apply a column function to each listed column that exists (D7 style)."""
-    return df.withColumns({c: fn(c) for c in cols if c in df.columns})

@@ -112,16 +112,6 @@ PITCH_INT_FIELDS = [
     "woba_denom", "babip_value", "iso_value",
 ]
 
-# --- fixed values: float-typed pitch fields ---------------------------------
-PITCH_FLOAT_FIELDS = [
-    "sz_top", "sz_bot", "release_pos_x", "release_pos_y", "release_pos_z",
-    "plate_x", "plate_z", "release_speed", "effective_speed",
-    "vx0", "vy0", "vz0", "ax", "ay", "az", "pfx_x", "pfx_z",
-    "release_extension", "hc_x", "hc_y", "launch_speed",
-    "woba_value", "estimated_ba_using_speedangle",
-    "estimated_woba_using_speedangle", "delta_home_win_exp", "delta_run_exp",
-]
-
 # Pitch struct fields: every cleaned column that is not an at-bat header.
 PITCH_COLUMNS = [c for c in FINAL_ORDER if c not in ATBAT_COLUMNS]
 
