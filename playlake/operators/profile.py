@@ -101,9 +101,8 @@ def distance_stats(df: DataFrame, col: str = "distance", group=None, exact: bool
 def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and outlier count per group.
 
-    Exact quartiles come from ``exact_quantiles`` (value counts + running
-    counts, spill-safe); the whiskers need a second pass over the data,
-    joined back on the group key.
+    Exact quartiles come from ``exact_quantiles``; the whiskers need one more
+    pass over the data, with the fences attached by ``dictionary_join``.
     """
     q = exact_quantiles(df, value, group, [0.25, 0.5, 0.75])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
@@ -119,33 +118,51 @@ def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     return q.join(w, group)
 
 
-def exact_quantiles(df: DataFrame, value: str, group: str | None, probs, names=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, group: str | None, probs, names=None, accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles (``quantile_cont``) per group.
 
-    Scales by distinct value, not by row: rows are first pre-aggregated to
-    (group, value, count) with a map-side combine, then a running count per
-    group (a sort-based window, which spills) gives each distinct value its
-    rank interval; one more aggregate picks the two order statistics around
-    each probability.  No in-memory buffer of all values is ever built.
-    With ``group=None`` the distinct values share one window partition; use
-    ``percentile_approx`` for a global quantile of a continuous column at scale.
+    A first pass brackets each quantile by approximate ones, whose rank error
+    is at most n / ``accuracy``.  A second counts the rows below each bracket
+    and gathers value counts inside it, about 4 n / ``accuracy`` rows a
+    quantile; only these are ordered by a window.  So a group that holds a
+    third of all rows is summed up in many tasks and never sorted in one.
+    Rows with a null group are left out.
     """
     gcols = [group] if group else []
-    vc = df.where(F.col(value).isNotNull()).groupBy(*gcols, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*gcols).orderBy(value)
-    vc = vc.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-           .withColumn("_n", F.sum("_c").over(Window.partitionBy(*gcols))) \
-           .withColumn("_lo", F.col("_hi") - F.col("_c"))
+    probs = [float(p) for p in probs]
     default = {0.25: "q1", 0.5: "q2", 0.75: "q3"}
     names = list(names) if names else [default.get(p, f"p{int(round(p * 1000))}") for p in probs]
+    rows = df.where(F.col(value).isNotNull()).select(*gcols, F.col(value).alias("_v"))
+    eps = 2.0 / accuracy
+    ends = F.array(*[F.lit(e) for p in probs for e in (max(0.0, p - eps), min(1.0, p + eps))])
+    brackets = rows.groupBy(*gcols).agg(F.percentile_approx("_v", ends, F.lit(accuracy)).alias("_b"), F.count("*").alias("_n"))
+    if group:
+        x = dictionary_join(rows, brackets, group, "inner")
+    else:
+        one = brackets.select(F.struct("_b", "_n").alias("_r")).scalar()
+        x = rows.withColumns({"_b": one["_b"], "_n": one["_n"]})
+    # place of a value for each quantile: 0 below its bracket, 1 inside, 2 above
+    place = [F.when(F.col("_v") < F.col("_b")[2 * i], 0).when(F.col("_v") <= F.col("_b")[2 * i + 1], 1).otherwise(2)
+             for i in range(len(probs))]
+    inside = F.array_compact(F.array(*[F.when(p == 1, F.lit(i)) for i, p in enumerate(place)]))
+    below = x.groupBy(*gcols).agg(F.max("_n").alias("_n"), *[F.count_if(p == 0).alias(f"_below{i}") for i, p in enumerate(place)])
+    vc = (x.select(*gcols, "_v", F.explode(inside).alias("_i")).groupBy(*gcols, "_i", "_v").agg(F.count("*").alias("_c")))
+    w = Window.partitionBy(*gcols, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    vc = vc.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    below = written(below, "below")
+    if group:
+        j = dictionary_join(vc, below, group, "inner")
+    else:
+        one = below.select(F.struct(*below.columns).alias("_r")).scalar()
+        j = vc.withColumns({c: one[c] for c in below.columns})
     aggs = []
-    for p, name in zip(probs, names):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        r_lo, r_hi = F.floor(pos), F.ceil(pos)
-        aggs += [F.min(F.when((F.col("_lo") <= r_lo) & (r_lo < F.col("_hi")), F.col(value))).alias(f"_lo_{name}"),
-                 F.min(F.when((F.col("_lo") <= r_hi) & (r_hi < F.col("_hi")), F.col(value))).alias(f"_hi_{name}"),
-                 F.first(pos - r_lo).alias(f"_fr_{name}")]
-    out = vc.groupBy(*gcols).agg(*aggs)
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        lo, hi = F.col("_lo") + F.col(f"_below{i}"), F.col("_hi") + F.col(f"_below{i}")
+        at = lambda r: F.min(F.when((F.col("_i") == i) & (lo <= r) & (r < hi), F.col("_v")))  # noqa: B023, E731
+        aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}"),
+                 F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
+    out = j.groupBy(*gcols).agg(*aggs)
     return out.select(*gcols, *[(F.col(f"_lo_{n}") + F.col(f"_fr_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
                                 for n in names])
 
