@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,10 @@ def _seeds(n: int):
                 to_left = at - (half - base)
                 right = np.where(at < len(wide), wide[np.minimum(at, len(wide) - 1)], np.uint64(0))
                 left = np.where(to_left >= 0, wide[np.maximum(to_left, 0)], np.uint64(0))
-                rows.append((k1, k2, at.astype(np.int32), _signed(short[at]), _signed(right), _signed(left)))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "at", "short", "rgt", "lft"])
+                whole = xxhash.xxh3_128_digest(b" ".join(words))
+                c1, c2 = np.frombuffer(whole, np.int64).tolist()
+                rows.append((k1, k2, c1, c2, at.astype(np.int32), _signed(short[at]), _signed(right), _signed(left)))
+            yield pd.DataFrame(rows, columns=["k1", "k2", "c1", "c2", "at", "short", "rgt", "lft"])
     return non_empty(run)
 
 
@@ -79,8 +82,12 @@ def _long_windows(n: int):
     return non_empty(run)
 
 
-def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
-    """(k1, k2, starts): where in each document (text, k1, k2) windows stand that start anywhere else too.
+def repeated_windows(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Where in documents (text, k1, k2) windows stand that start anywhere else too.
+
+    Two tables: (k1, k2) of the documents whose whole word sequence recurs,
+    so that all their windows do, and (k1, k2, starts) of others.  Of
+    documents with equal sequences one stands for all in what follows.
 
     Level one counts the windows of a quarter of the length, of which it is
     enough to take, from each long window, the one with the least hash: equal
@@ -90,9 +97,13 @@ def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
     counted by 128 bits.  Each level joins counts with places on the hash; a
     hash that holds a third of all places is split by the skew join.
     """
-    base, half = levels(n)
     seeds = saved(docs.select("text", "k1", "k2").mapInPandas(_seeds(n), (
-        "k1 long, k2 long, at array<int>, short array<long>, rgt array<long>, lft array<long>")), "seeds")
+        "k1 long, k2 long, c1 long, c2 long, at array<int>, short array<long>, rgt array<long>, lft array<long>")), "seeds")
+    first = F.min(F.struct("k1", "k2")).alias("first")
+    classes = seeds.groupBy("c1", "c2").agg(F.count("*").alias("m"), first).where("m > 1").drop("m")
+    copies = saved(seeds.select("c1", "c2", "k1", "k2").join(classes, ["c1", "c2"])
+                   .select("k1", "k2", (F.struct("k1", "k2") == F.col("first")).alias("stands")).distinct(), "copies")
+    seeds = pick_rows(seeds, copies.where("NOT stands").select("k1", "k2"), "left_anti")
     many = (seeds.select(F.explode("short").alias("short")).groupBy("short").agg(F.count("*").alias("m"))
             .where("m > 1").select("short"))
     one = (seeds.select("k1", "k2", F.explode(F.arrays_zip("at", "short", "rgt", "lft")).alias("s"))
@@ -112,17 +123,21 @@ def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
     many = (three.select(F.explode(F.arrays_zip("a", "b")).alias("w")).groupBy("w.a", "w.b")
             .agg(F.count("*").alias("m")).where("m > 1").select("a", "b"))
     three = three.select("k1", "k2", F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select("k1", "k2", "w.*")
-    return (three.join(many, ["a", "b"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts")))
+    found = three.join(many, ["a", "b"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    copies = copies.select("k1", "k2")
+    return copies, pick_rows(saved(found, "repeated"), copies, "left_anti")
 
 
 def _cut(n: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, starts in zip(pdf["text"], pdf["starts"]):
+            for text, whole, starts in zip(pdf["text"], pdf["whole"], pdf["starts"]):
                 words = _words(text)
                 gone = 0
-                if starts is not None and len(starts):
+                if whole:
+                    gone, rest = len(words), b""
+                elif starts is not None and len(starts):
                     mark = np.zeros(len(words) + 1, np.int32)
                     np.add.at(mark, starts, 1)
                     np.add.at(mark, np.asarray(starts) + n, -1)
@@ -156,12 +171,15 @@ def dedup_substrings(docs: DataFrame, n: int = 50, with_text: bool = True, id_co
     arrow_rows(docs.sparkSession, ARROW_ROWS)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                     *row_keys(F.col(id_col), F.col(text_col)))
-    found = saved(repeated_windows(d, n), "repeated")
-    keys = found.select("k1", "k2")
-    none = F.lit(None).cast("array<int>").alias("starts")
+    copies, found = repeated_windows(d, n)
+    no_starts = F.lit(None).cast("array<int>").alias("starts")
+    columns = ["id", "k1", "k2", "text"]
     # only texts that lose words meet their windows
-    rows = (pick_rows(d, keys, "left_semi").join(found, ["k1", "k2"]).select("id", "k1", "k2", "text", "starts")
-            .unionByName(pick_rows(d, keys, "left_anti").select("id", "k1", "k2", "text", none)))
+    keys = saved(copies.unionByName(found.select("k1", "k2")), "keys")
+    rows = (pick_rows(d, copies, "left_semi").select(*columns, F.lit(True).alias("whole"), no_starts)
+            .unionByName(pick_rows(d, found.select("k1", "k2"), "left_semi").join(found, ["k1", "k2"])
+                         .select(*columns, F.lit(False).alias("whole"), "starts"))
+            .unionByName(pick_rows(d, keys, "left_anti").select(*columns, F.lit(False).alias("whole"), no_starts)))
     out = rows.mapInPandas(_cut(n, with_text), (
         "id long, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string"))
     return out.withColumnRenamed("id", "doc_id")
