@@ -17,7 +17,7 @@ from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 # 30 bands of 6 bins: documents at a similarity of 0.85 share no band with probability (1 - 0.85^6)^30 < 1e-6.
 BANDS, BAND_BINS = 30, 6
 # Star rounds before what is left in buckets is compared pair by pair.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 ARROW_ROWS = 500
 
 
@@ -86,13 +86,16 @@ def _sets(words: int):
     return non_empty(run)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b, ...) whose full sets are similar enough; a may be a hub: its join is split when skewed."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with i, the size of what their full sets share, and ok, whether that makes a link.
+
+    a may be a hub: its join is split when skewed.
+    """
     p = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     p = p.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
     inter, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
     p = p.select(*pairs.columns, inter.alias("i"), total.alias("total"))
-    return p.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).select(*pairs.columns)
+    return p.withColumn("ok", F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).drop("total")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS,
@@ -113,8 +116,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     leaves the bucket, buckets whose members are linked to one centre are
     done, and the next star follows.  After a few rounds the members left
     over under different centres are compared pair by pair: no pair that
-    shares a bucket goes unexamined unless it is connected already or its
-    sizes forbid a link.
+    shares a bucket goes unexamined unless it is connected already, or its
+    sizes and what both share with the centre rule out a link.
 
     Returns one row per row of ``docs``: doc_id, k1, k2 (row key), n_shingles,
     group_id (one number a component; null without words), component_id
@@ -173,42 +176,52 @@ def _links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
     degree = left.groupBy("cid").agg(F.sum("size").alias("degree"))
     left = left.select("bucket", "cid", "n", "s").join(degree, "cid")
     # the most that two sets can share still has to be enough
-    fits = F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    links = tested = None
+    def enough(most):
+        return most * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+
+    tested = None
     for _ in range(STAR_ROUNDS):
         top = F.struct(F.col("degree"), (-F.col("cid")).alias("low"), F.col("n"), F.col("s"))
         centre = (left.groupBy("bucket").agg(F.max(top).alias("c"))
                   .select("bucket", (-F.col("c.low")).alias("a"), F.col("c.degree").alias("da"), F.col("c.n").alias("m"),
                           F.col("c.s").alias("t")))
-        star = saved(left.join(centre, "bucket").where(F.col("cid") != F.col("a")), "star")
-        pairs = (star.where(fits).select("a", F.col("cid").alias("b"), "da", F.least("a", "cid").alias("x"),
-                                         F.greatest("a", "cid").alias("y")).dropDuplicates(["x", "y"]))
+        star = left.join(centre, "bucket").where(F.col("cid") != F.col("a"))
+        star = saved(star.select("*", F.least("a", "cid").alias("x"), F.greatest("a", "cid").alias("y")), "star")
+        pairs = (star.where(enough(F.least("s", "t"))).select("a", F.col("cid").alias("b"), "da", "x", "y")
+                 .dropDuplicates(["x", "y"]))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
-        new = saved(_verified(pairs.select("a", "b", "da"), sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
+        new = saved(_compared(pairs, sets, percent), "compared")
+        tested = new if tested is None else tested.unionByName(new)
         # members linked to one centre, or to centres linked to one, are connected
-        own = links.groupBy("b").agg(F.max(F.struct("da", "a")).alias("c")).select("b", F.col("c.a").alias("a"))
+        own = tested.where("ok").groupBy("b").agg(F.max(F.struct("da", "a")).alias("c")).select("b", F.col("c.a").alias("a"))
         next_ = own.select(F.col("b").alias("a"), F.col("a").alias("up"))
         own = own.join(next_, "a", "left").select(F.col("b").alias("cid"), F.coalesce("up", "a").alias("group"))
-        rest = (star.select("bucket", "cid", "n", "s", "degree").join(own, "cid", "left")
+        rest = (star.select("bucket", "cid", "n", "s", "degree", "x", "y").join(own, "cid", "left")
                 .withColumn("group", F.coalesce("group", "cid")))
         apart = (rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"),
                                             F.count("*").alias("size")).where("lo < hi").select("bucket", "size"))
-        rest = saved(rest.join(apart, "bucket"), "left")
+        rest = saved(rest.join(apart, "bucket").join(tested.select("x", "y", "i"), ["x", "y"], "left").drop("x", "y"), "left")
         work = (rest.select("bucket", "size").distinct()
                 .agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("pairs"),
                      F.coalesce(F.sum("size"), F.lit(0)).alias("members")).first())
+        links = tested.where("ok").select("a", "b")
         if work["members"] == 0:
-            return links.select("a", "b")
+            return links
         left = rest.select("bucket", "cid", "n", "s", "degree")
         if work["pairs"] <= 8 * work["members"]:
             break
-    x = rest.select("bucket", F.col("cid").alias("a"), "n", "s", F.col("group").alias("ga"))
-    y = rest.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"),
-                    F.col("group").alias("gb"))
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & fits)
-    last = saved(_verified(pairs.select("a", "b").distinct(), sets, percent), "links")
-    return links.select("a", "b").unionByName(last)
+    # what two sets share lies in the centre or outside: i and s - i bound the two parts
+    known = F.col("i").isNotNull() & F.col("j").isNotNull()
+    most = F.when(known, F.least("i", "j") + F.least(F.col("s") - F.col("i"), F.col("t") - F.col("j"))).otherwise(F.least("s", "t"))
+    # a pair is made in one of its buckets
+    places = rest.groupBy("cid").agg(F.collect_set("bucket").alias("places"))
+    rest = rest.join(places, "cid")
+    x = rest.select("bucket", F.col("cid").alias("a"), "n", "s", "i", F.col("group").alias("ga"), F.col("places").alias("pa"))
+    y = rest.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("i").alias("j"),
+                    F.col("group").alias("gb"), F.col("places").alias("pb"))
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))
+                   & enough(F.least("s", "t")) & enough(most)
+                   & (F.array_min(F.array_intersect("pa", "pb")) == x["bucket"]))
+    last = saved(_compared(pairs.select("a", "b"), sets, percent), "compared")
+    return links.unionByName(last.where("ok").select("a", "b"))
