@@ -111,7 +111,7 @@ def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return saved(rows if known else rows.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
 
 
-def test_windows(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def item_windows(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The windows of all items: item (key of the row), item_id, start, words (array); one window if an item is shorter."""
     items = saved(benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
                   .mapInPandas(_item_words, "item string, words array<string>").where(F.size("words") > 0)
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: i
     spark = docs.sparkSession
     arrow_rows(spark, ARROW_ROWS)
     d = keyed(docs, id_col, text_col)
-    windows = saved(test_windows(benchmark, n, item_col, item_text_col), "windows")
+    windows = saved(item_windows(benchmark, n, item_col, item_text_col), "windows")
     terms = windows.select(F.explode("words").alias("term")).distinct()
     stats = saved(d.mapInPandas(_statistics(_dictionary(terms)),
                                 "id long, k1 long, k2 long, n long, term string, freq long"), "statistics")
