@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ WIDTH = 1.2
 BUCKET_ROWS = 128
 # Rows the scale of the projections is estimated from, and queries the number of probes is set by.
 SAMPLE_ROWS, SAMPLE_QUERIES = 2_000, 64
-RECALL = 0.95
+RECALL = 0.97
 MAX_PROBES = 1_024
 # A bucket is searched in blocks of at most so many rows and queries, by expectation.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
@@ -70,28 +69,21 @@ def probe_order(place: np.ndarray, probes: int) -> np.ndarray:
     """The codes of the ``probes`` buckets most likely to hold neighbours of a point, best first.
 
     A bucket differs from the point's own in some slots, each moved by 1 or
-    2; its score is the sum of the squared distances to the moved slots, and
-    sets of moves come from a heap in the order of their scores.
+    2; its score is the sum of the squared distances to the moved slots.
+    Hash by hash, the best so far are extended by all five moves and the best
+    kept: scores only grow, so none of the best is lost.
     """
     own = np.floor(place).astype(np.int64)
-    inside = place - own
-    moves = sorted((float(d) ** 2, i, s) for i, x in enumerate(inside)
-                   for s, d in ((-1, x), (1, 1 - x), (-2, 1 + x), (2, 2 - x)))
-    out = [own]
-    heap = [(moves[0][0], (0,))]
-    while heap and len(out) < probes:
-        score, chosen = heapq.heappop(heap)
-        last = chosen[-1]
-        if last + 1 < len(moves):
-            step = moves[last + 1][0]
-            heapq.heappush(heap, (score - moves[last][0] + step, (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (score + step, (*chosen, last + 1)))
-        if len({moves[j][1] for j in chosen}) == len(chosen):
-            codes = own.copy()
-            for j in chosen:
-                codes[moves[j][1]] += moves[j][2]
-            out.append(codes)
-    return np.stack(out)
+    x = place - own
+    moves = np.array([0, -1, 1, -2, 2])
+    cost = np.stack([np.zeros_like(x), x, 1 - x, 1 + x, 2 - x], axis=1) ** 2
+    score, codes = np.zeros(1), np.empty((1, 0), np.int64)
+    for i in range(len(own)):
+        s = (score[:, None] + cost[i]).ravel()
+        keep = np.argsort(s, kind="stable")[:probes]
+        score = s[keep]
+        codes = np.concatenate([codes[keep // 5], (own[i] + moves[keep % 5])[:, None]], axis=1)
+    return codes
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int):
@@ -252,7 +244,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     the tables give is ranked by exact distances on the original vectors.
     The number of hashes follows the logarithm of the rows; slot width and
     number of probes are fitted on a bounded sample (2000 rows, 64 queries,
-    whose true neighbours a scan of all rows finds) for a recall of 0.95 on
+    whose true neighbours a scan of all rows finds) for a recall of 0.97 on
     it.  Buckets are searched in blocks of bounded numbers of rows and
     queries, so a bucket that holds a third of all rows is dealt to many
     tasks, and no pair becomes a row.  Queries left with fewer than ``k``
