@@ -1,11 +1,14 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney character n-gram model of trusted text."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney word model of trusted text, with spelt-out new words."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,12 @@ MAX_WORDS = 400_000
 # Discounts where the counts of counts give none (fixed values).
 FALLBACK = (0.5, 1.0, 1.5)
 START, END = "\x02", "\x03"
+# Words of an n-gram; the place before a text's first word has the id 0.
+WORD_ORDER = 3
+# Documents scored together: what they look up is gathered once for all of them.
+CHUNK_DOCS = 256
+# Bits of the filter of the model's keys that is sent to the tasks (16 MB); it drops lookups that can't hit, no others.
+FILTER_BITS = 2 ** 27
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -58,17 +67,73 @@ def _gram_counts(n: int, distinct: bool):
     return non_empty(run)
 
 
-def kneser_ney(counts: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame]]:
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words: set = set()
+    for pdf in batches:
+        for text in pdf["text"]:
+            if text:
+                words.update(text.split())
+            if len(words) > MAX_WORDS:
+                yield pd.DataFrame({"word": list(words)})
+                words.clear()
+    yield pd.DataFrame({"word": list(words)})
+
+
+def word_id(word: str) -> int:
+    """64 bits that stand for a word; two words that share them count as one."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _ids(words: list[str], known: dict[str, int]) -> list[int]:
+    if len(known) > MAX_WORDS:
+        known.clear()
+    out = []
+    for w in words:
+        i = known.get(w)
+        if i is None:
+            i = known[w] = word_id(w)
+        out.append(i)
+    return out
+
+
+def _word_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"id": _ids(list(pdf["word"]), {}), "word": pdf["word"]})
+
+
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
+    grams: Counter = Counter()
+
+    def flush():
+        out = pd.DataFrame(list(grams), columns=["a", "b", "c"], dtype="int64").assign(cnt=list(grams.values()))
+        grams.clear()
+        return out
+
+    for pdf in batches:
+        for text in pdf["text"]:
+            ids = _ids(text.split() if text else [], known)
+            grams.update(zip([0, 0, *ids], [0, *ids], ids))
+            if len(grams) > MAX_WORDS:
+                yield flush()
+    yield flush()
+
+
+def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
     """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p) and (context, gamma).
 
-    Lower orders count the different characters that stand before a gram.
+    A gram is a string of ``n`` characters or an array of ``n`` word ids.
+    Lower orders count the different units that stand before a gram; below
+    order 1 lies ``base`` (gram, base), or an equal share for each unit.
     Each order has three discounts from its counts of counts.  All tables
     are keyed by the n-gram and joined on it, hash-partitioned.
     """
+    words = dict(counts.dtypes)["gram"] != "string"
+    after = F.expr("slice(gram, 2, size(gram) - 1)" if words else "substr(gram, 2)")
+    ahead = F.expr("slice(gram, 1, size(gram) - 1)" if words else "left(gram, length(gram) - 1)")
     orders = {n: saved(counts.groupBy("gram").agg(F.sum("cnt").alias("cnt")), "grams")}
     for k in range(n - 1, 0, -1):
-        orders[k] = saved(orders[k + 1].groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("cnt")),
-                          "grams")
+        orders[k] = saved(orders[k + 1].groupBy(after.alias("gram")).agg(F.count("*").alias("cnt")), "grams")
     model: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, n + 1):
         nn = orders[k].agg(*[F.count_if(F.col("cnt") == i).alias(f"n{i}") for i in (1, 2, 3, 4)],
@@ -79,20 +144,21 @@ def kneser_ney(counts: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame]]:
             own = tuple(i - (i + 1) * y * nn[f"n{i + 1}"] / nn[f"n{i}"] for i in (1, 2, 3))
             d = own if all(0 < own[i - 1] <= i for i in (1, 2, 3)) else FALLBACK
         discount = F.when(F.col("cnt") == 1, d[0]).when(F.col("cnt") == 2, d[1]).otherwise(d[2])
-        g = orders[k].select("gram", F.expr("left(gram, length(gram) - 1)").alias("context"), "cnt",
-                             discount.alias("d"))
+        g = orders[k].select("gram", ahead.alias("context"), "cnt", discount.alias("d"))
         # the discounts of a context added as counts, so that the order of rows does not show in the last digits
         c = g.groupBy("context").agg(F.sum("cnt").alias("total"), F.count_if(F.col("cnt") == 1).alias("c1"),
                                      F.count_if(F.col("cnt") == 2).alias("c2"), F.count_if(F.col("cnt") > 2).alias("c3"))
         gamma = (F.col("c1") * d[0] + F.col("c2") * d[1] + F.col("c3") * d[2]) / F.col("total")
         c = c.select("context", "total", gamma.alias("gamma"))
         joined = g.join(c, "context")
-        if k == 1:
-            lower = F.lit(1.0 / (nn["types"] + 1))
-        else:
+        if k > 1:
             below = model[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
-            joined = joined.join(below, F.expr("substr(gram, 2)") == F.col("suffix"))
+            joined = joined.join(below, after == F.col("suffix"))
             lower = F.col("below")
+        elif base is not None:
+            joined, lower = joined.join(base, "gram"), F.col("base")
+        else:
+            lower = F.lit(1.0 / (nn["types"] + 1))
         p = (F.col("cnt") - F.col("d")) / F.col("total") + F.col("gamma") * lower
         model.append((saved(joined.select("gram", p.alias("p")), "model"), saved(c.select("context", "gamma"), "gamma")))
     return model
@@ -164,6 +230,174 @@ def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SH
                         F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
 
 
+def _mix(salt: int, *ids: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each row of ``ids``; ``salt`` tells kinds of keys apart."""
+    h = np.full(len(ids[0]), salt, "uint64") * np.uint64(0x9E3779B97F4A7C15)
+    for x in ids:
+        h = (h ^ np.asarray(x, "int64").view("uint64")) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h.view("int64")
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, v, c) from (kind, a, b, c3, v, c): kinds 1 to 3 are n-grams, 4 and 5 contexts of one and two words."""
+    used = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c3"], 4: ["a"], 5: ["a", "b"]}
+    for pdf in batches:
+        for kind, rows in pdf.groupby("kind"):
+            yield pd.DataFrame({"key": _mix(int(kind), *[rows[x].to_numpy() for x in used[int(kind)]]),
+                                "v": rows["v"].to_numpy(), "c": rows["c"].to_numpy()})
+
+
+def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """What is added up for a word in its place, as (key, v, c): one row per word, and the rest of the model.
+
+    ``vocabulary`` (id, lp) has the logarithm of each word as spelt.  A place
+    has v of its word, and of each context and n-gram around it that the
+    model has; the sum is the logarithm of the interpolated probability.
+    c is the word as spelt.
+    """
+    (p1, g0), (p2, g1), (p3, g2) = model
+    spare = g0.first()
+    one = p1.select(F.col("gram")[0].alias("id"), F.col("p").alias("p1"))
+    unseen = F.col("lp") + (math.log(spare["gamma"]) if spare else 0.0)
+    words = vocabulary.join(one, "id", "left").select("id", F.coalesce(F.log("p1"), unseen).alias("v"), "lp")
+
+    def rows(df: DataFrame, kind: int, gram: str, v: Column, c: Column | None = None) -> DataFrame:
+        part = lambda i: F.coalesce(F.get(gram, F.lit(i)), F.lit(0).cast("long"))
+        return df.select(F.lit(kind).alias("kind"), part(0).alias("a"), part(1).alias("b"), part(2).alias("c3"),
+                         v.alias("v"), (F.lit(0.0) if c is None else c).alias("c"))
+
+    two = (p2.select("gram", "p", F.slice("gram", 1, 1).alias("context"), F.slice("gram", 2, 1).alias("tail"))
+           .join(g1, "context").join(p1.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
+    three = (p3.select("gram", "p", F.slice("gram", 1, 2).alias("context"), F.slice("gram", 2, 2).alias("tail"))
+             .join(g2, "context").join(p2.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
+    more = F.log("p") - F.log("gamma") - F.log("below")
+    rest = (rows(two, 2, "gram", more).unionByName(rows(three, 3, "gram", more))
+            .unionByName(rows(g1, 4, "context", F.log("gamma"))).unionByName(rows(g2, 5, "context", F.log("gamma"))))
+    w = words.select(F.array("id").alias("gram"), "v", "lp")
+    schema = "key long, v double, c double"
+    return (saved(rows(w, 1, "gram", F.col("v"), F.col("lp")).mapInPandas(non_empty(_keyed), schema), "words"),
+            saved(rest.mapInPandas(non_empty(_keyed), schema), "rest"))
+
+
+def _bit(keys: np.ndarray) -> list[np.ndarray]:
+    u = keys.view("uint64")
+    return [(u % np.uint64(FILTER_BITS)).astype("int64"), ((u >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype("int64")]
+
+
+def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for pdf in batches:
+        for b in _bit(pdf["key"].to_numpy()):
+            bits[b] = True
+    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+
+def _key_filter(rest: DataFrame):
+    """The filter of the keys of ``rest``, broadcast: of bounded size, whatever the model's."""
+    rows = rest.select("key").coalesce(4).mapInPandas(_filter_bits, "bits binary").toLocalIterator()
+    parts = (np.frombuffer(r["bits"], "uint8") for r in rows)
+    bits = reduce(np.bitwise_or, parts, np.zeros(FILTER_BITS // 8, "uint8"))
+    return rest.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+class _Places:
+    """The words of some texts in one row each: owner (number of the text), size (characters and end), keys by kind."""
+
+    def __init__(self, texts, known: dict[str, int]):
+        ids: list[int] = []
+        size: list[int] = []
+        counts = []
+        for text in texts:
+            words = text.split() if text else []
+            ids += _ids(words, known)
+            size += [len(w) + 1 for w in words]
+            counts.append(len(words))
+        self.counts = np.array(counts, "int64")
+        self.owner = np.repeat(np.arange(len(counts)), self.counts)
+        self.size = np.array(size, "int64")
+        w = np.array(ids, "int64")
+        self.at = np.arange(len(w)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        one, two = (np.where(self.at >= k, np.concatenate([np.zeros(k, "int64"), w])[:len(w)], 0) for k in (1, 2))
+        self.keys = {1: _mix(1, w), 2: _mix(2, one, w), 3: _mix(3, two, one, w), 4: _mix(4, one), 5: _mix(5, two, one)}
+
+
+def _gather(bits):
+    known: dict[str, int] = {}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.frombuffer(bits.value, "uint8")
+        places = _Places(pdf["text"], known)
+        out = [np.unique(places.keys[1])]
+        for kind in (2, 3, 4, 5):
+            keys = np.unique(places.keys[kind])
+            hit = np.ones(len(keys), bool)
+            for b in _bit(keys):
+                hit &= ((table[b >> 3] >> (7 - (b & 7)).astype("uint8")) & 1).astype(bool)
+            out.append(keys[hit])
+        keys = np.concatenate(out)
+        return pd.DataFrame({"chunk": np.full(len(keys), pdf["chunk"].iloc[0] if len(pdf) else 0), "key": keys})
+    return run
+
+
+def _repeats(places: _Places) -> np.ndarray:
+    """Per text the share of its three-word places whose words stood together earlier in it."""
+    inside = places.at >= WORD_ORDER - 1
+    owner, keys = places.owner[inside], places.keys[3][inside]
+    total = np.bincount(owner, minlength=len(places.counts))
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
+    return np.bincount(owner, again, minlength=len(total)) / np.maximum(total, 1)
+
+
+def _score_chunk():
+    known: dict[str, int] = {}
+
+    def run(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        places = _Places(docs["text"], known)
+        table = table.sort_values("key")
+        keys, v, c = (table[x].to_numpy() for x in ("key", "v", "c"))
+        logp, spelt = np.zeros(len(places.owner)), np.zeros(len(places.owner))
+        for kind, k in places.keys.items():
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                hit = keys[i] == k
+                logp += np.where(hit, v[i], 0.0)
+                if kind == 1:
+                    spelt += np.where(hit, c[i], 0.0)
+        m = len(places.counts)
+        add = lambda x: np.bincount(places.owner, x, minlength=m)
+        n = add(places.size)
+        with np.errstate(all="ignore"):
+            mean = [np.where(n > 0, -add(x) / n, np.nan) for x in (logp, spelt)]
+        return pd.DataFrame({"id": docs["id"], "k1": docs["k1"], "k2": docs["k2"], "lang": docs["lang"],
+                             "n": n.astype("int64"), "cost": mean[0], "spelling": mean[1], "repeats": _repeats(places)})
+    return run
+
+
+SCORES = "id long, k1 long, k2 long, lang string, n long, cost double, spelling double, repeats double"
+
+
+def score_documents(docs: DataFrame, words: DataFrame, rest: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (id, k1, k2, lang, text) its scores under the model of :func:`score_table`.
+
+    The different keys of each chunk of documents are gathered, joined with
+    the table by key, and meet the chunk's texts again, so that no table is
+    held by a task or passes the driver.
+    """
+    chunks = max(1, math.ceil(docs.count() / CHUNK_DOCS))
+    d = docs.withColumn("chunk", F.pmod(F.col("k1"), F.lit(chunks)))
+    wanted = (d.where("text IS NOT NULL").select("chunk", "text").groupBy("chunk")
+              .applyInPandas(_gather(_key_filter(rest)), "chunk long, key long"))
+    found = wanted.join(words.unionByName(rest).hint("merge"), "key").select("chunk", "key", "v", "c")
+    out = d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk(), SCORES)
+    null = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
+    return out.select("id", "k1", "k2", "lang", "n", null("cost"), null("spelling"), null("repeats"))
+
+
 def _trusted_ids(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, DataFrame]:
     """Ids to train on and ids to set thresholds by."""
     t = (labels.where("doc_id IS NOT NULL").groupBy("doc_id")
@@ -183,11 +417,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     Trusted are the documents that ``labels`` (doc_id, quality, toxic) calls
     good and not toxic, at most about ``max_labelled`` of them; repeated
     labels must agree.  Four in five train an interpolated modified
-    Kneser-Ney model of character ``order``-grams inside words (white space
-    ends a word); the fifth sets, for each language, the quantiles
-    between which perplexities are accepted (:func:`thresholds`).  All different
-    n-grams of the corpus are gathered, joined with the model's counts once
-    each, and dealt back to the documents in shards of bounded size.
+    Kneser-Ney model of three words over the running text (white space ends
+    a word).  Below single words lies a model of their spelling by
+    character ``order``-grams, so that words never seen have a probability.
+    The fifth sets, for each language, quantiles (:func:`thresholds`): a
+    document is rejected if its perplexity is above ``high`` of them, if
+    its words as spelt are below ``low`` (training texts and their copies
+    are known by heart as words, so that their perplexity has no lower
+    bound), or if more of its word triples repeat inside it than in
+    ``high`` of them.
 
     Returns one row per row of ``docs``: doc_id, k1, k2 (row key), lang,
     n_chars (predicted characters), perplexity (null without words), rejected.
@@ -202,45 +440,64 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
                     F.col(lang_col).cast("string").alias("lang"), *row_keys(F.col(id_col), F.col(text_col)))
     train, held = (F.broadcast(x.select(F.col("doc_id").cast("long").alias("id")))
                    for x in _trusted_ids(labels, max_labelled))
-    counts = (d.select("id", "text").join(train, "id", "left_semi").select("text")
-              .mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long"))
-    model = kneser_ney(counts, order)
-    types = model[0][0].count()
-    grams = (d.select("text").mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
+    texts = d.select("id", "text").join(train, "id", "left_semi").select("text")
+    counts = texts.mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
+    spelling = kneser_ney(counts, order)
+    types = spelling[0][0].count()
+    # every word of the corpus once, as spelt
+    vocabulary = (d.select("text").mapInPandas(non_empty(_distinct_words), "word string").distinct()
+                  .mapInPandas(_word_ids, "id long, word string").groupBy("id").agg(F.min("word").alias("text")))
+    vocabulary = saved(vocabulary, "vocabulary")
+    grams = (vocabulary.mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
              .groupBy("gram").agg(F.count("*").alias("c")).select("gram"))
-    logs = saved(gram_logs(saved(grams, "corpus-grams"), model, types), "logs")
-    scores = saved(perplexities(d, logs, order, shard_grams), "scores")
-    bounds = thresholds(scores.join(held, "id", "left_semi"), low, high)
-    return _judged(scores, bounds)
+    logs = saved(gram_logs(saved(grams, "corpus-grams"), spelling, types), "logs")
+    spelt = perplexities(vocabulary.select("id", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"),
+                                           F.lit("").alias("lang"), "text"), logs, order, shard_grams)
+    spelt = saved(spelt.select("id", (-F.log("perplexity") * F.col("n")).alias("lp")), "spelt")
+    triples = texts.mapInPandas(non_empty(_word_counts), "a long, b long, c long, cnt long")
+    base = spelt.select(F.array("id").alias("gram"), F.exp("lp").alias("base"))
+    model = kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base)
+    scores = saved(score_documents(d, *score_table(spelt, model)), "scores")
+    return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
+
+
+# The scores that have an upper (True) or lower bound.
+BOUNDED = {"cost": True, "spelling": False, "repeats": True}
 
 
 def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """(lang, lo, hi) of the languages of ``scores``, and one row with every = true for all others.
+    """(lang, one bound for each of ``BOUNDED``) of the languages of ``scores``; every = true in one row for all others.
 
-    The quantiles ``low`` and ``high`` of the logarithms, or the quartiles
-    moved out by ``FENCE`` times their distance if that is farther: a few
-    documents don't tell the outer quantiles.
+    The quantile ``low`` or ``high``, or the quartile moved out by ``FENCE``
+    times the quartiles' distance if that is farther: a few documents don't
+    tell the outer quantiles.
     """
-    s = scores.where("perplexity IS NOT NULL").withColumn("x", F.log("perplexity"))
-    q = F.percentile_approx("x", F.array(*[F.lit(x) for x in (low, 0.25, 0.75, high)]), F.lit(10_000)).alias("q")
-    own = s.groupBy("lang").agg(q, F.count("*").alias("m")).where(F.col("m") >= MIN_HELD_OUT)
-    rows = (own.select("lang", "q", F.lit(False).alias("every"))
-            .unionByName(s.agg(q).select(F.lit(None).cast("string").alias("lang"), "q", F.lit(True).alias("every"))))
-    margin = FENCE * (F.col("q")[2] - F.col("q")[1])
-    return rows.select("lang", F.exp(F.least(F.col("q")[0], F.col("q")[1] - margin)).alias("lo"),
-                       F.exp(F.greatest(F.col("q")[3], F.col("q")[2] + margin)).alias("hi"), "every")
+    s = scores.where("cost IS NOT NULL")
+    q = [F.percentile_approx(c, F.array(*[F.lit(x) for x in (0.25, 0.75, high if up else low)]), F.lit(10_000)).alias(c)
+         for c, up in BOUNDED.items()]
+    own = s.groupBy("lang").agg(*q, F.count("*").alias("m")).where(F.col("m") >= MIN_HELD_OUT).withColumn("every", F.lit(False))
+    every = s.agg(*q, F.count("*").alias("m")).select(F.lit(None).cast("string").alias("lang"), *BOUNDED, "m",
+                                                      F.lit(True).alias("every"))
+
+    def bound(c: str, up: bool) -> Column:
+        first, third, outer = (F.col(c)[i] for i in range(3))
+        margin = FENCE * (third - first)
+        return F.greatest(outer, third + margin) if up else F.least(outer, first - margin)
+
+    return own.unionByName(every).select("lang", *[bound(c, up).alias(c) for c, up in BOUNDED.items()], "every")
 
 
 def _judged(scores: DataFrame, bounds: DataFrame) -> DataFrame:
     bounds = saved(bounds, "bounds")
     rest = bounds.where("every").first()
-    # one row per language: quantiles of perplexities, joined by the language's name
-    own = bounds.where("NOT every").select(F.col("lang").alias("own"), "lo", "hi")
-    s = scores.join(own, F.col("lang").eqNullSafe(F.col("own")), "left")
+    # one row per language: bounds of its scores, joined by the language's name
+    own = bounds.where("NOT every").select(F.col("lang").alias("own"), *[F.col(c).alias(f"own_{c}") for c in BOUNDED])
+    s = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("own")), "left")
 
-    def bound(name: str) -> Column:
-        return F.coalesce(name, F.lit(rest[name]).cast("double"))
+    def beyond(c: str, up: bool) -> Column:
+        bound = F.coalesce(f"own_{c}", F.lit(rest[c]).cast("double"))
+        return F.coalesce(F.col(c) > bound if up else F.col(c) < bound, F.lit(False))
 
-    bad = (F.col("perplexity") < bound("lo")) | (F.col("perplexity") > bound("hi"))
-    return s.select(F.col("id").alias("doc_id"), "k1", "k2", "lang", F.col("n").alias("n_chars"), "perplexity",
-                    F.coalesce(bad, F.lit(False)).alias("rejected"))
+    bad = reduce(Column.__or__, [beyond(c, up) for c, up in BOUNDED.items()])
+    return s.select(F.col("id").alias("doc_id"), "k1", "k2", "lang", F.col("n").alias("n_chars"),
+                    F.exp("cost").alias("perplexity"), bad.alias("rejected"))
