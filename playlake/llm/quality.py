@@ -22,8 +22,12 @@ MAX_LABELLED = 1_000_000
 HOLD_OUT = 5
 # Languages with fewer held-out documents take the quantiles of all languages together.
 MIN_HELD_OUT = 20
-# Distances of the quartiles by which a threshold lies outside them at least.
+# Distances of the quartiles by which a threshold lies outside them if there are too few documents for a quantile.
 FENCE = 3.0
+# Words of the runs whose worst mean is a score of its own.
+RUNS = (1, 3)
+# No bound that is not a pure quantile rejects a smaller share of repeats (fixed value).
+REPEATS = 0.5
 # n-grams a scoring task holds at once (about 120 bytes each); more are scored shard by shard.
 SHARD_GRAMS = 1_000_000
 # Distinct words a task holds.
@@ -353,6 +357,18 @@ def _repeats(places: _Places) -> np.ndarray:
     return np.bincount(owner, again, minlength=len(total)) / np.maximum(total, 1)
 
 
+def _worst_run(cost: np.ndarray, size: np.ndarray, counts: np.ndarray, run: int) -> np.ndarray:
+    """Per text the greatest cost per character of ``run`` words in a row, of all of its words if it has fewer."""
+    out = np.full(len(counts), np.nan)
+    stop = np.cumsum(counts)
+    for i, (a, b) in enumerate(zip(stop - counts, stop)):
+        if b > a:
+            k = min(run, b - a)
+            c, n = (np.concatenate([[0.0], np.cumsum(x[a:b])]) for x in (cost, size))
+            out[i] = ((c[k:] - c[:-k]) / (n[k:] - n[:-k])).max()
+    return out
+
+
 def _score_chunk():
     known: dict[str, int] = {}
 
@@ -374,11 +390,13 @@ def _score_chunk():
         with np.errstate(all="ignore"):
             mean = [np.where(n > 0, -add(x) / n, np.nan) for x in (logp, spelt)]
         return pd.DataFrame({"id": docs["id"], "k1": docs["k1"], "k2": docs["k2"], "lang": docs["lang"],
-                             "n": n.astype("int64"), "cost": mean[0], "spelling": mean[1], "repeats": _repeats(places)})
+                             "n": n.astype("int64"), "cost": mean[0], "spelling": mean[1], "repeats": _repeats(places),
+                             **{f"run{k}": _worst_run(-logp, places.size, places.counts, k) for k in RUNS}})
     return run
 
 
-SCORES = "id long, k1 long, k2 long, lang string, n long, cost double, spelling double, repeats double"
+SCORES = "id long, k1 long, k2 long, lang string, n long, cost double, spelling double, repeats double" \
+    + "".join(f", run{k} double" for k in RUNS)
 
 
 def score_documents(docs: DataFrame, words: DataFrame, rest: DataFrame) -> DataFrame:
@@ -395,7 +413,7 @@ def score_documents(docs: DataFrame, words: DataFrame, rest: DataFrame) -> DataF
     found = wanted.join(words.unionByName(rest).hint("merge"), "key").select("chunk", "key", "v", "c")
     out = d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk(), SCORES)
     null = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
-    return out.select("id", "k1", "k2", "lang", "n", null("cost"), null("spelling"), null("repeats"))
+    return out.select("id", "k1", "k2", "lang", "n", *[null(c) for c in BOUNDED])
 
 
 def _trusted_ids(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, DataFrame]:
@@ -424,8 +442,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     document is rejected if its perplexity is above ``high`` of them, if
     its words as spelt are below ``low`` (training texts and their copies
     are known by heart as words, so that their perplexity has no lower
-    bound), or if more of its word triples repeat inside it than in
-    ``high`` of them.
+    bound), if more of its word triples repeat inside it than in ``high`` of
+    them, or if its worst run of words (of each length of ``RUNS``) is worse
+    than that of ``high`` of them: clean text around a passage doesn't
+    dilute it.
 
     Returns one row per row of ``docs``: doc_id, k1, k2 (row key), lang,
     n_chars (predicted characters), perplexity (null without words), rejected.
@@ -462,15 +482,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
 
 
 # The scores that have an upper (True) or lower bound.
-BOUNDED = {"cost": True, "spelling": False, "repeats": True}
+BOUNDED = {"cost": True, "spelling": False, "repeats": True, **{f"run{k}": True for k in RUNS}}
 
 
 def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
     """(lang, one bound for each of ``BOUNDED``) of the languages of ``scores``; every = true in one row for all others.
 
-    The quantile ``low`` or ``high``, or the quartile moved out by ``FENCE``
-    times the quartiles' distance if that is farther: a few documents don't
-    tell the outer quantiles.
+    The bound is the quantile ``low`` or ``high`` wherever the held-out
+    documents support it, that is if one of them is expected beyond.  A few
+    don't tell the outer quantiles: the fewer they are, the nearer the bound
+    moves to the quartile moved out by ``FENCE`` times the quartiles'
+    distance, if that is farther.
     """
     s = scores.where("cost IS NOT NULL")
     q = [F.percentile_approx(c, F.array(*[F.lit(x) for x in (0.25, 0.75, high if up else low)]), F.lit(10_000)).alias(c)
@@ -482,7 +504,11 @@ def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
     def bound(c: str, up: bool) -> Column:
         first, third, outer = (F.col(c)[i] for i in range(3))
         margin = FENCE * (third - first)
-        return F.greatest(outer, third + margin) if up else F.least(outer, first - margin)
+        loose = F.greatest(outer, third + margin) if up else F.least(outer, first - margin)
+        if c == "repeats":
+            loose = F.greatest(loose, F.lit(REPEATS))
+        unsure = F.greatest(F.lit(0.0), 1 - F.col("m") * (1 - high if up else low))
+        return outer + unsure * (loose - outer)
 
     return own.unionByName(every).select("lang", *[bound(c, up).alias(c) for c, up in BOUNDED.items()], "every")
 
