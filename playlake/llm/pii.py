@@ -20,13 +20,15 @@ PATTERNS = {
 TRIGGERS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 # A mention: a run of non-space characters with a digit or @ in it.
 MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# Groups of digits parted by single spaces, a mention too.
+GROUPS = (r"(?<![^\x20\x09-\x0D])[(]?[0-9][0-9().-]*+(?: [(]?[0-9][0-9.-]*[0-9][0-9().-]*+)++(?![A-Za-z0-9@])")
 CONTEXT_CHARS = 64
 # What a mention must look like to be taken for a kind, apart from its contexts.
 SHAPES = {
     "email": r"\A[^@]+@[^@]+\z",
     "ip": r"\A(?:[0-9]{1,3}[.:]){2,7}[0-9]{1,5}\z|\A(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}\z",
     "card": r"\A(?:[0-9][ -]?){11,18}[0-9]\z",
-    "phone": r"\A[(]?[0-9](?:[().-]?[0-9]){6,14}\z",
+    "phone": r"\A[(]?[0-9](?:[().-]? ?[(]?[0-9]){6,14}\z",
 }
 # No identifier of these kinds is longer.
 MAX_IDENTIFIER = 128
@@ -68,7 +70,7 @@ def _matches(docs: DataFrame) -> DataFrame:
         t = F.when(F.col("text").rlike(trigger), F.col("text"))
         return [F.regexp_extract_all(t, F.lit(regex), F.lit(0)).alias(f"m_{kind}"), F.split(t, regex, -1).alias(f"g_{kind}")]
 
-    every = [(k, PATTERNS[k], TRIGGERS[k]) for k in KINDS] + [("mention", MENTION, "[0-9@]")]
+    every = [(k, PATTERNS[k], TRIGGERS[k]) for k in KINDS] + [("mention", MENTION, "[0-9@]"), ("groups", GROUPS, r"[0-9][().-]* [(]?[0-9]")]
     cols = [c for e in every for c in parts(*e)]
     d = docs.where(F.col("text").rlike("[0-9@]")).select("k1", "k2", F.explode(F.array(F.struct(*cols))).alias("x"))
     d = d.select("k1", "k2", "x.*")
@@ -93,19 +95,30 @@ def _matches(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(mentions: DataFrame, base: DataFrame) -> DataFrame:
-    """Mentions without outer punctuation, away from all base spans, once for each kind whose shape they have."""
-    mentions = mentions.where(F.length("value") <= MAX_IDENTIFIER)
+    """Mentions without outer punctuation, away from all base spans, once for each kind whose shape they have.
+
+    Mentions of no kind's shape come back with the kind ``other``.  Groups
+    of digits count if they have a shape, and then for the mentions in them.
+    """
     lead = F.length(F.regexp_extract("value", r"\A[^A-Za-z0-9(]*", 0))
     trail = F.length(F.regexp_extract("value", r"[^A-Za-z0-9]*\z", 0))
     m = mentions.select("*", lead.alias("lead"), trail.alias("trail")).where("lead + trail < length(value)")
-    m = m.select("k1", "k2", (F.col("start") + F.col("lead")).alias("start"), (F.col("stop") - F.col("trail")).alias("stop"),
+    m = m.select("k1", "k2", "form", (F.col("start") + F.col("lead")).alias("start"), (F.col("stop") - F.col("trail")).alias("stop"),
                  F.expr("substr(value, lead + 1, length(value) - lead - trail)").alias("value"), "before", "after")
-    kinds = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
-    m = m.select("*", F.explode(kinds).alias("kind"))
+    short = F.length("value") <= MAX_IDENTIFIER
+    kinds = F.array_compact(F.array(*[F.when(short & F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
+    m = m.select("*", kinds.alias("kinds")).where((F.col("form") == "mention") | (F.size("kinds") > 0))
     spans = base.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     m = m.join(spans, ["k1", "k2"], "left")
     clear = ~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    return m.where(F.coalesce(clear, F.lit(True))).drop("spans")
+    m = m.where(F.coalesce(clear, F.lit(True))).drop("spans")
+    wide = (m.where(F.col("form") == "groups").groupBy("k1", "k2")
+            .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    m = m.join(wide, ["k1", "k2"], "left")
+    inside = F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
+    m = m.where((F.col("form") == "groups") | ~F.coalesce(inside, F.lit(False)))
+    kinds = F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("other")))
+    return m.select("k1", "k2", "start", "stop", "value", "before", "after", F.explode(kinds).alias("kind"))
 
 
 def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
@@ -114,11 +127,15 @@ def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_
 
     A pattern is a word before, a word after, or both.  Patterns and
     identifiers (kind, value) form a graph whose edges are counted once.
-    Base values start at 1 and stay there, others at 0.  Each round scores a
-    pattern by the mean score of its identifiers, as far as at least
-    ``min_seeds`` base values use it, and an identifier by the chance that
-    any of its trusted patterns is right.  Edges are grouped before they are
-    joined; a very common word makes one skewed join key and never one group.
+    Base values have the score 1, others start without one.  Each round scores a
+    pattern by what speaks for it, the scores of its identifiers, against
+    what speaks against it: values that lack the kind's shape, or are base
+    values of another kind.  Values of the right shape that nothing is known
+    of count on neither side, however many they are.  At least ``min_seeds``
+    base values must use a pattern.  An identifier is scored by the chance
+    that any of its trusted patterns is right.  Edges are grouped before they
+    are joined; a very common word makes one skewed join key and never one
+    group.
     """
     def contexts(x: DataFrame, seed: bool) -> DataFrame:
         b, a = F.col("before") != "", F.col("after") != ""
@@ -129,17 +146,27 @@ def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, min_
 
     edges = contexts(base, True).unionByName(contexts(candidates, False))
     edges = saved(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    # a pattern's values, less those that have the kind's shape and are not base values of other kinds only
+    taken = F.max("seed").over(Window.partitionBy("pattern", "value"))
+    fits = (edges.withColumn("taken", taken).where((F.col("kind") != "other") & (F.col("seed") | ~F.col("taken")))
+            .groupBy("kind", "pattern").agg(F.count("*").alias("fit"), F.count_if("seed").alias("seeds"))
+            .where(F.col("seeds") >= min_seeds))
+    values = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("values"))
+    patterns = saved(fits.join(values, "pattern")
+                     .select("kind", "pattern", "seeds", (F.col("values") - F.col("fit")).alias("against")), "patterns")
+    edges = edges.where(F.col("kind") != "other")
     score = None
     for i in range(rounds):
-        e = edges
+        known = patterns
         if score is not None:
-            e = e.join(score, ["kind", "value"], "left")
+            found = (edges.where("NOT seed").join(score, ["kind", "value"]).groupBy("kind", "pattern")
+                     .agg(F.sum("score").alias("found")))
+            known = known.join(found, ["kind", "pattern"], "left")
         else:
-            e = e.withColumn("score", F.lit(0.0))
-        own = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-        trusted = (e.groupBy("kind", "pattern").agg(F.avg(own).alias("trust"), F.count_if("seed").alias("seeds"))
-                   .where((F.col("seeds") >= min_seeds) & (F.col("trust") >= min_pattern))
-                   .select("kind", "pattern", "trust"))
+            known = known.withColumn("found", F.lit(0.0))
+        favour = F.col("seeds") + F.coalesce("found", F.lit(0.0))
+        trusted = (known.select("kind", "pattern", (favour / (favour + F.col("against"))).alias("trust"))
+                   .where(F.col("trust") >= min_pattern))
         # 1 - product of (1 - trust); a trust of 1 counts as nearly sure
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6))))
         score = saved(edges.where("NOT seed").join(trusted, ["kind", "pattern"]).groupBy("kind", "value")
@@ -160,8 +187,9 @@ def _listed(spans: DataFrame, name: str) -> DataFrame:
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, kind, start, stop, value) of the base spans and of those that contexts add, from (k1, k2, text)."""
     found = saved(_matches(docs), "matches")
-    base = found.where(F.col("kind") != "mention").where(valid(F.col("kind"), F.col("value")))
-    candidates = saved(_candidates(found.where(F.col("kind") == "mention").drop("kind"), base), "candidates")
+    mention = F.col("kind").isin("mention", "groups")
+    base = found.where(~mention).where(valid(F.col("kind"), F.col("value")))
+    candidates = saved(_candidates(found.where(mention).withColumnRenamed("kind", "form"), base), "candidates")
     more = bootstrap(base, candidates)
     names = ["k1", "k2", "kind", "start", "stop", "value"]
     return base.select(*names), more.select(*names)

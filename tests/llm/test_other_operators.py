@@ -295,6 +295,22 @@ def test_contexts_reveal_identifiers(spark):
     assert all(got[i].spans == got[i].base for i in got if i != 20)
 
 
+def test_values_not_yet_found_are_no_evidence_against_a_context(spark):
+    rows = [(i, f"please phone: +1 212 555 01{i:02d} now") for i in range(5)]
+    rows += [(i, f"please phone: 555-0{i} now") for i in range(140, 180)]
+    rows += [(200, "please phone: 555 01 99 now"), (201, "please phone: (212) 555-0177 now")]
+    # the word before has as many seeds, but what follows it is mostly no phone
+    rows += [(300 + i, f"about +1 212 556 01{i:02d} ok") for i in range(5)] + [(400 + i, f"about {i} kg") for i in range(20)]
+    rows += [(500, "about 555-0188 then")]
+    # base values of another kind speak against a context too
+    rows += [(600 + i, f"seen +1 212 557 01{i:02d} x") for i in range(3)] + [(700 + i, f"seen 10.0.0.{i} y") for i in range(9)]
+    rows += [(800, "seen 555-0199 z")]
+    got = {g.doc_id: g.spans for g in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "phone:14:22" for i in range(140, 180))
+    assert got[200] == "phone:14:23" and got[201] == "phone:14:28"
+    assert got[500] == "" and got[800] == "" and all(got[400 + i] == "" for i in range(20))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a@b.cd é +1 234 567 8901 end"), (2, "none"), (3, None)], "doc_id long, text string")
     d = docs.select("text", *pii.row_keys(F.col("doc_id"), F.col("text")))
