@@ -38,7 +38,7 @@ START, END = "\x02", "\x03"
 # Words of an n-gram; the place before a text's first word has the id 0.
 WORD_ORDER = 3
 # Documents scored together: what they look up is gathered once for all of them.
-CHUNK_DOCS = 256
+CHUNK_DOCS = 2048
 # Bits of the filter of the model's keys that is sent to the tasks (16 MB); it drops lookups that can't hit, no others.
 FILTER_BITS = 2 ** 27
 
@@ -248,9 +248,12 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, v, c) from (kind, a, b, c3, v, c): kinds 1 to 3 are n-grams, 4 and 5 contexts of one and two words."""
     used = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c3"], 4: ["a"], 5: ["a", "b"]}
     for pdf in batches:
-        for kind, rows in pdf.groupby("kind"):
-            yield pd.DataFrame({"key": _mix(int(kind), *[rows[x].to_numpy() for x in used[int(kind)]]),
-                                "v": rows["v"].to_numpy(), "c": rows["c"].to_numpy()})
+        kinds = pdf["kind"].to_numpy()
+        key = np.zeros(len(pdf), "int64")
+        for kind in np.unique(kinds):
+            of = kinds == kind
+            key[of] = _mix(int(kind), *[pdf[x].to_numpy()[of] for x in used[int(kind)]])
+        yield pd.DataFrame({"key": key, "v": pdf["v"].to_numpy(), "c": pdf["c"].to_numpy()})
 
 
 def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
