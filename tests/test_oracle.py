@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from oracle_compare import compare, duck
 
 SQL = E.oracle_sql()

@@ -1,6 +1,6 @@
 """Physical-plan checks: pushdown, pruning, no cartesian products, bounded windows."""
 
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from playlake.operators.sampling import stratified_sample
 from playlake.session import read_table
 from playlake.sources.scans import scan_range

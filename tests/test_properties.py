@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from playlake.operators import vectors as V
 from playlake.operators.nesting import nest_sequences, unnest
 from playlake.session import read_table
