@@ -18,5 +18,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all():
-    from . import q_filters, q_models, q_text  # noqa: F401
+    from . import q_filters, q_models, q_structure, q_text  # noqa: F401
     return QUERIES, ORACLE
