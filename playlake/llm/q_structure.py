@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import read_table
+from .divergence import divergence
 from .registry import register
 from .turns import damaged, repair_conversations
 
@@ -44,9 +46,12 @@ d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
              unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c),
 o AS (SELECT *, role || ':' || text AS line, left(role, 1) AS i, coalesce(conv_id::VARCHAR, '') AS conv, conv_id IS NULL AS no,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
-x AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+x AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
              row_number() OVER (PARTITION BY conv, no, role, text ORDER BY n) > 1 AS again,
-             regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS cut,
+             regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS cut,
              lag(i) OVER (PARTITION BY conv, no ORDER BY n) AS before FROM o),
 r AS (SELECT *, blank OR again AS gone FROM x),
 s(conv, no, n, p0, p1, p2, p3) AS (
@@ -82,3 +87,40 @@ def op11(spark, sf_dir):
     return out.select(F.col("id").cast(kind).alias("conv_id"), *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
                       F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@register("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+g AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT rid) AS m FROM w GROUP BY ALL),
+t AS (SELECT lang, term, sum(c)::BIGINT AS c FROM g GROUP BY ALL HAVING sum(m) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM t GROUP BY lang),
+s AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT s.lang, s.source, coalesce(sum(g.c), 0)::BIGINT AS n
+      FROM s LEFT JOIN (SELECT * FROM g SEMI JOIN t USING (lang, term)) g USING (lang, source) GROUP BY ALL),
+k AS (SELECT n.lang, n.source, t.term, coalesce(g.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(g.c, 0) + 5)) // (n.n + 5 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (t.c + 5)) // (l.n + 5 * l.v) AS q
+      FROM n JOIN l USING (lang) JOIN t USING (lang)
+      LEFT JOIN g ON g.lang = n.lang AND g.source = n.source AND g.term = t.term),
+p AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM k a JOIN k b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM k WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
+""")
+def op12(spark, sf_dir):
+    return divergence(read_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+@register("op13_byte_bpe")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    out = encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
