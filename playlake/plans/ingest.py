@@ -9,9 +9,9 @@ DataFrame computed with an anti-join against the loaded table.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -19,6 +19,7 @@ from ..functions import cleaning as CL
 from ..operators import projection as P
 from ..operators.nesting import nest_sequences
 from ..sources import files as FS
+from ..sources import versions as V
 
 
 # ------------------------------------------------------------------ months
@@ -60,6 +61,17 @@ def plan_months(months: DataFrame, loaded: DataFrame, date_col: str, on_existing
         raise ValueError("on_existing must be skip, append or replace")
     have = loaded.groupBy(F.trunc(F.to_date(date_col), "month").alias("month_start")) \
                  .agg(F.count(F.lit(1)).alias("existing"))
+    return _plan(months, have, on_existing)
+
+
+def plan_load(months: DataFrame, spark: SparkSession, table_path: str, on_existing: str = "skip") -> DataFrame:
+    """:func:`plan_months` against a versioned table, whose rows are counted in its list of parts: no scan."""
+    if on_existing not in ("skip", "append", "replace"):
+        raise ValueError("on_existing must be skip, append or replace")
+    return _plan(months, loaded_months(spark, table_path).withColumnRenamed("rows", "existing"), on_existing)
+
+
+def _plan(months: DataFrame, have: DataFrame, on_existing: str) -> DataFrame:
     plan = months.join(have, "month_start", "left").withColumn("existing", F.coalesce("existing", F.lit(0)).cast("bigint"))
     return plan.withColumn("action", F.when(F.col("existing") == 0, F.lit("ingest"))
                            .otherwise(F.lit(on_existing if on_existing != "skip" else "skip")))
@@ -152,6 +164,8 @@ def nest(clean_df: DataFrame, spec: IngestSpec = PITCH_SPEC, with_reason: bool =
 
 # ------------------------------------------------------------------ K2/K3
 ACTIONS = ("ingest", "append", "replace", "skip")
+# Column that tells rows of replaced months while they are nested.
+ANEW = "_month_anew"
 
 
 def planned(plan: DataFrame) -> dict:
@@ -173,60 +187,52 @@ def _in_months(col: str, months: list):
     return cond
 
 
-def _drop_partitions(spark: SparkSession, table_path: str, col: str, values: list) -> None:
-    """Remove the folders of partition values (dates, so names need no escaping)."""
-    for v in values:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{col}={v}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def month_part(col: str) -> Column:
+    """The part of a versioned facts table that a row belongs to: the first day of its month."""
+    return F.date_format(F.trunc(F.to_date(col), "month"), "yyyy-MM-dd")
 
 
 def ingest(spark: SparkSession, raw: DataFrame, table_path: str, plan: DataFrame,
            spec: IngestSpec = PITCH_SPEC) -> DataFrame:
-    """Clean + nest the raw rows of the planned months and load them.
-
-    ``ingest`` and ``append`` months are appended to what the table holds;
-    a ``replace`` month is overwritten as a whole: days that the feed no
-    longer has go too.  ``skip`` months are not read.  Rows of one day are
-    dealt to as many tasks as their size asks for.  Returns the report of
-    :func:`ingest_report`, counted over the planned months only.
+    """Clean + nest the raw rows of the planned months and load them into a versioned table.
+
+    The feed is parsed and nested once and becomes visible in one commit
+    (``sources/versions.py``).  ``ingest`` and ``append`` months are appended
+    to what the table holds; a ``replace`` month is replaced as a whole: days
+    that the feed no longer has go too, and all of it if the feed has none.
+    ``skip`` months are not read.  A feed without rows makes an empty table,
+    or leaves the table as it is.  Rows of one day are dealt to as many tasks
+    as their size asks for.  Returns the report of :func:`ingest_report`.
     """
     by = planned(plan)
     col = spec.partition_col
+    months = by["ingest"] + by["append"] + by["replace"]
+    cleaned, _ = clean(raw, spec)
+    # rows of months that are added and of months that are replaced are nested apart
+    cleaned = cleaned.where(_in_months(spec.date_col, months)).withColumn(ANEW, _in_months(spec.date_col, by["replace"]))
+    facts = nest(cleaned, replace(spec, keys=[*spec.keys, ANEW])).drop(ANEW)
+    facts = facts.withColumn(col, F.col(spec.date_col)) if col != spec.date_col else facts
+    V.commit(spark, table_path, facts.hint("rebalance", col), month_part(col), [col],
+             actions={str(m): "replace" for m in by["replace"]})
+    return ingest_report(spark, table_path, plan)
+
+
+def loaded_months(spark: SparkSession, table_path: str) -> DataFrame:
+    """(month_start, rows) of a versioned facts table, from its list of parts: nothing is scanned."""
+    return V.counts(spark, table_path).select(F.to_date("part").alias("month_start"), "rows")
+
 
-    def facts(months: list) -> DataFrame:
-        cleaned, _ = clean(raw, spec)
-        out = nest(cleaned.where(_in_months(spec.date_col, months)), spec)
-        out = out.withColumn(col, F.col(spec.date_col)) if col != spec.date_col else out
-        return out.hint("rebalance", col)
-
-    there = FS.table_path_exists(spark, table_path)
-    add = by["ingest"] + by["append"]
-    if add or not there:
-        facts(add).write.mode("append").partitionBy(col).parquet(table_path)
-    if by["replace"]:
-        had = [r[0] for r in spark.read.parquet(table_path).where(_in_months(col, by["replace"]))
-               .select(col).distinct().collect()] if there else []
-        new = facts(by["replace"])
-        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(table_path))
-        # days written just now are those of the feed; the others of these months are stale
-        fed = {r[0] for r in facts(by["replace"]).select(col).distinct().collect()}
-        _drop_partitions(spark, table_path, col, [v for v in had if v not in fed])
-    return ingest_report(spark, table_path, plan, col)
-
-
-def ingest_report(spark: SparkSession, table_path: str, plan: DataFrame, partition_col: str) -> DataFrame:
+def ingest_report(spark: SparkSession, table_path: str, plan: DataFrame) -> DataFrame:
     """month_start, action, existing (rows before), sequences (rows now) and status of each planned month.
 
-    ``loaded``; ``skipped``; ``failed`` if the month was to be loaded and the
-    table holds nothing (more) of it.  Reads the planned months' partitions.
+    ``loaded``; ``skipped``; ``empty`` if the month was to be loaded and the
+    feed had nothing of it, which is a success.  A load that fails raises.
+    Counts come from the table's list of parts.
     """
-    months = [m for ms in planned(plan).values() for m in ms]
-    t = spark.read.parquet(table_path).where(_in_months(partition_col, months))
-    now = t.groupBy(F.trunc(F.to_date(partition_col), "month").alias("month_start")) \
-           .agg(F.count(F.lit(1)).alias("sequences"))
+    now = loaded_months(spark, table_path).withColumnRenamed("rows", "sequences")
     out = plan.join(now, "month_start", "left").withColumn("sequences", F.coalesce("sequences", F.lit(0)).cast("bigint"))
     gained = F.when(F.col("action") == "append", F.col("sequences") > F.col("existing")).otherwise(F.col("sequences") > 0)
-    status = F.when(F.col("action") == "skip", "skipped").when(gained, "loaded").otherwise("failed")
+    status = F.when(F.col("action") == "skip", "skipped").when(gained, "loaded").otherwise("empty")
     return out.select("month_start", "action", "existing", "sequences", status.alias("status"))
 
 

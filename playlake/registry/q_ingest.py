@@ -12,6 +12,7 @@ from ..plans import ingest as IG
 from ..plans.features import build_features
 from ..session import read_table, scratch_path
 from ..sources import files as S
+from ..sources import versions as V
 from . import register
 
 LINEITEM_SPEC = IG.IngestSpec(
@@ -54,7 +55,7 @@ m AS (SELECT CAST(unnest(generate_series(DATE '{s}', DATE '{e}', INTERVAL 1 MONT
 _ROWS = "SELECT {feed} AS feed, * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{s}' AND l_shipdate < DATE '{e}' + INTERVAL 1 MONTH"
 _FIRST_LOAD = """
 SELECT m.month_start, 'ingest' AS action, CAST(0 AS BIGINT) AS existing, coalesce(sequences, 0) AS sequences,
-       CASE WHEN sequences > 0 THEN 'loaded' ELSE 'failed' END AS status
+       CASE WHEN sequences > 0 THEN 'loaded' ELSE 'empty' END AS status
 FROM m LEFT JOIN n USING (month_start)
 """
 
@@ -67,8 +68,7 @@ def _load(spark, feed, table, start, end, on_existing="skip"):
     """Land a feed by month, plan the months against the table, load them; returns the report."""
     landing = scratch_path(spark, "k_landing")
     IG.write_landing(feed, landing, "l_shipdate")
-    have = spark.read.parquet(table) if S.table_path_exists(spark, table) else spark.createDataFrame([], "ship_date date")
-    plan = IG.plan_months(IG.month_series(spark, start, end), have, "ship_date", on_existing)
+    plan = IG.plan_load(IG.month_series(spark, start, end), spark, table, on_existing)
     # the plan is a calendar list: fixed here, before the table changes
     plan = spark.createDataFrame(plan.collect(), plan.schema)
     raw = IG.read_landing(spark, landing, plan, feed.columns)
@@ -105,7 +105,7 @@ def _second_load_sql(action, first, second, sequences, status, feed="2"):
     SELECT m.month_start, CASE WHEN coalesce(a, 0) > 0 THEN '{action}' ELSE 'ingest' END AS action,
            CAST(coalesce(a, 0) AS BIGINT) AS existing,
            CAST(CASE WHEN coalesce(a, 0) > 0 THEN {sequences} ELSE coalesce(b, 0) END AS BIGINT) AS sequences,
-           CASE WHEN coalesce(a, 0) > 0 THEN {status} WHEN coalesce(b, 0) > 0 THEN 'loaded' ELSE 'failed' END AS status
+           CASE WHEN coalesce(a, 0) > 0 THEN {status} WHEN coalesce(b, 0) > 0 THEN 'loaded' ELSE 'empty' END AS status
     FROM m LEFT JOIN o USING (month_start)
     """
 
@@ -126,7 +126,7 @@ def k4_append(spark, sf):
 
 @register("k4_replace", _second_load_sql(
     "replace", _BEFORE_MAY, "day(l_shipdate) > 9 AND NOT (month(l_shipdate) = 2)", "b",
-    "CASE WHEN b > 0 THEN 'loaded' ELSE 'failed' END", feed=f"CASE WHEN {_BEFORE_MAY} THEN 2 ELSE 3 END"))
+    "CASE WHEN b > 0 THEN 'loaded' ELSE 'empty' END", feed=f"CASE WHEN {_BEFORE_MAY} THEN 2 ELSE 3 END"))
 def k4_replace(spark, sf):
     """A later feed without the first nine days of each month, and without February: those days go."""
     return _second_load(spark, sf, "replace", lambda li: li.where((F.dayofmonth("l_shipdate") > 9)
@@ -189,4 +189,4 @@ def _k5(spark, sf):
     path = scratch_path(spark, "k5_features")
     S.write_disposition(feats, path, "WRITE_TRUNCATE")
     S.write_disposition(key, path + "_key", "WRITE_TRUNCATE")
-    return spark.read.parquet(path), spark.read.parquet(path + "_key")
+    return V.read(spark, path), V.read(spark, path + "_key")

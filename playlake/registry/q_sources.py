@@ -15,6 +15,7 @@ from ..session import read_table, scratch_path, written
 from ..sources import catalog as C
 from ..sources import files as S
 from ..sources import scans as R
+from ..sources import versions as V
 from . import register
 
 _LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -163,7 +164,7 @@ def a12_write_disposition(spark, sf):
             S.write_disposition(one_year, path, "WRITE_TRUNCATE_PARTITIONS", partition_by=["order_year"])  # 1996 anew
         elif step == "truncate":
             S.write_disposition(one_year, path, "WRITE_TRUNCATE", partition_by=["order_year"])  # 1996 alone is left
-        steps.append(spark.read.parquet(path).groupBy("order_year").agg(F.count(F.lit(1)).alias("n"))
+        steps.append(V.read(spark, path).groupBy("order_year").agg(F.count(F.lit(1)).alias("n"))
                      .select(F.lit(step).alias("step"), "order_year", "n"))
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import versions as V
 from ..schemas import raw_string_schema
 
-WRITE_MODES = {"WRITE_TRUNCATE": "overwrite", "WRITE_TRUNCATE_PARTITIONS": "overwrite", "WRITE_APPEND": "append",
-               "WRITE_EMPTY": "errorifexists"}
+DISPOSITIONS = ("WRITE_TRUNCATE", "WRITE_TRUNCATE_PARTITIONS", "WRITE_APPEND", "WRITE_EMPTY")
 
 
 def _csv_reader(spark: SparkSession, columns=None, mode: str = "PERMISSIVE", multi_line: bool = False):
@@ -91,24 +93,47 @@ def load_csv_append(spark: SparkSession, csv_path: str, table_path: str, columns
 
 
 def write_disposition(df: DataFrame, path: str, disposition: str = "WRITE_TRUNCATE", partition_by=None) -> None:
-    """WRITE_TRUNCATE / WRITE_APPEND / WRITE_EMPTY / WRITE_TRUNCATE_PARTITIONS.
+    """WRITE_TRUNCATE / WRITE_APPEND / WRITE_EMPTY / WRITE_TRUNCATE_PARTITIONS into a versioned table.
 
     WRITE_TRUNCATE replaces the whole table, also partitions that ``df``
-    lacks; WRITE_TRUNCATE_PARTITIONS only those that it has.
+    lacks; WRITE_TRUNCATE_PARTITIONS only those that it has; WRITE_EMPTY
+    is an error if the table holds rows.  Readers (``versions.read``) see
+    the table before or after, and a job that stops leaves it as it was.
+    """
+    if disposition not in DISPOSITIONS:
+        raise ValueError(f"unknown disposition {disposition!r}")
+    spark = df.sparkSession
+    if disposition == "WRITE_EMPTY":
+        now = V.manifest(spark, path)
+        if now is not None and now["parts"]:
+            raise ValueError(f"table {path} is not empty")
+    keys = list(partition_by or [])
+    part = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in keys]) if keys else None
+    V.commit(spark, path, df, part, keys, truncate=disposition == "WRITE_TRUNCATE",
+             default="replace" if disposition == "WRITE_TRUNCATE_PARTITIONS" else "append")
+
+
+def write_once_cache(spark: SparkSession, path: str, build, fingerprint: str = "") -> DataFrame:
+    """Build and write if absent, else load (``build`` is only called when needed).
+
+    A build that fails leaves nothing that counts as built.  A cache of
+    another ``fingerprint`` (see :func:`fingerprint`) is built anew.
     """
-    mode = "dynamic" if disposition == "WRITE_TRUNCATE_PARTITIONS" else "static"
-    w = df.write.mode(WRITE_MODES[disposition])
-    if partition_by:
-        # set on the writer so it holds whatever the session default is
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", mode)
-    w.parquet(path)
-
-
-def write_once_cache(spark: SparkSession, path: str, build) -> DataFrame:
-    """Build and write if absent, else load (``build`` is only called when needed)."""
-    if not table_path_exists(spark, path):
-        build().write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+    now = V.manifest(spark, path)
+    if now is None or now["tags"].get("built from", {}).get("mark") != fingerprint:
+        V.commit(spark, path, build(), truncate=True, tag=("built from", fingerprint))
+    return V.read(spark, path)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the names, sizes and times of the files that ``df`` reads: it changes when they are rewritten."""
+    spark = df.sparkSession
+    found = []
+    for f in sorted(df.inputFiles()):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        found.append(f"{f} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.md5("\n".join(found).encode()).hexdigest()
 
 
 def save_clusters(df: DataFrame, path: str, columns) -> None:

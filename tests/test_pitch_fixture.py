@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from playlake.operators.encode import OUTCOME_MAP, outcome_recode
 from playlake.plans import ingest as IG
+from playlake.sources import versions as V
 from playlake.operators.nesting import unnest
 
 COLS = ["game_pk", "game_date", "at_bat_number", "inning", "inning_topbot", "events", "batter", "pitcher",
@@ -95,10 +96,10 @@ def test_streaming_landing_load(spark, raw, tmp_path):
     landing, table, ckpt = str(tmp_path / "landing"), str(tmp_path / "facts"), str(tmp_path / "ckpt")
     write_csv(raw.coalesce(1), landing)
     load_landing(spark, landing, COLS, table, ckpt)
-    facts = spark.read.parquet(table)
+    facts = V.read(spark, table)
     assert sorted(r.at_bat_number for r in facts.collect()) == [1, 4, 5, 6]
     load_landing(spark, landing, COLS, table, ckpt)  # nothing new: no change
-    assert spark.read.parquet(table).count() == 4
+    assert V.read(spark, table).count() == 4
 
 
 def test_streaming_result_does_not_depend_on_the_batches(spark, raw, tmp_path):
@@ -113,7 +114,7 @@ def test_streaming_result_does_not_depend_on_the_batches(spark, raw, tmp_path):
     for n in (1, 16):
         table = str(tmp_path / f"facts{n}")
         load_landing(spark, landing, COLS, table, str(tmp_path / f"ckpt{n}"), max_files_per_trigger=n)
-        got.append(sorted(str(r) for r in spark.read.parquet(table).select("game_id", "at_bat_number", "pitches").collect()))
+        got.append(sorted(str(r) for r in V.read(spark, table).select("game_id", "at_bat_number", "pitches").collect()))
     assert got[0] == got[1] and len(got[0]) == 4
 
 
