@@ -2,19 +2,22 @@
 
 Every dictionary is built from the DISTINCT values of a column (a small
 aggregate with map-side combine) and joined back to the fact rows on the
-value; windows are only ever run over the dictionary, never over fact rows.
+value; codes are numbered by ranges of the dictionary, never over fact rows.
 See ``joins.dictionary_join`` for how dictionaries of either size are joined.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import dictionary_join
-from ..functions.hashing import md5_u32, signed_hash_vector
+from .pairs import dense_index
+from ..functions.hashing import md5_u32, murmur3_32
+from ..session import written
+from ..sources import versions as V
 
 # --- fixed values: outcome groups, in code order 0..10 ----------------------
 OUTCOME_GROUPS = ["other", "single", "double", "triple", "homerun", "strikeout",
@@ -45,9 +48,26 @@ def _text(col: str, null_label: str) -> Column:
 
 # ---------------------------------------------------------------- D3 / D8
 def category_dictionary(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-null values -> code 0..k-1 (k = category count)."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.withColumn("code", (F.row_number().over(Window.orderBy(col)) - 1).cast("bigint"))
+    """Sorted distinct non-null values -> code 0..k-1 (k = category count); numbered by ranges, not by one task."""
+    return dense_index(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], "code").select(col, "code")
+
+
+def stable_dictionary(df: DataFrame, col: str, path: str) -> DataFrame:
+    """The dictionary kept at ``path``, grown by the values of ``col`` that it lacks: old codes never change.
+
+    New values take the next codes in their order, in one commit of a
+    versioned table; values that are gone keep their codes.
+    """
+    spark = df.sparkSession
+    new = df.select(col).where(F.col(col).isNotNull()).distinct()
+    first = 0
+    if V.manifest(spark, path) is not None:
+        known = V.read(spark, path)
+        new = new.join(known, col, "left_anti")
+        first = sum(r["rows"] for r in V.counts(spark, path).collect())
+    new = dense_index(new, [col], "code").select(col, (F.col("code") + first).alias("code"))
+    V.commit(spark, path, new)
+    return V.read(spark, path)
 
 
 def category_codes(df: DataFrame, col: str, out: str | None = None, dictionary: DataFrame | None = None):
@@ -88,38 +108,45 @@ def hash_width(k_col: Column, round_even: bool = True) -> Column:
     return F.when((k_col % 2 == 1) & F.lit(round_even), k_col + 1).otherwise(k_col)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _murmur_vectors(tokens: pd.Series, widths: pd.Series) -> pd.Series:
+@F.pandas_udf(T.LongType())
+def _murmur(tokens: pd.Series) -> pd.Series:
     # Runs once per DISTINCT category, never per fact row.
-    return pd.Series([signed_hash_vector(t, int(n)) for t, n in zip(tokens, widths)])
+    return tokens.map(lambda t: murmur3_32(t.encode("utf-8"), 0)).astype("int64")
+
+
+# A hash vector: its width, the one slot that is not 0, and what stands there.
+SPARSE = "struct<width: int, slot: int, sign: int>"
 
 
 def hash_dictionary(df: DataFrame, col: str, null_label: str = "None", round_even: bool = True,
                     method: str = "murmur3") -> DataFrame:
-    """Distinct categories of ``col`` -> signed hash vector of width k (or k+1).
-
-    Token hashed is ``"<col>=<value>"`` (null spelled ``null_label``).
-    ``method='murmur3'`` is the signed MurmurHash3 (seed 0) scheme of
-    common feature hashers; ``method='md5'`` is a SQL-reproducible variant
-    used for cross-engine checks.
+    """Distinct categories of ``col`` -> signed hash vector of width k (or k+1): (label, width, hash).
+
+    ``hash`` is sparse (width, slot, sign), so that the dictionary grows with
+    k and not with its square; :func:`dense` and :func:`expand_vector` write
+    it out.  Token hashed is ``"<col>=<value>"`` (null spelled
+    ``null_label``).  ``method='murmur3'`` is the signed MurmurHash3 (seed 0)
+    scheme of common feature hashers; ``method='md5'`` is a SQL-reproducible
+    variant used for cross-engine checks.
     """
-    d = df.select(_text(col, null_label).alias("label")).distinct()
-    d = d.withColumn("width", hash_width(F.count(F.lit(1)).over(Window.partitionBy()), round_even))
+    d = written(df.select(_text(col, null_label).alias("label")).distinct(), "labels")
+    d = d.withColumn("width", hash_width(d.agg(F.count(F.lit(1))).scalar(), round_even).cast("int"))
     token = F.concat(F.lit(f"{col}="), F.col("label"))
     if method == "murmur3":
-        vec = _murmur_vectors(token, F.col("width"))
+        h = _murmur(token)
+        # the least hash has no absolute value: it goes where the greatest one less the width goes
+        slot = F.when(h == -(2 ** 31), 2 ** 31 - F.col("width")).otherwise(F.abs(h)) % F.col("width")
+        sign = F.when(h >= 0, 1).otherwise(-1)
     else:
         h = md5_u32(token)
         slot = F.pmod(h, F.col("width"))
-        sign = F.when(F.pmod(F.floor(h / F.col("width")), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
-        vec = F.transform(F.sequence(F.lit(0), (F.col("width") - 1).cast("int")),
-                          lambda i: F.when(i == slot, sign).otherwise(F.lit(0)))
-    return d.withColumn("hash", vec)
+        sign = F.when(F.pmod(F.floor(h / F.col("width")), F.lit(2)) == 0, 1).otherwise(-1)
+    return d.withColumn("hash", F.struct(F.col("width"), slot.cast("int").alias("slot"), sign.alias("sign")))
 
 
 def feature_hash(df: DataFrame, col: str, out: str | None = None, dictionary: DataFrame | None = None,
                  null_label: str = "None", round_even: bool = True, method: str = "murmur3"):
-    """Replace ``col`` by its hash vector (array<int>). Returns (df, dictionary)."""
+    """Replace ``col`` by its sparse hash vector. Returns (df, dictionary)."""
     out = out or col
     dictionary = dictionary if dictionary is not None else hash_dictionary(df, col, null_label, round_even, method)
     keyed = df.withColumn("_label", _text(col, null_label))
@@ -127,13 +154,27 @@ def feature_hash(df: DataFrame, col: str, out: str | None = None, dictionary: Da
     return res.withColumn(out, F.col("_hash")).drop("_label", "_hash"), dictionary
 
 
+def dense(c) -> Column:
+    """A sparse hash vector as array<int>."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.transform(F.sequence(F.lit(0), c["width"] - 1),
+                                             lambda i: F.when(i == c["slot"], c["sign"]).otherwise(0)))
+
+
 # ---------------------------------------------------------------- D2
 def expand_vector(df: DataFrame, col: str, width: int) -> DataFrame:
-    """Vector column -> ``col0..col{width-1}`` in the column's place."""
+    """Sparse hash vector or array column -> ``col0..col{width-1}`` in the column's place."""
+    sparse = dict(df.dtypes)[col].startswith("struct")
+
+    def slot(i: int) -> Column:
+        if sparse:
+            return F.when(F.col(col).isNotNull(), F.when(F.col(col)["slot"] == i, F.col(col)["sign"]).otherwise(0))
+        return F.col(col)[i]
+
     cols = []
     for c in df.columns:
         if c == col:
-            cols += [F.col(col)[i].alias(f"{col}{i}") for i in range(width)]
+            cols += [slot(i).alias(f"{col}{i}") for i in range(width)]
         else:
             cols.append(F.col(c))
     return df.select(*cols)
@@ -141,7 +182,7 @@ def expand_vector(df: DataFrame, col: str, width: int) -> DataFrame:
 
 # ---------------------------------------------------------------- D6
 def key_table(*parts: DataFrame) -> DataFrame:
-    """Union of dictionaries as (feature, code, label, hash)."""
+    """Union of dictionaries as (feature, code, label, hash); hashes are sparse."""
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p)
@@ -151,7 +192,7 @@ def key_table(*parts: DataFrame) -> DataFrame:
 def code_key(dictionary: DataFrame, feature: str, col: str) -> DataFrame:
     return dictionary.select(F.lit(feature).alias("feature"), F.col("code").cast("bigint"),
                              F.col(col).cast("string").alias("label"),
-                             F.lit(None).cast("array<int>").alias("hash"))
+                             F.lit(None).cast(SPARSE).alias("hash"))
 
 
 def hash_key(dictionary: DataFrame, feature: str) -> DataFrame:
@@ -162,7 +203,7 @@ def hash_key(dictionary: DataFrame, feature: str) -> DataFrame:
 def outcome_key(spark, mapping: dict | None = None, groups=None, feature: str = "events") -> DataFrame:
     groups = OUTCOME_GROUPS if groups is None else groups
     return spark.createDataFrame([(feature, i, g, None) for i, g in enumerate(groups)],
-                                 "feature string, code bigint, label string, hash array<int>")
+                                 f"feature string, code bigint, label string, hash {SPARSE}")
 
 
 # ---------------------------------------------------------------- D7

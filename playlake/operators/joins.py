@@ -22,8 +22,8 @@ def lookup(fact: DataFrame, dim: DataFrame, keys, how: str = "left") -> DataFram
     return fact.join(dim, on=list(keys), how=how)
 
 
-# Most rows of a dictionary that are broadcast.
-BROADCAST_ROWS = 100_000
+# Most rows of a dictionary that are broadcast, and most bytes of them (as text).
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 SALTS = 64
 
 
@@ -31,7 +31,9 @@ def dictionary_join(fact: DataFrame, dictionary: DataFrame, on: str, how: str =
                     limit: int = BROADCAST_ROWS) -> DataFrame:
     """Attach a dictionary with one row per value of ``on`` to fact rows; null values meet nothing."""
     dictionary = written(dictionary, "dictionary")
-    if dictionary.limit(limit + 1).count() <= limit:
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = dictionary.limit(limit + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    if rows <= limit and size <= BROADCAST_BYTES:
         return fact.join(F.broadcast(dictionary), on, how)
     salted = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     every = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

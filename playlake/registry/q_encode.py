@@ -28,7 +28,7 @@ def d1_feature_hash(spark, sf):
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     out, _ = EN.feature_hash(li, "l_returnflag", method="md5")
     return out.select("l_orderkey", "l_linenumber", "l_partkey",
-                      F.array_join(F.col("l_returnflag").cast("array<string>"), ",").alias("hash_vec"))
+                      F.array_join(EN.dense("l_returnflag").cast("array<string>"), ",").alias("hash_vec"))
 
 
 # Signed MurmurHash3 slots of "event_type=<value>" in width 6 (fixed values, from the public algorithm).
@@ -41,7 +41,7 @@ def d1_feature_hash_murmur3(spark, sf):
     """Signed MurmurHash3 vectors (checked against public test vectors in tests/)."""
     ev = read_table(spark, sf, "events").select("event_id", "event_type")
     out, _ = EN.feature_hash(ev, "event_type", method="murmur3")
-    return out.select("event_id", F.array_join(F.col("event_type").cast("array<string>"), ",").alias("hash_vec"))
+    return out.select("event_id", F.array_join(EN.dense("event_type").cast("array<string>"), ",").alias("hash_vec"))
 
 
 @register("d2_expand_vector", _MD5_DICT_SQL.format(col="o_orderpriority", table="orders") + """
@@ -68,6 +68,23 @@ def d3_category_codes(spark, sf):
     return coded
 
 
+@register("d3_stable_codes", """
+WITH f AS (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01' AND o_orderpriority > '2'),
+n AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS code FROM f),
+m AS (SELECT p, (SELECT count(*) FROM f) + row_number() OVER (ORDER BY p) - 1 AS code
+      FROM (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_orderpriority NOT IN (SELECT p FROM f)))
+SELECT o_orderkey, CAST(coalesce(c.code, -1) AS BIGINT) AS priority_code
+FROM orders LEFT JOIN (SELECT * FROM n UNION ALL SELECT * FROM m) c ON c.p = o_orderpriority
+""")
+def d3_stable_codes(spark, sf):
+    """A dictionary of a first load, grown by a later one: the first codes stay."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    path = scratch_path(spark, "d3_codes")
+    EN.stable_dictionary(o.where("o_orderdate < timestamp_ntz '1993-01-01' AND o_orderpriority > '2'"), "o_orderpriority", path)
+    dictionary = EN.stable_dictionary(o, "o_orderpriority", path)
+    return EN.category_codes(o, "o_orderpriority", "priority_code", dictionary)[0].select("o_orderkey", "priority_code")
+
+
 @register("d4_presence_flag", """
 SELECT l_orderkey, l_linenumber, l_partkey,
        CAST(CASE WHEN l_linenumber <> 3 THEN 1 ELSE 0 END AS BIGINT) AS on_base FROM lineitem
@@ -113,7 +130,7 @@ def _key_table(spark, sf):
 
 
 def _key_out(kt):
-    return kt.select("feature", "code", "label", F.array_join(F.col("hash").cast("array<string>"), ",").alias("hash_vec"))
+    return kt.select("feature", "code", "label", F.array_join(EN.dense("hash").cast("array<string>"), ",").alias("hash_vec"))
 
 
 @register("d6_key_table", _KEY_SQL)

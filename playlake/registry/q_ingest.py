@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import encode as EN
 from ..plans import ingest as IG
 from ..plans.features import build_features
 from ..session import read_table, scratch_path
@@ -173,7 +174,7 @@ UNION ALL SELECT 'l_returnflag', CAST(i AS BIGINT), g, NULL FROM (SELECT unnest(
 """)
 def k5_key_table(spark, sf):
     _, key = _k5(spark, sf)
-    return key.select("feature", "code", "label", F.array_join(F.col("hash").cast("array<string>"), ",").alias("hash"))
+    return key.select("feature", "code", "label", F.array_join(EN.dense("hash").cast("array<string>"), ",").alias("hash"))
 
 
 def _k5(spark, sf):
