@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name
+from .common import WORD, free_name, saved
 
 # Hex digits of the md5 that make the coin: 52 bits, exact in a double.
 COIN_DIGITS = 13
@@ -52,6 +52,17 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_rat
     return s.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
+# Most sources, and bytes of their names, whose targets are sent to the documents.
+BROADCAST_SOURCES, BROADCAST_BYTES = 100_000, 16_000_000
+
+
+def _known(targets: DataFrame, source: str) -> DataFrame:
+    """``targets`` written and counted: if they are few, documents stay where they are, also those of a hot source."""
+    t = saved(targets, "targets")
+    rows, size = t.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(source)), F.lit(0))).first()
+    return F.broadcast(t) if rows <= BROADCAST_SOURCES and size <= BROADCAST_BYTES else t
+
+
 def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 42,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document.
@@ -73,7 +84,7 @@ def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_rate: f
     # the count alone: pre-aggregated per task, then one row per source
     sizes = (docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
              .groupBy("source").agg(F.sum("size").alias("source_size")))
-    t = source_targets(sizes, list(weights), share, max_rate).withColumnRenamed("source", "s")
+    t = _known(source_targets(sizes, list(weights), share, max_rate).withColumnRenamed("source", "s"), "s")
     whole = F.floor("rate")
     copies = whole + (F.col("coin") < F.col("rate") - whole).cast("long")
     return (d.join(t, F.col("source").eqNullSafe(F.col("s")))
@@ -92,8 +103,8 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_ra
     copy, src, rate = (free_name(docs, c) for c in ("copy", "mix_source", "mix_rate"))
     sizes = (docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
              .groupBy("source").agg(F.sum("size").alias("source_size")))
-    t = (source_targets(sizes, list(weights), share, max_rate)
-         .select(F.col("source").alias(src), F.col("rate").alias(rate)))
+    t = _known(source_targets(sizes, list(weights), share, max_rate)
+               .select(F.col("source").alias(src), F.col("rate").alias(rate)), src)
     whole = F.floor(rate)
     copies = whole + (coin(docs[id_col], docs[text_col], seed) < F.col(rate) - whole).cast("long")
     taken = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))
