@@ -94,6 +94,19 @@ def _matches(docs: DataFrame) -> DataFrame:
                     "before", "after")
 
 
+def _clear(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The ``rows`` (k1, k2, start, stop, ...) that overlap none of ``spans``, by one sweep along each text.
+
+    At the stop of a row, all spans that start before it have been passed;
+    it is clear if none of them reaches beyond its start.
+    """
+    asked = rows.select("*", F.col("stop").alias("at"), F.lit(0).alias("passed"), F.lit(None).cast("long").alias("reach"))
+    passed = spans.select("k1", "k2", F.col("start").alias("at"), F.lit(1).alias("passed"), F.col("stop").alias("reach"))
+    w = Window.partitionBy("k1", "k2").orderBy("at", "passed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = asked.unionByName(passed, allowMissingColumns=True).withColumn("reach", F.max("reach").over(w))
+    return every.where((F.col("passed") == 0) & (F.col("reach").isNull() | (F.col("reach") <= F.col("start")))).select(*rows.columns)
+
+
 def _candidates(mentions: DataFrame, base: DataFrame) -> DataFrame:
     """Mentions without outer punctuation, away from all base spans, once for each kind whose shape they have.
 
@@ -108,15 +121,9 @@ def _candidates(mentions: DataFrame, base: DataFrame) -> DataFrame:
     short = F.length("value") <= MAX_IDENTIFIER
     kinds = F.array_compact(F.array(*[F.when(short & F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
     m = m.select("*", kinds.alias("kinds")).where((F.col("form") == "mention") | (F.size("kinds") > 0))
-    spans = base.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    m = m.join(spans, ["k1", "k2"], "left")
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    m = m.where(F.coalesce(clear, F.lit(True))).drop("spans")
-    wide = (m.where(F.col("form") == "groups").groupBy("k1", "k2")
-            .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    m = m.join(wide, ["k1", "k2"], "left")
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    m = m.where((F.col("form") == "groups") | ~F.coalesce(inside, F.lit(False)))
+    m = _clear(m, base)
+    m = m.where(F.col("form") == "groups").unionByName(
+        _clear(m.where(F.col("form") != "groups"), m.where(F.col("form") == "groups")))
     kinds = F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("other")))
     return m.select("k1", "k2", "start", "stop", "value", "before", "after", F.explode(kinds).alias("kind"))
 

@@ -321,3 +321,39 @@ def test_redaction(spark):
 
 def test_digest_of_no_spans(spark):
     assert spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0] == sha("")
+
+
+def test_clear_mentions_by_one_sweep(spark):
+    r = random.Random(21)
+    spans = [(r.randint(0, 2), a, a + r.randint(1, 9)) for a in (r.randint(0, 300) for _ in range(120))]
+    rows = [(r.randint(0, 3), a, a + r.randint(1, 12)) for a in (r.randint(0, 300) for _ in range(400))]
+    frame = lambda x: spark.createDataFrame([(k, 0, a, b) for k, a, b in x], "k1 long, k2 long, start long, stop long")
+    got = sorted((x.k1, x.start, x.stop) for x in pii._clear(frame(rows), frame(spans)).collect())
+    assert got == sorted((k, a, b) for k, a, b in rows if not any(k == s and c < b and d > a for s, c, d in spans))
+
+
+def test_one_text_with_many_addresses_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"mail user{i}@host{i % 97}.example.org or call 555-{i % 10000:04d} now" for i in range(n))
+        t = time.time()
+        x = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert x.n_email == n
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(12_000) < 3 * seconds(3_000) + 10
+
+
+def test_mixing_leaves_documents_in_place(spark):
+    docs = spark.createDataFrame([(i, "a b", "hot" if i % 3 else "b", i) for i in range(50)],
+                                 "doc_id long, text string, source string, n long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for out in (mix_plan(docs), mix_documents(docs)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
