@@ -4,13 +4,16 @@ Built from the at-bat fact table (one row per plate appearance, pitches
 sorted).  Standard public definitions; the outcome names are those of the
 outcome map in ``operators.encode``.  Two aggregation levels: player x season
 (map-side combined), then one row per player with an array sorted by season.
+The sums by month can be stored and kept up to date (``plans/rollup.py``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rollup
+
 # --- fixed values: outcome names used by the batting formulas ---------------
 HITS = ["single", "double", "triple", "home_run"]
 WALKS = ["walk", "intent_walk"]
@@ -24,10 +27,14 @@ def _n(events, names):
     return F.sum(F.when(F.col(events).isin(names), 1).otherwise(0))
 
 
-def season_batting_stats(facts: DataFrame, items: str = "pitches") -> DataFrame:
+SUMS = ["plate_apperances", "hits", "home_runs", "_d", "_t", "_bb", "_hbp", "_sf", "_sh", "_ci", "rbi", "_wv", "_wd", "_evs", "_evn"]
+
+
+def batting_partials(facts: DataFrame, items: str = "pitches", by=()) -> DataFrame:
+    """Sums by player, season and team (and ``by``) that add up over any split of the plate appearances."""
     last = F.try_element_at(F.col(items), F.lit(-1))
     pa = facts.where(F.col("events").isNotNull()).select(
-        F.col("batter").alias("player_id"),
+        *by, F.col("batter").alias("player_id"),
         F.year("game_date").alias("season_year"),
         F.when(F.col("inning_topbot") == "Bot", F.col("home_team")).otherwise(F.col("away_team")).alias("team"),
         "events",
@@ -37,8 +44,7 @@ def season_batting_stats(facts: DataFrame, items: str = "pitches") -> DataFrame:
                     F.lit(0.0), lambda a, b: a + b).alias("ev_sum"),
         F.size(F.filter(F.col(items), lambda p: p["launch_speed"].isNotNull())).alias("ev_n"))
     ev = "events"
-    per = pa.groupBy("player_id", "season_year").agg(
-        F.mode("team", deterministic=True).alias("team"),
+    return pa.groupBy(*by, "player_id", "season_year", "team").agg(
         F.count(F.lit(1)).alias("plate_apperances"),
         _n(ev, HITS).alias("hits"), _n(ev, ["home_run"]).alias("home_runs"),
         _n(ev, ["double"]).alias("_d"), _n(ev, ["triple"]).alias("_t"),
@@ -47,6 +53,13 @@ def season_batting_stats(facts: DataFrame, items: str = "pitches") -> DataFrame:
         F.sum(F.coalesce("runs_in", F.lit(0))).alias("rbi"),
         F.sum("woba_value").alias("_wv"), F.sum("woba_denom").alias("_wd"),
         F.sum("ev_sum").alias("_evs"), F.sum("ev_n").alias("_evn"))
+
+
+def batting_lines(partial: DataFrame) -> DataFrame:
+    """One row per player with the seasons' lines, from :func:`batting_partials`; the team of most appearances, ties by name."""
+    teams = partial.groupBy("player_id", "season_year", "team").agg(*[F.sum(c).alias(c) for c in SUMS])
+    named = F.when(F.col("team").isNotNull(), F.struct((-F.col("plate_apperances")).alias("m"), "team"))
+    per = teams.groupBy("player_id", "season_year").agg(F.min(named)["team"].alias("team"), *[F.sum(c).alias(c) for c in SUMS])
     ab = F.col("plate_apperances") - F.col("_bb") - F.col("_hbp") - F.col("_sf") - F.col("_sh") - F.col("_ci")
     per = per.withColumn("atbats", ab)
     tb = F.col("hits") + F.col("_d") + 2 * F.col("_t") + 3 * F.col("home_runs")
@@ -63,3 +76,18 @@ def season_batting_stats(facts: DataFrame, items: str = "pitches") -> DataFrame:
               "batting_avg", "obp", "slg", "ops", "woba", "avg_exit_vel"]
     return per.groupBy("player_id").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("seasonal_stats"))
+
+
+def season_batting_stats(facts: DataFrame, items: str = "pitches") -> DataFrame:
+    """The player dimension from the facts themselves."""
+    return batting_lines(batting_partials(facts, items))
+
+
+def refresh_batting(spark: SparkSession, facts_path: str, partials_path: str, items: str = "pitches") -> list[str]:
+    """Bring stored sums up to date with a versioned facts table: only months whose loads changed are read."""
+    return rollup.refresh(spark, facts_path, partials_path, lambda f: batting_partials(f, items, by=[rollup.PART]))
+
+
+def stored_batting(spark: SparkSession, partials_path: str) -> DataFrame:
+    """The player dimension from the stored sums."""
+    return batting_lines(rollup.partials(spark, partials_path))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import nesting as N
+from ..plans import rollup as RO
 from ..plans.slice import ITEM_COLS, nested_orders, returnflag_status_crosstab
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..sources import versions as V
 from . import register
 
 
@@ -171,6 +173,33 @@ def c8_season_stats(spark, sf):
     return N.unnest(nested, "seasonal_stats")
 
 
+@register("c8_stored_stats", """
+SELECT o_custkey, CAST(year(o_orderdate) AS BIGINT) AS period, CAST(count(*) AS BIGINT) AS n_orders,
+       round(sum(o_totalprice), 4) AS total_price, round(max(o_totalprice), 4) AS max_price
+FROM orders GROUP BY 1, 2
+""")
+def c8_stored_stats(spark, sf):
+    """Sums stored by month: a first load lacks a year and has another one wrong; after the loads that mend it, two refreshes."""
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    path, sums = scratch_path(spark, "c8_orders"), scratch_path(spark, "c8_sums")
+    month, year = F.date_format(F.trunc(F.to_date("o_orderdate"), "month"), "yyyy-MM-dd"), F.year("o_orderdate")
+    period = F.year("o_orderdate").cast("bigint")
+
+    def partial(rows):
+        return rows.groupBy(RO.PART, "o_custkey", period.alias("period")).agg(
+            F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("most"))
+
+    wrong = o.where(year != 1994).withColumn("o_totalprice", F.when(year == 1995, F.lit(0.0)).otherwise(F.col("o_totalprice")))
+    V.commit(spark, path, wrong, month)
+    RO.refresh(spark, path, sums, partial)
+    V.commit(spark, path, o.where(year == 1994), month)
+    RO.refresh(spark, path, sums, partial)
+    V.commit(spark, path, o.where(year == 1995), month, default="replace")
+    RO.refresh(spark, path, sums, partial)
+    return RO.partials(spark, sums).groupBy("o_custkey", "period").agg(
+        F.sum("n").alias("n_orders"), F.round(F.sum("total"), 4).alias("total_price"), F.round(F.max("most"), 4).alias("max_price"))
+
+
 @register("c9_unwrap_list_record", """
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n_dims,
        round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS vsum

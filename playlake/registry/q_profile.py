@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import md5_u32
 from ..operators import profile as PF
 from ..operators.nesting import nest_sequences
+from ..plans import rollup as RO
 from ..plans.slice import ITEM_COLS
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..sources import versions as V
 from . import register
 
 
@@ -142,6 +144,19 @@ def f13_box_summary(spark, sf):
     return b.withColumns({c: F.round(c, 6) for c in ["q1", "q2", "q3", "iqr", "lo_fence", "hi_fence"]})
 
 
+@register("f13_month_sketches")
+def f13_month_sketches(spark, sf):
+    """Quartiles and distinct suppliers by flag from sketches stored by month (rows-only; tests/test_rollup.py)."""
+    li = read_table(spark, sf, "lineitem").select("l_shipdate", "l_returnflag", "l_quantity", "l_suppkey")
+    path, kept = scratch_path(spark, "f13_lines"), scratch_path(spark, "f13_sketches")
+    V.commit(spark, path, li, F.date_format(F.trunc(F.to_date("l_shipdate"), "month"), "yyyy-MM-dd"))
+    RO.refresh(spark, path, kept, lambda r: RO.sketches(r, ["l_quantity"], ["l_suppkey"], ["l_returnflag"]))
+    p = RO.profile(RO.partials(spark, kept), ["l_quantity"], ["l_suppkey"], ["l_returnflag"])
+    q = F.col("l_quantity_q")
+    return p.select("l_returnflag", "rows", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"),
+                    F.col("l_suppkey_distinct").alias("n_l_suppkey"))
+
+
 @register("f14_histogram", """
 WITH r AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(l_extendedprice) AS n
            FROM lineitem GROUP BY 1),
