@@ -249,7 +249,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     queries, so a bucket that holds a third of all rows is dealt to many
     tasks, and no pair becomes a row.  Queries left with fewer than ``k``
     neighbours, and all if no number of probes does, are scanned exactly, in
-    blocks.
+    blocks that meet in tasks.
 
     Returns query_id, rank (from 1), vec_id, score; nearest first, ties to
     smaller ids.  A null id, a null, empty or zero vector, one with null or
@@ -271,31 +271,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     model = fit_hashes(sample, n)
     some = q.orderBy(F.xxhash64("id")).limit(SAMPLE_QUERIES).toPandas()
     probes = _probe_count(v, some, model, k) if len(some) else 1
-    found = None
+    out = None
     if probes is not None:
-        found = saved(_top(_probed(v, q, model, probes, k), k), "found")
-        have = found.groupBy("query_id").agg(F.count("*").alias("m"))
-        short = (q.join(have, F.col("id") == F.col("query_id"), "left")
-                 .where(F.coalesce("m", F.lit(0)) < min(k, n)).select("id", "vec"))
-    else:
-        short = q
+        out = saved(_top(_probed(v, q, model, probes, k), k), "found")
+        have = out.groupBy("query_id").agg(F.count("*").alias("m"))
+        q = saved(q.join(have, F.col("id") == F.col("query_id"), "left")
+                  .where(F.coalesce("m", F.lit(0)) < min(k, n)).select("id", "vec"), "short")
     # rows left by probing count too: a scan of the same query finds them again
-    out, block = found, []
-    for row in short.toLocalIterator():
-        block.append(row)
-        if len(block) == EXACT_QUERIES:
-            out, block = _with_scan(v, out, block, k), []
-    if block:
-        out = _with_scan(v, out, block, k)
+    left = q.count()
+    if left:
+        more = saved(_scanned(v, q, left, n, k), "scanned")
+        out = more if out is None else out.unionByName(more)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return _top(out.select("query_id", "vec_id", "score"), k).select("query_id", "rank", "vec_id", "score")
 
 
-def _with_scan(v: DataFrame, out: DataFrame | None, block: list, k: int) -> DataFrame:
-    ids = np.array([r["id"] for r in block], np.int64)
-    more = saved(exact_neighbours(v, ids, np.array([r["vec"] for r in block], np.float64), k), "scanned")
-    return more if out is None else out.unionByName(more)
+def _scanned(v: DataFrame, q: DataFrame, queries: int, rows: int, k: int) -> DataFrame:
+    """The ``k`` nearest of all rows for each of ``q``: one block of queries goes to the rows, more meet blocks of rows in tasks."""
+    if queries <= EXACT_QUERIES:
+        block = q.toPandas()
+        return exact_neighbours(v, block["id"].to_numpy(np.int64), _matrix(block["vec"]), k)
+    blocks = {"rb": math.ceil(rows / BLOCK_ROWS), "qb": math.ceil(queries / BLOCK_QUERIES)}
+
+    def dealt(df: DataFrame, kind: int, own: str, other: str) -> DataFrame:
+        return df.select(F.lit(0).cast("long").alias("bucket"), F.lit(kind).alias("kind"), "id", "vec",
+                         F.pmod(F.xxhash64("id"), F.lit(blocks[own])).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))).alias(other))
+
+    return _top(_meet(dealt(v, 1, "rb", "qb"), dealt(q, 0, "qb", "rb"), k), k)
+
+
+def _meet(rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """What the queries of a block find among its rows; blocks are (bucket, rb, qb)."""
+    mixed_rows = rows.unionByName(asks).repartition("bucket", "rb", "qb")
+    return (mixed_rows.sortWithinPartitions("bucket", "rb", "qb", "kind")
+            .select("bucket", "rb", "qb", "kind", "id", "vec").mapInPandas(_search(k), RESULT))
 
 
 def _probed(v: DataFrame, q: DataFrame, model: dict, probes: int, k: int) -> DataFrame:
@@ -317,6 +328,4 @@ def _probed(v: DataFrame, q: DataFrame, model: dict, probes: int, k: int) -> Dat
                                               every("qbs").alias("qb")))
     asks = (probe.join(both, "bucket").select("bucket", F.lit(0).alias("kind"), "id", "vec", deal("qbs").alias("qb"),
                                               every("rbs").alias("rb")))
-    mixed_rows = rows.unionByName(asks).repartition("bucket", "rb", "qb")
-    return (mixed_rows.sortWithinPartitions("bucket", "rb", "qb", "kind")
-            .select("bucket", "rb", "qb", "kind", "id", "vec").mapInPandas(_search(k), RESULT))
+    return _meet(rows, asks, k)
