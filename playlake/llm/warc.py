@@ -22,6 +22,8 @@ CHUNK_BYTES = 64 * 1024
 # A writer starts a new archive after so many compressed bytes; one archive is read by one task.
 FILE_BYTES = 32 * 1024 * 1024
 READ_BYTES = 256 * 1024
+# Archives that one task reads where there are many.
+TASK_ARCHIVES = 16
 MAX_HEADER = 1024 * 1024
 CHUNK_SCHEMA = ("file string, record_id string, record_type string, target_uri string, refers_to string, "
                 "chunk_no long, data binary, payload_bytes long, payload_digest string, last boolean")
@@ -248,7 +250,7 @@ def _reader(chunk_bytes: int, with_data: bool):
 
 def read_warc(spark: SparkSession, archives: DataFrame, chunk_bytes: int = CHUNK_BYTES,
               with_data: bool = True) -> DataFrame:
-    """The records of ``archives`` (file) as chunk rows, read as streams, one archive a task.
+    """The records of ``archives`` (file) as chunk rows, read as streams, up to ``TASK_ARCHIVES`` a task.
 
     Columns: file, record_id, record_type, target_uri, refers_to, chunk_no,
     data, payload_bytes and payload_digest (bare base32 SHA-1) up to and with
@@ -257,5 +259,7 @@ def read_warc(spark: SparkSession, archives: DataFrame, chunk_bytes: int = CHUNK
     only the last rows come, with null data.  A payload that does not match
     its recorded digest, or a cut-off archive, raises an error.
     """
-    n = max(1, archives.count())
+    n = archives.count()
+    # a task for each archive while there are few, then several archives a task
+    n = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ARCHIVES))))
     return archives.select("file").repartition(n).mapInPandas(_reader(chunk_bytes, with_data), CHUNK_SCHEMA)
