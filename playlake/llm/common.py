@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pandas as pd
@@ -38,6 +40,50 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+# The shuffle files of a finished write are of no more use: its result is a table that all executors reach.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """``write(df, name)`` for tables that are needed inside the block only.
+
+    Like :func:`saved`, but the shuffle files of each write go when it has
+    ended and the tables when the block ends, so that a chain of steps takes
+    the disk of its largest and not of all.  Nothing lazy that reads such a
+    table may leave the block.
+    """
+    folder = scratch_path(spark, "scratch")
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+        with settings(spark, DROP_SHUFFLES):
+            df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import io
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, non_empty, row_keys, saved
+from .common import DROP_SHUFFLES, non_empty, row_keys, saved, scratch, settings
 
-ARROW_ROWS = 500
+# Rows of one Arrow batch, so that a batch of long texts fits a Python worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 # Most labelled documents used: their ids (8 bytes) are broadcast; a hash of the id picks them if there are more.
 MAX_LABELLED = 1_000_000
 # One in so many trusted documents sets the thresholds and is not trained on.
@@ -28,7 +32,7 @@ FENCE = 3.0
 RUNS = (1, 3)
 # No bound that is not a pure quantile rejects a smaller share of repeats (fixed value).
 REPEATS = 0.5
-# n-grams a scoring task holds at once (about 120 bytes each); more are scored shard by shard.
+# n-grams a scoring task holds at once (16 bytes each); more are scored shard by shard.
 SHARD_GRAMS = 1_000_000
 # Distinct words a task holds.
 MAX_WORDS = 400_000
@@ -37,8 +41,10 @@ FALLBACK = (0.5, 1.0, 1.5)
 START, END = "\x02", "\x03"
 # Words of an n-gram; the place before a text's first word has the id 0.
 WORD_ORDER = 3
-# Documents scored together: what they look up is gathered once for all of them.
-CHUNK_DOCS = 2048
+# Bytes of text scored together, at least one document: what they look up is gathered once for all of them.
+CHUNK_BYTES = 16 * 2 ** 20
+# Bytes by which each document of a chunk counts besides its text.
+ROW_BYTES = 64
 # Bits of the filter of the model's keys that is sent to the tasks (16 MB); it drops lookups that can't hit, no others.
 FILTER_BITS = 2 ** 27
 
@@ -49,17 +55,31 @@ def word_grams(word: str, n: int) -> list[str]:
     return [s[i:i + n] for i in range(len(word) + 1)]
 
 
+def _windows(words: list[str], n: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All grams of :func:`word_grams` at once: the padded words as one string, and of each gram place, word and key."""
+    start = START * (n - 1)
+    joined = "".join([f"{start}{w}{END}" for w in words])
+    units = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "uint32").astype("int64")
+    # a word of m characters has m + n of the string, of which m + 1 begin a gram
+    size = np.array([len(w) + n for w in words], "int64")
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(units)) - np.repeat(np.cumsum(size) - size, size)
+    first = np.flatnonzero(at <= size[owner] - n)
+    return joined, first, owner[first], _mix(n, *[units[first + i] for i in range(n)])
+
+
 def _gram_counts(n: int, distinct: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
 
         def flush():
-            grams: Counter = Counter()
-            for w, k in words.items():
-                for g in word_grams(w, n):
-                    grams[g] += k
+            joined, first, owner, keys = _windows(list(words), n)
+            codes, _ = pd.factorize(keys)
+            seen = first[~pd.Series(codes).duplicated().to_numpy()]
+            grams = [joined[i:i + n] for i in seen.tolist()]
+            count = np.bincount(codes, np.array(list(words.values()), "float64")[owner], len(grams))
             words.clear()
-            return pd.DataFrame({"gram": list(grams), "cnt": [1] * len(grams) if distinct else list(grams.values())})
+            return pd.DataFrame({"gram": grams, "cnt": 1 if distinct else count.astype("int64")})
 
         for pdf in batches:
             for text in pdf["text"]:
@@ -123,21 +143,29 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
+def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None,
+               keep: Callable[[DataFrame, str], DataFrame] = saved) -> list[tuple[DataFrame, DataFrame]]:
     """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p) and (context, gamma).
 
     A gram is a string of ``n`` characters or an array of ``n`` word ids.
     Lower orders count the different units that stand before a gram; below
     order 1 lies ``base`` (gram, base), or an equal share for each unit.
     Each order has three discounts from its counts of counts.  All tables
-    are keyed by the n-gram and joined on it, hash-partitioned.
+    are keyed by the n-gram and joined on it, hash-partitioned.  ``keep``
+    writes the model; the counts go when it is done.
     """
+    with scratch(counts.sparkSession) as write:
+        return _kneser_ney(counts, n, base, write, keep)
+
+
+def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callable[[DataFrame, str], DataFrame],
+                keep: Callable[[DataFrame, str], DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
     words = dict(counts.dtypes)["gram"] != "string"
     after = F.expr("slice(gram, 2, size(gram) - 1)" if words else "substr(gram, 2)")
     ahead = F.expr("slice(gram, 1, size(gram) - 1)" if words else "left(gram, length(gram) - 1)")
-    orders = {n: saved(counts.groupBy("gram").agg(F.sum("cnt").alias("cnt")), "grams")}
+    orders = {n: write(counts.groupBy("gram").agg(F.sum("cnt").alias("cnt")), "grams")}
     for k in range(n - 1, 0, -1):
-        orders[k] = saved(orders[k + 1].groupBy(after.alias("gram")).agg(F.count("*").alias("cnt")), "grams")
+        orders[k] = write(orders[k + 1].groupBy(after.alias("gram")).agg(F.count("*").alias("cnt")), "grams")
     model: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, n + 1):
         nn = orders[k].agg(*[F.count_if(F.col("cnt") == i).alias(f"n{i}") for i in (1, 2, 3, 4)],
@@ -164,7 +192,7 @@ def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None) -> list
         else:
             lower = F.lit(1.0 / (nn["types"] + 1))
         p = (F.col("cnt") - F.col("d")) / F.col("total") + F.col("gamma") * lower
-        model.append((saved(joined.select("gram", p.alias("p")), "model"), saved(c.select("context", "gamma"), "gamma")))
+        model.append((keep(joined.select("gram", p.alias("p")), "model"), keep(c.select("context", "gamma"), "gamma")))
     return model
 
 
@@ -186,30 +214,30 @@ def gram_logs(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], types:
 
 def _partial_scores(table, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs = table.value
-        known: dict[str, float] = {}
+        grams, logs = (np.frombuffer(x, t) for x, t in zip(table.value, ("int64", "float64")))
         for pdf in batches:
-            sums, chars = [], []
-            for text in pdf["text"]:
-                total, size = 0.0, 0
-                for w in text.split() if text else ():
-                    s = known.get(w)
-                    if s is None:
-                        s = sum(logs.get(g, 0.0) for g in word_grams(w, n))
-                        if len(w) <= 64:
-                            if len(known) >= MAX_WORDS:
-                                known.clear()
-                            known[w] = s
-                    total += s
-                    size += len(w) + 1
-                sums.append(total)
-                chars.append(size)
-            yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "k2": pdf["k2"], "lang": pdf["lang"], "n": chars,
-                                "logp": sums})
+            words = [text.split() if text else [] for text in pdf["text"]]
+            of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            _, _, owner, keys = _windows([w for text in words for w in text], n)
+            logp = np.zeros(len(keys))
+            if len(grams):
+                i = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+                logp = np.where(grams[i] == keys, logs[i], 0.0)
+            owner = of[owner] if len(owner) else owner
+            yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "k2": pdf["k2"], "lang": pdf["lang"],
+                                "n": np.bincount(owner, minlength=len(words)).astype("int64"),
+                                "logp": np.bincount(owner, logp, len(words)).astype("float64")})
     return non_empty(run)
 
 
-def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+def _gram_keys(grams: list[str], n: int) -> np.ndarray:
+    """The keys that :func:`_windows` gives these grams of ``n`` characters."""
+    units = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "uint32").astype("int64").reshape(-1, n)
+    return _mix(n, *units.T)
+
+
+def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SHARD_GRAMS,
+                 keep: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(id, k1, k2, lang, n, perplexity) of ``docs`` (id, k1, k2, lang, text), n the characters predicted.
 
     The gram table is cut into shards by hash, none above ``shard_grams`` by
@@ -221,11 +249,13 @@ def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SH
     parts = None
     for i in range(shards):
         rows = logs.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).toArrow()
-        table = spark.sparkContext.broadcast(dict(zip(rows["gram"].to_pylist(), rows["logp"].to_pylist())))
+        keys = _gram_keys(rows["gram"].to_pylist(), n)
+        order = np.argsort(keys)
+        table = spark.sparkContext.broadcast((keys[order].tobytes(), rows["logp"].to_numpy()[order].tobytes()))
         part = docs.mapInPandas(_partial_scores(table, n),
                                 "id long, k1 long, k2 long, lang string, n long, logp double")
         if shards > 1:
-            part = saved(part.dropDuplicates(["k1", "k2"]), "part")
+            part = keep(part.dropDuplicates(["k1", "k2"]), "part")
         parts = part if parts is None else parts.unionByName(part)
     if shards > 1:
         parts = parts.groupBy("id", "k1", "k2", "lang", "n").agg(F.sum("logp").alias("logp"))
@@ -245,60 +275,64 @@ def _mix(salt: int, *ids: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, v, c) from (kind, a, b, c3, v, c): kinds 1 to 3 are n-grams, 4 and 5 contexts of one and two words."""
-    used = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c3"], 4: ["a"], 5: ["a", "b"]}
+    """(key, v, g, c) from (kind, w1, w2, w3, v, g, c): an n-gram of ``kind`` words, also where it is a context."""
     for pdf in batches:
         kinds = pdf["kind"].to_numpy()
         key = np.zeros(len(pdf), "int64")
-        for kind in np.unique(kinds):
+        for kind in np.unique(kinds).tolist():
             of = kinds == kind
-            key[of] = _mix(int(kind), *[pdf[x].to_numpy()[of] for x in used[int(kind)]])
-        yield pd.DataFrame({"key": key, "v": pdf["v"].to_numpy(), "c": pdf["c"].to_numpy()})
+            key[of] = _mix(kind, *[pdf[f"w{i}"].to_numpy()[of] for i in range(1, kind + 1)])
+        yield pd.DataFrame({"key": key, **{x: pdf[x].to_numpy() for x in "vgc"}})
 
 
-def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """What is added up for a word in its place, as (key, v, c): one row per word, and the rest of the model.
+def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]],
+                keep: Callable[[DataFrame, str], DataFrame] = saved) -> tuple[DataFrame, DataFrame]:
+    """What is added up for a word in its place, as (key, v, g, c): one row per word, and the rest of the model.
 
     ``vocabulary`` (id, lp) has the logarithm of each word as spelt.  A place
-    has v of its word, and of each context and n-gram around it that the
-    model has; the sum is the logarithm of the interpolated probability.
-    c is the word as spelt.
+    has v of its word and of each n-gram that ends there, and g of each
+    context before it, as far as the model has them; the sum is the
+    logarithm of the interpolated probability.  c is the word as spelt.
     """
     (p1, g0), (p2, g1), (p3, g2) = model
     spare = g0.first()
     one = p1.select(F.col("gram")[0].alias("id"), F.col("p").alias("p1"))
+    ahead = g1.select(F.col("context")[0].alias("id"), F.log("gamma").alias("g"))
     unseen = F.col("lp") + (math.log(spare["gamma"]) if spare else 0.0)
-    words = vocabulary.join(one, "id", "left").select("id", F.coalesce(F.log("p1"), unseen).alias("v"), "lp")
+    words = (vocabulary.join(one, "id", "left").join(ahead, "id", "left")
+             .select("id", F.coalesce(F.log("p1"), unseen).alias("v"), F.coalesce("g", F.lit(0.0)).alias("g"),
+                     F.col("lp").alias("c")))
 
-    def rows(df: DataFrame, kind: int, gram: str, v: Column, c: Column | None = None) -> DataFrame:
-        part = lambda i: F.coalesce(F.get(gram, F.lit(i)), F.lit(0).cast("long"))
-        return df.select(F.lit(kind).alias("kind"), part(0).alias("a"), part(1).alias("b"), part(2).alias("c3"),
-                         v.alias("v"), (F.lit(0.0) if c is None else c).alias("c"))
+    def rows(df: DataFrame, kind: int, gram: str, **values: Column) -> DataFrame:
+        part = [F.coalesce(F.get(gram, F.lit(i)), F.lit(0).cast("long")).alias(f"w{i + 1}") for i in range(3)]
+        return df.select(F.lit(kind).alias("kind"), *part, *[values.get(x, F.lit(0.0)).alias(x) for x in "vgc"])
 
     two = (p2.select("gram", "p", F.slice("gram", 1, 1).alias("context"), F.slice("gram", 2, 1).alias("tail"))
            .join(g1, "context").join(p1.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
     three = (p3.select("gram", "p", F.slice("gram", 1, 2).alias("context"), F.slice("gram", 2, 2).alias("tail"))
              .join(g2, "context").join(p2.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
     more = F.log("p") - F.log("gamma") - F.log("below")
-    rest = (rows(two, 2, "gram", more).unionByName(rows(three, 3, "gram", more))
-            .unionByName(rows(g1, 4, "context", F.log("gamma"))).unionByName(rows(g2, 5, "context", F.log("gamma"))))
-    w = words.select(F.array("id").alias("gram"), "v", "lp")
-    schema = "key long, v double, c double"
-    return (saved(rows(w, 1, "gram", F.col("v"), F.col("lp")).mapInPandas(non_empty(_keyed), schema), "words"),
-            saved(rest.mapInPandas(non_empty(_keyed), schema), "rest"))
+    # the place before a text is the only context that is no word
+    start = g1.where(F.col("context")[0] == 0)
+    rest = (rows(two, 2, "gram", v=more).unionByName(rows(three, 3, "gram", v=more))
+            .unionByName(rows(start, 1, "context", g=F.log("gamma"))).unionByName(rows(g2, 2, "context", g=F.log("gamma"))))
+    schema = "key long, v double, g double, c double"
+    words = rows(words.select(F.array("id").alias("gram"), "v", "g", "c"), 1, "gram", **{x: F.col(x) for x in "vgc"})
+    rest = rest.mapInPandas(non_empty(_keyed), schema).groupBy("key").agg(*[F.sum(x).alias(x) for x in "vgc"])
+    return keep(words.mapInPandas(non_empty(_keyed), schema), "words"), keep(rest, "rest")
 
 
 def _bit(keys: np.ndarray) -> list[np.ndarray]:
     u = keys.view("uint64")
-    return [(u % np.uint64(FILTER_BITS)).astype("int64"), ((u >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype("int64")]
+    return [(x % np.uint64(FILTER_BITS)).astype("int64") for x in (u, u >> np.uint64(32))]
 
 
 def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS, bool)
+    bits = np.zeros(FILTER_BITS // 8, "uint8")
     for pdf in batches:
         for b in _bit(pdf["key"].to_numpy()):
-            bits[b] = True
-    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+            np.bitwise_or.at(bits, b >> 3, np.uint8(128) >> (b & 7).astype("uint8"))
+    yield pd.DataFrame({"bits": [bits.tobytes()]})
 
 
 def _key_filter(rest: DataFrame):
@@ -310,7 +344,7 @@ def _key_filter(rest: DataFrame):
 
 
 class _Places:
-    """The words of some texts in one row each: owner (number of the text), size (characters and end), keys by kind."""
+    """The words of some texts in one row each: owner (number of the text), size (characters and end), keys by kind, keys of contexts."""
 
     def __init__(self, texts, known: dict[str, int]):
         ids: list[int] = []
@@ -327,25 +361,61 @@ class _Places:
         w = np.array(ids, "int64")
         self.at = np.arange(len(w)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         one, two = (np.where(self.at >= k, np.concatenate([np.zeros(k, "int64"), w])[:len(w)], 0) for k in (1, 2))
-        self.keys = {1: _mix(1, w), 2: _mix(2, one, w), 3: _mix(3, two, one, w), 4: _mix(4, one), 5: _mix(5, two, one)}
+        self.keys = {1: _mix(1, w), 2: _mix(2, one, w), 3: _mix(3, two, one, w)}
+        self.contexts = [_mix(1, one), _mix(2, two, one)]
 
 
-def _gather(bits):
-    known: dict[str, int] = {}
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in chunks of about ``CHUNK_BYTES`` of text, each one compressed value."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush():
+        table = pa.Table.from_batches(kept)
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        kept.clear()
+        return pa.RecordBatch.from_pydict({"blob": pa.array([out.getvalue()], "binary")})
+
+    for batch in batches:
+        start = 0
+        for i, m in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+            m = ROW_BYTES + (m or 0)
+            if size and size + m > CHUNK_BYTES:
+                if i > start:
+                    kept.append(batch.slice(start, i - start))
+                yield flush()
+                start, size = i, 0
+            size += m
+        if batch.num_rows > start:
+            kept.append(batch.slice(start))
+    if kept:
+        yield flush()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _unpack(blob: bytes) -> pd.DataFrame:
+    docs = pa.ipc.open_stream(blob).read_all()
+    return pd.DataFrame({x: docs[x].to_pylist() for x in ("id", "k1", "k2", "lang", "text")}, dtype="object")
+
+
+def _gather(bits):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         table = np.frombuffer(bits.value, "uint8")
-        places = _Places(pdf["text"], known)
-        out = [np.unique(places.keys[1])]
-        for kind in (2, 3, 4, 5):
-            keys = np.unique(places.keys[kind])
-            hit = np.ones(len(keys), bool)
-            for b in _bit(keys):
-                hit &= ((table[b >> 3] >> (7 - (b & 7)).astype("uint8")) & 1).astype(bool)
-            out.append(keys[hit])
-        keys = np.concatenate(out)
-        return pd.DataFrame({"chunk": np.full(len(keys), pdf["chunk"].iloc[0] if len(pdf) else 0), "key": keys})
-    return run
+        for pdf in batches:
+            for chunk, blob in zip(pdf["chunk"], pdf["blob"]):
+                places = _Places(pa.ipc.open_stream(blob).read_all()["text"].to_pylist(), known)
+                out = [pd.unique(places.keys[1])]
+                for keys in (places.contexts[0][places.at == 0][:1], pd.unique(places.keys[2]),
+                             places.contexts[1][places.at == 0][:1], pd.unique(places.keys[3])):
+                    hit = np.ones(len(keys), bool)
+                    for b in _bit(keys):
+                        hit &= ((table[b >> 3] >> (7 - (b & 7)).astype("uint8")) & 1).astype(bool)
+                    out.append(keys[hit])
+                keys = np.concatenate(out)
+                yield pd.DataFrame({"chunk": np.full(len(keys), chunk), "key": keys})
+    return non_empty(run)
 
 
 def _repeats(places: _Places) -> np.ndarray:
@@ -353,10 +423,7 @@ def _repeats(places: _Places) -> np.ndarray:
     inside = places.at >= WORD_ORDER - 1
     owner, keys = places.owner[inside], places.keys[3][inside]
     total = np.bincount(owner, minlength=len(places.counts))
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    again = np.zeros(len(keys), bool)
-    again[1:] = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
+    again = pd.Series(_mix(0, owner, keys)).duplicated().to_numpy()
     return np.bincount(owner, again, minlength=len(total)) / np.maximum(total, 1)
 
 
@@ -375,18 +442,15 @@ def _worst_run(cost: np.ndarray, size: np.ndarray, counts: np.ndarray, run: int)
 def _score_chunk():
     known: dict[str, int] = {}
 
-    def run(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def run(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        docs = _unpack(packed["blob"].iloc[0])
         places = _Places(docs["text"], known)
-        table = table.sort_values("key")
-        keys, v, c = (table[x].to_numpy() for x in ("key", "v", "c"))
-        logp, spelt = np.zeros(len(places.owner)), np.zeros(len(places.owner))
-        for kind, k in places.keys.items():
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                hit = keys[i] == k
-                logp += np.where(hit, v[i], 0.0)
-                if kind == 1:
-                    spelt += np.where(hit, c[i], 0.0)
+        index = pd.Index(table["key"].to_numpy())
+        v, g, c = (np.append(table[x].to_numpy(), 0.0) for x in "vgc")
+        # a key without a row takes the last value, which is 0
+        at = [index.get_indexer(k) for k in places.keys.values()]
+        logp = sum(v[i] for i in at) + sum(g[index.get_indexer(k)] for k in places.contexts)
+        spelt = c[at[0]]
         m = len(places.counts)
         add = lambda x: np.bincount(places.owner, x, minlength=m)
         n = add(places.size)
@@ -403,20 +467,25 @@ SCORES = "id long, k1 long, k2 long, lang string, n long, cost double, spelling
 
 
 def score_documents(docs: DataFrame, words: DataFrame, rest: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (id, k1, k2, lang, text) its scores under the model of :func:`score_table`.
+    """Per row of ``docs`` (id, k1, k2, lang, text) its scores under the model of :func:`score_table`, written.
 
-    The different keys of each chunk of documents are gathered, joined with
-    the table by key, and meet the chunk's texts again, so that no table is
-    held by a task or passes the driver.
+    Documents are packed into chunks where they lie.  The different keys of
+    each chunk are gathered, joined with the table by key, and meet the
+    chunk again, so that no table is held by a task or passes the driver.
     """
-    chunks = max(1, math.ceil(docs.count() / CHUNK_DOCS))
-    d = docs.withColumn("chunk", F.pmod(F.col("k1"), F.lit(chunks)))
-    wanted = (d.where("text IS NOT NULL").select("chunk", "text").groupBy("chunk")
-              .applyInPandas(_gather(_key_filter(rest)), "chunk long, key long"))
-    found = wanted.join(words.unionByName(rest).hint("merge"), "key").select("chunk", "key", "v", "c")
-    out = d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk(), SCORES)
-    null = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
-    return out.select("id", "k1", "k2", "lang", "n", *[null(c) for c in BOUNDED])
+    spark = docs.sparkSession
+    with scratch(spark) as write:
+        key_filter = _key_filter(rest)
+        with settings(spark, SMALL_BATCHES), scratch(spark) as within:
+            chunks = write(docs.select("id", "k1", "k2", "lang", "text").mapInArrow(_pack, "blob binary")
+                           .withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+            wanted = chunks.mapInPandas(_gather(key_filter), "chunk long, key long")
+            found = wanted.join(words.unionByName(rest).hint("merge"), "key").select("chunk", "key", "v", "g", "c")
+            found = within(found, "found")
+            out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk(), SCORES)
+            null = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
+            with settings(spark, DROP_SHUFFLES):
+                return saved(out.select("id", "k1", "k2", "lang", "n", *[null(c) for c in BOUNDED]), "scores")
 
 
 def _trusted_ids(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, DataFrame]:
@@ -457,33 +526,42 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     Rows that repeat id and text with one language come back each.  Empty
     table: no rows.  Other columns are not used.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark, ARROW_ROWS)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                     F.col(lang_col).cast("string").alias("lang"), *row_keys(F.col(id_col), F.col(text_col)))
     train, held = (F.broadcast(x.select(F.col("doc_id").cast("long").alias("id")))
                    for x in _trusted_ids(labels, max_labelled))
     texts = d.select("id", "text").join(train, "id", "left_semi").select("text")
-    counts = texts.mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
-    spelling = kneser_ney(counts, order)
-    types = spelling[0][0].count()
-    # every word of the corpus once, as spelt
-    vocabulary = (d.select("text").mapInPandas(non_empty(_distinct_words), "word string").distinct()
-                  .mapInPandas(_word_ids, "id long, word string").groupBy("id").agg(F.min("word").alias("text")))
-    vocabulary = saved(vocabulary, "vocabulary")
-    grams = (vocabulary.mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
-             .groupBy("gram").agg(F.count("*").alias("c")).select("gram"))
-    logs = saved(gram_logs(saved(grams, "corpus-grams"), spelling, types), "logs")
-    spelt = perplexities(vocabulary.select("id", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                                           F.lit("").alias("lang"), "text"), logs, order, shard_grams)
-    spelt = saved(spelt.select("id", (-F.log("perplexity") * F.col("n")).alias("lp")), "spelt")
-    triples = texts.mapInPandas(non_empty(_word_counts), "a long, b long, c long, cnt long")
-    base = spelt.select(F.array("id").alias("gram"), F.exp("lp").alias("base"))
-    model = kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base)
-    scores = saved(score_documents(d, *score_table(spelt, model)), "scores")
+    with scratch(d.sparkSession) as write:
+        spelt = _spelt_words(d, texts, order, shard_grams, write)
+        triples = texts.mapInPandas(non_empty(_word_counts), "a long, b long, c long, cnt long")
+        base = spelt.select(F.array("id").alias("gram"), F.exp("lp").alias("base"))
+        with scratch(d.sparkSession) as within:
+            with settings(d.sparkSession, SMALL_BATCHES):
+                model = kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base, within)
+            table = score_table(spelt, model, write)
+        scores = score_documents(d, *table)
     return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
 
 
+def _spelt_words(d: DataFrame, texts: DataFrame, order: int, shard_grams: int,
+                 keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(id, lp) of every word of ``d`` (text), spelt by a model of the characters of ``texts`` (text)."""
+    with scratch(d.sparkSession) as write, settings(d.sparkSession, SMALL_BATCHES):
+        counts = texts.mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
+        spelling = kneser_ney(counts, order, keep=write)
+        types = spelling[0][0].count()
+        # every word of the corpus once, as spelt
+        vocabulary = (d.select("text").mapInPandas(non_empty(_distinct_words), "word string").distinct()
+                      .mapInPandas(_word_ids, "id long, word string").groupBy("id").agg(F.min("word").alias("text")))
+        vocabulary = write(vocabulary, "vocabulary")
+        grams = (vocabulary.mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
+                 .groupBy("gram").agg(F.count("*").alias("c")).select("gram"))
+        logs = write(gram_logs(write(grams, "corpus-grams"), spelling, types), "logs")
+        spelt = perplexities(vocabulary.select("id", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"),
+                                               F.lit("").alias("lang"), "text"), logs, order, shard_grams, write)
+        return keep(spelt.select("id", (-F.log("perplexity") * F.col("n")).alias("lp")), "spelt")
+
+
 # The scores that have an upper (True) or lower bound.
 BOUNDED = {"cost": True, "spelling": False, "repeats": True, **{f"run{k}": True for k in RUNS}}
 
