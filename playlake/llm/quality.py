@@ -145,11 +145,12 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None,
                keep: Callable[[DataFrame, str], DataFrame] = saved) -> list[tuple[DataFrame, DataFrame]]:
-    """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p) and (context, gamma).
+    """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p, more) and (context, gamma).
 
     A gram is a string of ``n`` characters or an array of ``n`` word ids.
     Lower orders count the different units that stand before a gram; below
     order 1 lies ``base`` (gram, base), or an equal share for each unit.
+    ``more`` is the logarithm of p above that of the order below backed off.
     Each order has three discounts from its counts of counts.  All tables
     are keyed by the n-gram and joined on it, hash-partitioned.  ``keep``
     writes the model; the counts go when it is done.
@@ -159,7 +160,8 @@ def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None,
 
 
 def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callable[[DataFrame, str], DataFrame],
-                keep: Callable[[DataFrame, str], DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
+                keep: Callable[[DataFrame, str], DataFrame], highest: bool = True) -> list[tuple[DataFrame, DataFrame]]:
+    """As :func:`kneser_ney`, counts written by ``write``; the ``highest`` order's n-grams may be left unwritten."""
     words = dict(counts.dtypes)["gram"] != "string"
     after = F.expr("slice(gram, 2, size(gram) - 1)" if words else "substr(gram, 2)")
     ahead = F.expr("slice(gram, 1, size(gram) - 1)" if words else "left(gram, length(gram) - 1)")
@@ -176,23 +178,26 @@ def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callab
             own = tuple(i - (i + 1) * y * nn[f"n{i + 1}"] / nn[f"n{i}"] for i in (1, 2, 3))
             d = own if all(0 < own[i - 1] <= i for i in (1, 2, 3)) else FALLBACK
         discount = F.when(F.col("cnt") == 1, d[0]).when(F.col("cnt") == 2, d[1]).otherwise(d[2])
-        g = orders[k].select("gram", ahead.alias("context"), "cnt", discount.alias("d"))
         # the discounts of a context added as counts, so that the order of rows does not show in the last digits
-        c = g.groupBy("context").agg(F.sum("cnt").alias("total"), F.count_if(F.col("cnt") == 1).alias("c1"),
-                                     F.count_if(F.col("cnt") == 2).alias("c2"), F.count_if(F.col("cnt") > 2).alias("c3"))
+        c = orders[k].groupBy(ahead.alias("context")).agg(
+            F.sum("cnt").alias("total"), F.count_if(F.col("cnt") == 1).alias("c1"),
+            F.count_if(F.col("cnt") == 2).alias("c2"), F.count_if(F.col("cnt") > 2).alias("c3"))
         gamma = (F.col("c1") * d[0] + F.col("c2") * d[1] + F.col("c3") * d[2]) / F.col("total")
         c = c.select("context", "total", gamma.alias("gamma"))
-        joined = g.join(c, "context")
+        # contexts and suffixes are joined as expressions: no row carries its gram twice
+        joined = orders[k].join(c, ahead == F.col("context")).select(
+            "gram", ((F.col("cnt") - discount) / F.col("total")).alias("own"), "gamma")
         if k > 1:
             below = model[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
             joined = joined.join(below, after == F.col("suffix"))
-            lower = F.col("below")
         elif base is not None:
-            joined, lower = joined.join(base, "gram"), F.col("base")
+            joined = joined.join(base.withColumnRenamed("base", "below"), "gram")
         else:
-            lower = F.lit(1.0 / (nn["types"] + 1))
-        p = (F.col("cnt") - F.col("d")) / F.col("total") + F.col("gamma") * lower
-        model.append((keep(joined.select("gram", p.alias("p")), "model"), keep(c.select("context", "gamma"), "gamma")))
+            joined = joined.withColumn("below", F.lit(1.0 / (nn["types"] + 1)))
+        lower = F.col("gamma") * F.col("below")
+        p = F.col("own") + lower
+        grams = joined.select("gram", p.alias("p"), (F.log(p) - F.log(lower)).alias("more"))
+        model.append((keep(grams, "model") if highest or k < n else grams, keep(c.select("context", "gamma"), "gamma")))
     return model
 
 
@@ -307,18 +312,14 @@ def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]],
         part = [F.coalesce(F.get(gram, F.lit(i)), F.lit(0).cast("long")).alias(f"w{i + 1}") for i in range(3)]
         return df.select(F.lit(kind).alias("kind"), *part, *[values.get(x, F.lit(0.0)).alias(x) for x in "vgc"])
 
-    two = (p2.select("gram", "p", F.slice("gram", 1, 1).alias("context"), F.slice("gram", 2, 1).alias("tail"))
-           .join(g1, "context").join(p1.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
-    three = (p3.select("gram", "p", F.slice("gram", 1, 2).alias("context"), F.slice("gram", 2, 2).alias("tail"))
-             .join(g2, "context").join(p2.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail"))
-    more = F.log("p") - F.log("gamma") - F.log("below")
     # the place before a text is the only context that is no word
     start = g1.where(F.col("context")[0] == 0)
-    rest = (rows(two, 2, "gram", v=more).unionByName(rows(three, 3, "gram", v=more))
-            .unionByName(rows(start, 1, "context", g=F.log("gamma"))).unionByName(rows(g2, 2, "context", g=F.log("gamma"))))
+    two = (rows(p2, 2, "gram", v=F.col("more")).unionByName(rows(start, 1, "context", g=F.log("gamma")))
+           .unionByName(rows(g2, 2, "context", g=F.log("gamma"))))
     schema = "key long, v double, g double, c double"
     words = rows(words.select(F.array("id").alias("gram"), "v", "g", "c"), 1, "gram", **{x: F.col(x) for x in "vgc"})
-    rest = rest.mapInPandas(non_empty(_keyed), schema).groupBy("key").agg(*[F.sum(x).alias(x) for x in "vgc"])
+    two = two.mapInPandas(non_empty(_keyed), schema).groupBy("key").agg(*[F.sum(x).alias(x) for x in "vgc"])
+    rest = two.unionByName(rows(p3, 3, "gram", v=F.col("more")).mapInPandas(non_empty(_keyed), schema))
     return keep(words.mapInPandas(non_empty(_keyed), schema), "words"), keep(rest, "rest")
 
 
@@ -537,7 +538,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
         base = spelt.select(F.array("id").alias("gram"), F.exp("lp").alias("base"))
         with scratch(d.sparkSession) as within:
             with settings(d.sparkSession, SMALL_BATCHES):
-                model = kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base, within)
+                model = _kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base,
+                                    within, within, highest=False)
             table = score_table(spelt, model, write)
         scores = score_documents(d, *table)
     return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
