@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DROP_SHUFFLES, non_empty, row_keys, saved, scratch, settings
+from .common import non_empty, row_keys, saved, scratch, settings
+from .wordmodel import END, RUNS, SHARD_GRAMS, START, discounts, score_documents, windows
 
 # Rows of one Arrow batch, so that a batch of long texts fits a Python worker.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
@@ -28,25 +24,10 @@ HOLD_OUT = 5
 MIN_HELD_OUT = 20
 # Distances of the quartiles by which a threshold lies outside them if there are too few documents for a quantile.
 FENCE = 3.0
-# Words of the runs whose worst mean is a score of its own.
-RUNS = (1, 3)
 # No bound that is not a pure quantile rejects a smaller share of repeats (fixed value).
 REPEATS = 0.5
-# n-grams a scoring task holds at once (16 bytes each); more are scored shard by shard.
-SHARD_GRAMS = 1_000_000
 # Distinct words a task holds.
 MAX_WORDS = 400_000
-# Discounts where the counts of counts give none (fixed values).
-FALLBACK = (0.5, 1.0, 1.5)
-START, END = "\x02", "\x03"
-# Words of an n-gram; the place before a text's first word has the id 0.
-WORD_ORDER = 3
-# Bytes of text scored together, at least one document: what they look up is gathered once for all of them.
-CHUNK_BYTES = 16 * 2 ** 20
-# Bytes by which each document of a chunk counts besides its text.
-ROW_BYTES = 64
-# Bits of the filter of the model's keys that is sent to the tasks (16 MB); it drops lookups that can't hit, no others.
-FILTER_BITS = 2 ** 27
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -55,25 +36,12 @@ def word_grams(word: str, n: int) -> list[str]:
     return [s[i:i + n] for i in range(len(word) + 1)]
 
 
-def _windows(words: list[str], n: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """All grams of :func:`word_grams` at once: the padded words as one string, and of each gram place, word and key."""
-    start = START * (n - 1)
-    joined = "".join([f"{start}{w}{END}" for w in words])
-    units = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "uint32").astype("int64")
-    # a word of m characters has m + n of the string, of which m + 1 begin a gram
-    size = np.array([len(w) + n for w in words], "int64")
-    owner = np.repeat(np.arange(len(words)), size)
-    at = np.arange(len(units)) - np.repeat(np.cumsum(size) - size, size)
-    first = np.flatnonzero(at <= size[owner] - n)
-    return joined, first, owner[first], _mix(n, *[units[first + i] for i in range(n)])
-
-
 def _gram_counts(n: int, distinct: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
 
         def flush():
-            joined, first, owner, keys = _windows(list(words), n)
+            joined, first, owner, keys = windows(list(words), n)
             codes, _ = pd.factorize(keys)
             seen = first[~pd.Series(codes).duplicated().to_numpy()]
             grams = [joined[i:i + n] for i in seen.tolist()]
@@ -91,80 +59,23 @@ def _gram_counts(n: int, distinct: bool):
     return non_empty(run)
 
 
-def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: set = set()
-    for pdf in batches:
-        for text in pdf["text"]:
-            if text:
-                words.update(text.split())
-            if len(words) > MAX_WORDS:
-                yield pd.DataFrame({"word": list(words)})
-                words.clear()
-    yield pd.DataFrame({"word": list(words)})
-
-
-def word_id(word: str) -> int:
-    """64 bits that stand for a word; two words that share them count as one."""
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _ids(words: list[str], known: dict[str, int]) -> list[int]:
-    if len(known) > MAX_WORDS:
-        known.clear()
-    out = []
-    for w in words:
-        i = known.get(w)
-        if i is None:
-            i = known[w] = word_id(w)
-        out.append(i)
-    return out
-
-
-def _word_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"id": _ids(list(pdf["word"]), {}), "word": pdf["word"]})
-
-
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    grams: Counter = Counter()
-
-    def flush():
-        out = pd.DataFrame(list(grams), columns=["a", "b", "c"], dtype="int64").assign(cnt=list(grams.values()))
-        grams.clear()
-        return out
-
-    for pdf in batches:
-        for text in pdf["text"]:
-            ids = _ids(text.split() if text else [], known)
-            grams.update(zip([0, 0, *ids], [0, *ids], ids))
-            if len(grams) > MAX_WORDS:
-                yield flush()
-    yield flush()
-
-
-def kneser_ney(counts: DataFrame, n: int, base: DataFrame | None = None,
+def kneser_ney(counts: DataFrame, n: int,
                keep: Callable[[DataFrame, str], DataFrame] = saved) -> list[tuple[DataFrame, DataFrame]]:
-    """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p, more) and (context, gamma).
-
-    A gram is a string of ``n`` characters or an array of ``n`` word ids.
-    Lower orders count the different units that stand before a gram; below
-    order 1 lies ``base`` (gram, base), or an equal share for each unit.
-    ``more`` is the logarithm of p above that of the order below backed off.
-    Each order has three discounts from its counts of counts.  All tables
-    are keyed by the n-gram and joined on it, hash-partitioned.  ``keep``
-    writes the model; the counts go when it is done.
+    """The model from the counts (gram, cnt) of order ``n``: for each order from 1 on, (gram, p) and (context, gamma).
+
+    A gram is a string of ``n`` characters.  Lower orders count the different
+    units that stand before a gram; below order 1 lies an equal share for
+    each unit.  Each order has three discounts from its counts of counts.
+    All tables are keyed by the n-gram and joined on it, hash-partitioned.
+    ``keep`` writes the model; the counts go when it is done.
     """
     with scratch(counts.sparkSession) as write:
-        return _kneser_ney(counts, n, base, write, keep)
+        return _kneser_ney(counts, n, write, keep)
 
 
-def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callable[[DataFrame, str], DataFrame],
-                keep: Callable[[DataFrame, str], DataFrame], highest: bool = True) -> list[tuple[DataFrame, DataFrame]]:
-    """As :func:`kneser_ney`, counts written by ``write``; the ``highest`` order's n-grams may be left unwritten."""
-    words = dict(counts.dtypes)["gram"] != "string"
-    after = F.expr("slice(gram, 2, size(gram) - 1)" if words else "substr(gram, 2)")
-    ahead = F.expr("slice(gram, 1, size(gram) - 1)" if words else "left(gram, length(gram) - 1)")
+def _kneser_ney(counts: DataFrame, n: int, write: Callable[[DataFrame, str], DataFrame],
+                keep: Callable[[DataFrame, str], DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
+    after, ahead = F.expr("substr(gram, 2)"), F.expr("left(gram, length(gram) - 1)")
     orders = {n: write(counts.groupBy("gram").agg(F.sum("cnt").alias("cnt")), "grams")}
     for k in range(n - 1, 0, -1):
         orders[k] = write(orders[k + 1].groupBy(after.alias("gram")).agg(F.count("*").alias("cnt")), "grams")
@@ -172,11 +83,7 @@ def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callab
     for k in range(1, n + 1):
         nn = orders[k].agg(*[F.count_if(F.col("cnt") == i).alias(f"n{i}") for i in (1, 2, 3, 4)],
                            F.count("*").alias("types")).first()
-        d = FALLBACK
-        if nn["n1"] and nn["n2"] and nn["n3"]:
-            y = nn["n1"] / (nn["n1"] + 2 * nn["n2"])
-            own = tuple(i - (i + 1) * y * nn[f"n{i + 1}"] / nn[f"n{i}"] for i in (1, 2, 3))
-            d = own if all(0 < own[i - 1] <= i for i in (1, 2, 3)) else FALLBACK
+        d = discounts(*nn[:4])
         discount = F.when(F.col("cnt") == 1, d[0]).when(F.col("cnt") == 2, d[1]).otherwise(d[2])
         # the discounts of a context added as counts, so that the order of rows does not show in the last digits
         c = orders[k].groupBy(ahead.alias("context")).agg(
@@ -190,14 +97,10 @@ def _kneser_ney(counts: DataFrame, n: int, base: DataFrame | None, write: Callab
         if k > 1:
             below = model[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
             joined = joined.join(below, after == F.col("suffix"))
-        elif base is not None:
-            joined = joined.join(base.withColumnRenamed("base", "below"), "gram")
         else:
             joined = joined.withColumn("below", F.lit(1.0 / (nn["types"] + 1)))
-        lower = F.col("gamma") * F.col("below")
-        p = F.col("own") + lower
-        grams = joined.select("gram", p.alias("p"), (F.log(p) - F.log(lower)).alias("more"))
-        model.append((keep(grams, "model") if highest or k < n else grams, keep(c.select("context", "gamma"), "gamma")))
+        grams = joined.select("gram", (F.col("own") + F.col("gamma") * F.col("below")).alias("p"))
+        model.append((keep(grams, "model"), keep(c.select("context", "gamma"), "gamma")))
     return model
 
 
@@ -217,278 +120,6 @@ def gram_logs(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], types:
     return q.select("gram", F.log("below").alias("logp"))
 
 
-def _partial_scores(table, n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, logs = (np.frombuffer(x, t) for x, t in zip(table.value, ("int64", "float64")))
-        for pdf in batches:
-            words = [text.split() if text else [] for text in pdf["text"]]
-            of = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            _, _, owner, keys = _windows([w for text in words for w in text], n)
-            logp = np.zeros(len(keys))
-            if len(grams):
-                i = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                logp = np.where(grams[i] == keys, logs[i], 0.0)
-            owner = of[owner] if len(owner) else owner
-            yield pd.DataFrame({"id": pdf["id"], "k1": pdf["k1"], "k2": pdf["k2"], "lang": pdf["lang"],
-                                "n": np.bincount(owner, minlength=len(words)).astype("int64"),
-                                "logp": np.bincount(owner, logp, len(words)).astype("float64")})
-    return non_empty(run)
-
-
-def _gram_keys(grams: list[str], n: int) -> np.ndarray:
-    """The keys that :func:`_windows` gives these grams of ``n`` characters."""
-    units = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "uint32").astype("int64").reshape(-1, n)
-    return _mix(n, *units.T)
-
-
-def perplexities(docs: DataFrame, logs: DataFrame, n: int, shard_grams: int = SHARD_GRAMS,
-                 keep: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
-    """(id, k1, k2, lang, n, perplexity) of ``docs`` (id, k1, k2, lang, text), n the characters predicted.
-
-    The gram table is cut into shards by hash, none above ``shard_grams`` by
-    expectation; each shard adds up its part of every document, and the parts
-    are summed.
-    """
-    spark = docs.sparkSession
-    shards = max(1, math.ceil(logs.count() / shard_grams))
-    parts = None
-    for i in range(shards):
-        rows = logs.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).toArrow()
-        keys = _gram_keys(rows["gram"].to_pylist(), n)
-        order = np.argsort(keys)
-        table = spark.sparkContext.broadcast((keys[order].tobytes(), rows["logp"].to_numpy()[order].tobytes()))
-        part = docs.mapInPandas(_partial_scores(table, n),
-                                "id long, k1 long, k2 long, lang string, n long, logp double")
-        if shards > 1:
-            part = keep(part.dropDuplicates(["k1", "k2"]), "part")
-        parts = part if parts is None else parts.unionByName(part)
-    if shards > 1:
-        parts = parts.groupBy("id", "k1", "k2", "lang", "n").agg(F.sum("logp").alias("logp"))
-        parts = docs.select("id", "k1", "k2", "lang").join(parts.drop("id", "lang"), ["k1", "k2"])
-    return parts.select("id", "k1", "k2", "lang", "n",
-                        F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
-
-
-def _mix(salt: int, *ids: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each row of ``ids``; ``salt`` tells kinds of keys apart."""
-    h = np.full(len(ids[0]), salt, "uint64") * np.uint64(0x9E3779B97F4A7C15)
-    for x in ids:
-        h = (h ^ np.asarray(x, "int64").view("uint64")) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-    return h.view("int64")
-
-
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, v, g, c) from (kind, w1, w2, w3, v, g, c): an n-gram of ``kind`` words, also where it is a context."""
-    for pdf in batches:
-        kinds = pdf["kind"].to_numpy()
-        key = np.zeros(len(pdf), "int64")
-        for kind in np.unique(kinds).tolist():
-            of = kinds == kind
-            key[of] = _mix(kind, *[pdf[f"w{i}"].to_numpy()[of] for i in range(1, kind + 1)])
-        yield pd.DataFrame({"key": key, **{x: pdf[x].to_numpy() for x in "vgc"}})
-
-
-def score_table(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]],
-                keep: Callable[[DataFrame, str], DataFrame] = saved) -> tuple[DataFrame, DataFrame]:
-    """What is added up for a word in its place, as (key, v, g, c): one row per word, and the rest of the model.
-
-    ``vocabulary`` (id, lp) has the logarithm of each word as spelt.  A place
-    has v of its word and of each n-gram that ends there, and g of each
-    context before it, as far as the model has them; the sum is the
-    logarithm of the interpolated probability.  c is the word as spelt.
-    """
-    (p1, g0), (p2, g1), (p3, g2) = model
-    spare = g0.first()
-    one = p1.select(F.col("gram")[0].alias("id"), F.col("p").alias("p1"))
-    ahead = g1.select(F.col("context")[0].alias("id"), F.log("gamma").alias("g"))
-    unseen = F.col("lp") + (math.log(spare["gamma"]) if spare else 0.0)
-    words = (vocabulary.join(one, "id", "left").join(ahead, "id", "left")
-             .select("id", F.coalesce(F.log("p1"), unseen).alias("v"), F.coalesce("g", F.lit(0.0)).alias("g"),
-                     F.col("lp").alias("c")))
-
-    def rows(df: DataFrame, kind: int, gram: str, **values: Column) -> DataFrame:
-        part = [F.coalesce(F.get(gram, F.lit(i)), F.lit(0).cast("long")).alias(f"w{i + 1}") for i in range(3)]
-        return df.select(F.lit(kind).alias("kind"), *part, *[values.get(x, F.lit(0.0)).alias(x) for x in "vgc"])
-
-    # the place before a text is the only context that is no word
-    start = g1.where(F.col("context")[0] == 0)
-    two = (rows(p2, 2, "gram", v=F.col("more")).unionByName(rows(start, 1, "context", g=F.log("gamma")))
-           .unionByName(rows(g2, 2, "context", g=F.log("gamma"))))
-    schema = "key long, v double, g double, c double"
-    words = rows(words.select(F.array("id").alias("gram"), "v", "g", "c"), 1, "gram", **{x: F.col(x) for x in "vgc"})
-    two = two.mapInPandas(non_empty(_keyed), schema).groupBy("key").agg(*[F.sum(x).alias(x) for x in "vgc"])
-    rest = two.unionByName(rows(p3, 3, "gram", v=F.col("more")).mapInPandas(non_empty(_keyed), schema))
-    return keep(words.mapInPandas(non_empty(_keyed), schema), "words"), keep(rest, "rest")
-
-
-def _bit(keys: np.ndarray) -> list[np.ndarray]:
-    u = keys.view("uint64")
-    return [(x % np.uint64(FILTER_BITS)).astype("int64") for x in (u, u >> np.uint64(32))]
-
-
-def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS // 8, "uint8")
-    for pdf in batches:
-        for b in _bit(pdf["key"].to_numpy()):
-            np.bitwise_or.at(bits, b >> 3, np.uint8(128) >> (b & 7).astype("uint8"))
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
-
-
-def _key_filter(rest: DataFrame):
-    """The filter of the keys of ``rest``, broadcast: of bounded size, whatever the model's."""
-    rows = rest.select("key").coalesce(4).mapInPandas(_filter_bits, "bits binary").toLocalIterator()
-    parts = (np.frombuffer(r["bits"], "uint8") for r in rows)
-    bits = reduce(np.bitwise_or, parts, np.zeros(FILTER_BITS // 8, "uint8"))
-    return rest.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
-class _Places:
-    """The words of some texts in one row each: owner (number of the text), size (characters and end), keys by kind, keys of contexts."""
-
-    def __init__(self, texts, known: dict[str, int]):
-        ids: list[int] = []
-        size: list[int] = []
-        counts = []
-        for text in texts:
-            words = text.split() if text else []
-            ids += _ids(words, known)
-            size += [len(w) + 1 for w in words]
-            counts.append(len(words))
-        self.counts = np.array(counts, "int64")
-        self.owner = np.repeat(np.arange(len(counts)), self.counts)
-        self.size = np.array(size, "int64")
-        w = np.array(ids, "int64")
-        self.at = np.arange(len(w)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
-        one, two = (np.where(self.at >= k, np.concatenate([np.zeros(k, "int64"), w])[:len(w)], 0) for k in (1, 2))
-        self.keys = {1: _mix(1, w), 2: _mix(2, one, w), 3: _mix(3, two, one, w)}
-        self.contexts = [_mix(1, one), _mix(2, two, one)]
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in chunks of about ``CHUNK_BYTES`` of text, each one compressed value."""
-    kept: list[pa.RecordBatch] = []
-    size = 0
-
-    def flush():
-        table = pa.Table.from_batches(kept)
-        out = io.BytesIO()
-        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(table)
-        kept.clear()
-        return pa.RecordBatch.from_pydict({"blob": pa.array([out.getvalue()], "binary")})
-
-    for batch in batches:
-        start = 0
-        for i, m in enumerate(pc.binary_length(batch["text"]).to_pylist()):
-            m = ROW_BYTES + (m or 0)
-            if size and size + m > CHUNK_BYTES:
-                if i > start:
-                    kept.append(batch.slice(start, i - start))
-                yield flush()
-                start, size = i, 0
-            size += m
-        if batch.num_rows > start:
-            kept.append(batch.slice(start))
-    if kept:
-        yield flush()
-
-
-def _unpack(blob: bytes) -> pd.DataFrame:
-    docs = pa.ipc.open_stream(blob).read_all()
-    return pd.DataFrame({x: docs[x].to_pylist() for x in ("id", "k1", "k2", "lang", "text")}, dtype="object")
-
-
-def _gather(bits):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        table = np.frombuffer(bits.value, "uint8")
-        for pdf in batches:
-            for chunk, blob in zip(pdf["chunk"], pdf["blob"]):
-                places = _Places(pa.ipc.open_stream(blob).read_all()["text"].to_pylist(), known)
-                out = [pd.unique(places.keys[1])]
-                for keys in (places.contexts[0][places.at == 0][:1], pd.unique(places.keys[2]),
-                             places.contexts[1][places.at == 0][:1], pd.unique(places.keys[3])):
-                    hit = np.ones(len(keys), bool)
-                    for b in _bit(keys):
-                        hit &= ((table[b >> 3] >> (7 - (b & 7)).astype("uint8")) & 1).astype(bool)
-                    out.append(keys[hit])
-                keys = np.concatenate(out)
-                yield pd.DataFrame({"chunk": np.full(len(keys), chunk), "key": keys})
-    return non_empty(run)
-
-
-def _repeats(places: _Places) -> np.ndarray:
-    """Per text the share of its three-word places whose words stood together earlier in it."""
-    inside = places.at >= WORD_ORDER - 1
-    owner, keys = places.owner[inside], places.keys[3][inside]
-    total = np.bincount(owner, minlength=len(places.counts))
-    again = pd.Series(_mix(0, owner, keys)).duplicated().to_numpy()
-    return np.bincount(owner, again, minlength=len(total)) / np.maximum(total, 1)
-
-
-def _worst_run(cost: np.ndarray, size: np.ndarray, counts: np.ndarray, run: int) -> np.ndarray:
-    """Per text the greatest cost per character of ``run`` words in a row, of all of its words if it has fewer."""
-    out = np.full(len(counts), np.nan)
-    stop = np.cumsum(counts)
-    for i, (a, b) in enumerate(zip(stop - counts, stop)):
-        if b > a:
-            k = min(run, b - a)
-            c, n = (np.concatenate([[0.0], np.cumsum(x[a:b])]) for x in (cost, size))
-            out[i] = ((c[k:] - c[:-k]) / (n[k:] - n[:-k])).max()
-    return out
-
-
-def _score_chunk():
-    known: dict[str, int] = {}
-
-    def run(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        docs = _unpack(packed["blob"].iloc[0])
-        places = _Places(docs["text"], known)
-        index = pd.Index(table["key"].to_numpy())
-        v, g, c = (np.append(table[x].to_numpy(), 0.0) for x in "vgc")
-        # a key without a row takes the last value, which is 0
-        at = [index.get_indexer(k) for k in places.keys.values()]
-        logp = sum(v[i] for i in at) + sum(g[index.get_indexer(k)] for k in places.contexts)
-        spelt = c[at[0]]
-        m = len(places.counts)
-        add = lambda x: np.bincount(places.owner, x, minlength=m)
-        n = add(places.size)
-        with np.errstate(all="ignore"):
-            mean = [np.where(n > 0, -add(x) / n, np.nan) for x in (logp, spelt)]
-        return pd.DataFrame({"id": docs["id"], "k1": docs["k1"], "k2": docs["k2"], "lang": docs["lang"],
-                             "n": n.astype("int64"), "cost": mean[0], "spelling": mean[1], "repeats": _repeats(places),
-                             **{f"run{k}": _worst_run(-logp, places.size, places.counts, k) for k in RUNS}})
-    return run
-
-
-SCORES = "id long, k1 long, k2 long, lang string, n long, cost double, spelling double, repeats double" \
-    + "".join(f", run{k} double" for k in RUNS)
-
-
-def score_documents(docs: DataFrame, words: DataFrame, rest: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (id, k1, k2, lang, text) its scores under the model of :func:`score_table`, written.
-
-    Documents are packed into chunks where they lie.  The different keys of
-    each chunk are gathered, joined with the table by key, and meet the
-    chunk again, so that no table is held by a task or passes the driver.
-    """
-    spark = docs.sparkSession
-    with scratch(spark) as write:
-        key_filter = _key_filter(rest)
-        with settings(spark, SMALL_BATCHES), scratch(spark) as within:
-            chunks = write(docs.select("id", "k1", "k2", "lang", "text").mapInArrow(_pack, "blob binary")
-                           .withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-            wanted = chunks.mapInPandas(_gather(key_filter), "chunk long, key long")
-            found = wanted.join(words.unionByName(rest).hint("merge"), "key").select("chunk", "key", "v", "g", "c")
-            found = within(found, "found")
-            out = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk(), SCORES)
-            null = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
-            with settings(spark, DROP_SHUFFLES):
-                return saved(out.select("id", "k1", "k2", "lang", "n", *[null(c) for c in BOUNDED]), "scores")
-
-
 def _trusted_ids(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, DataFrame]:
     """Ids to train on and ids to set thresholds by."""
     t = (labels.where("doc_id IS NOT NULL").groupBy("doc_id")
@@ -531,38 +162,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
                     F.col(lang_col).cast("string").alias("lang"), *row_keys(F.col(id_col), F.col(text_col)))
     train, held = (F.broadcast(x.select(F.col("doc_id").cast("long").alias("id")))
                    for x in _trusted_ids(labels, max_labelled))
-    texts = d.select("id", "text").join(train, "id", "left_semi").select("text")
+    marked = (d.join(train.withColumn("trained", F.lit(True)), "id", "left")
+              .withColumn("train", F.coalesce("trained", F.lit(False))).drop("trained"))
     with scratch(d.sparkSession) as write:
-        spelt = _spelt_words(d, texts, order, shard_grams, write)
-        triples = texts.mapInPandas(non_empty(_word_counts), "a long, b long, c long, cnt long")
-        base = spelt.select(F.array("id").alias("gram"), F.exp("lp").alias("base"))
-        with scratch(d.sparkSession) as within:
-            with settings(d.sparkSession, SMALL_BATCHES):
-                model = _kneser_ney(triples.select(F.array("a", "b", "c").alias("gram"), "cnt"), WORD_ORDER, base,
-                                    within, within, highest=False)
-            table = score_table(spelt, model, write)
-        scores = score_documents(d, *table)
+        logs = write(_spelling(d, d.select("id", "text").join(train, "id", "left_semi"), order), "logs")
+        with settings(d.sparkSession, SMALL_BATCHES):
+            scores = score_documents(marked, logs, order, shard_grams)
     return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
 
 
-def _spelt_words(d: DataFrame, texts: DataFrame, order: int, shard_grams: int,
-                 keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(id, lp) of every word of ``d`` (text), spelt by a model of the characters of ``texts`` (text)."""
-    with scratch(d.sparkSession) as write:
-        with settings(d.sparkSession, SMALL_BATCHES):
-            counts = texts.mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
-            spelling = kneser_ney(counts, order, keep=write)
-            # every word of the corpus once, as spelt
-            vocabulary = (d.select("text").mapInPandas(non_empty(_distinct_words), "word string").distinct()
-                          .mapInPandas(_word_ids, "id long, word string").groupBy("id").agg(F.min("word").alias("text")))
-            vocabulary = write(vocabulary, "vocabulary")
-        types = spelling[0][0].count()
-        grams = (vocabulary.mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
-                 .groupBy("gram").agg(F.count("*").alias("c")).select("gram"))
-        logs = write(gram_logs(write(grams, "corpus-grams"), spelling, types), "logs")
-        spelt = perplexities(vocabulary.select("id", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                                               F.lit("").alias("lang"), "text"), logs, order, shard_grams, write)
-        return keep(spelt.select("id", (-F.log("perplexity") * F.col("n")).alias("lp")), "spelt")
+def _spelling(d: DataFrame, texts: DataFrame, order: int) -> DataFrame:
+    """(gram, logp) of every character gram of the words of ``d`` (text), by a model of those of ``texts`` (text)."""
+    with settings(d.sparkSession, SMALL_BATCHES):
+        counts = texts.select("text").mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
+        model = kneser_ney(counts, order)
+        grams = d.select("text").mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
+        grams = saved(grams.groupBy("gram").agg(F.count("*").alias("c")).select("gram"), "corpus-grams")
+    return gram_logs(grams, model, model[0][0].count())
 
 
 # The scores that have an upper (True) or lower bound.
