@@ -111,7 +111,12 @@ def _all(values, kind: str = "int64") -> np.ndarray:
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys.view("uint64") % np.uint64(shards)).astype("int64")
+    """The shard of each key: a range of the unsigned keys, so that sorted keys are sorted by shard too."""
+    return ((keys.view("uint64") >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype("int64")
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(keys.view("uint64"))
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -202,16 +207,12 @@ def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _start_key() -> np.ndarray:
-    return mix(1, np.zeros(1, "int64"))
-
-
 def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bits = np.zeros(FILTER_BITS // 8, "uint8")
     for pdf in batches:
         for blob in pdf["blob"]:
             p = Places(_unpack(blob, True)["text"].to_pylist())
-            for keys in (_start_key(), *p.keys.values(), p.context):
+            for keys in (mix(1, np.zeros(1, "int64")), *p.keys.values(), p.context):
                 for b in _bit(keys):
                     np.bitwise_or.at(bits, b >> 3, np.uint8(128) >> (b & 7).astype("uint8"))
     yield pd.DataFrame({"slice": np.arange(SLICES), "bits": [pa.compress(x.tobytes(), codec="zstd", asbytes=True)
@@ -255,10 +256,9 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _shared(key: np.ndarray, shards: int, tail: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
     """Per shard of ``key``: it, the places of its different keys, the rows of each, and tail and more in that order."""
-    shard = _shard(key, shards)
-    order = np.lexsort((tail, key, shard))
+    order = np.lexsort((tail, key.view("uint64")))
     key = key[order]
-    for s, a, b in _by_shard(shard[order]):
+    for s, a, b in _by_shard(_shard(key, shards)):
         start = _starts(key[a:b])
         yield (s, order[a + start], np.diff(np.append(start, b - a)), *[x[order[a:b]] for x in (tail, *more)])
 
@@ -294,7 +294,7 @@ def _count_pairs(shards: int):
         ahead, last = codes[:len(at)], codes[len(at):]
         count = lambda of, x=None: np.bincount(of, x, len(words)).astype("int64")
         values = np.stack([count(last), count(ahead, n2), count(ahead, n2 == 1), count(ahead, n2 == 2), count(ahead, n2 > 2)])
-        order = np.lexsort((words, _shard(words, shards)))
+        order = _sorted(words)
         rows += [_row(WORDS, s, -1, _enc(words[order[i:j]]), _enc(values[:, order[i:j]].ravel()))
                  for s, i, j in _by_shard(_shard(words, shards)[order])]
         return _frame(rows)
@@ -309,16 +309,20 @@ class Wants:
 
     def __init__(self, p: Places, bits: np.ndarray, shards: int, order: int):
         self.shards = shards
+        zero = np.zeros(1, "int64")
         _, _, self.owner, chars = windows(p.words, order)
         self.keys, self.at = {}, {}
-        for kind, keys in ((CHARS, chars), (WORDS, np.append(p.keys[1], _start_key())), (PAIRS, p.keys[2]), (TRIPLES, p.context)):
+        for kind, keys in ((CHARS, chars), (WORDS, np.append(p.keys[1], mix(1, zero))), (PAIRS, np.append(p.keys[2], mix(2, zero, zero)))):
             codes, uniq = pd.factorize(keys)
             hit = np.flatnonzero(_hits(bits, uniq)) if kind else np.arange(len(uniq))
-            hit = hit[np.lexsort((uniq[hit], _shard(uniq[hit], shards)))]
+            hit = hit[_sorted(uniq[hit])]
             self.keys[kind], self.at[kind] = uniq[hit], self._rank(hit, len(uniq))[codes]
+        # the two words before a place are the pair that ends one place earlier
+        self.ahead = {k: p.before(self.at[k][:-1], 1, self.at[k][-1]) for k in (WORDS, PAIRS)}
+        self.at = {k: at if k == CHARS else at[:-1] for k, at in self.at.items()}
         codes, uniq = pd.factorize(p.keys[3])
         first = _first(codes, len(uniq))
-        context, tail = self.at[TRIPLES][first], p.id[first] & TAIL
+        context, tail = self.ahead[PAIRS][first], p.id[first] & TAIL
         hit = np.flatnonzero(_hits(bits, uniq) & (context >= 0))
         hit = hit[np.lexsort((tail[hit], context[hit]))]
         self.context, self.tail, self.triple = context[hit], tail[hit], self._rank(hit, len(uniq))[codes]
@@ -332,7 +336,7 @@ class Wants:
     def rows(self, chunk: int) -> Iterator[tuple]:
         for kind, keys in self.keys.items():
             for s, a, b in _by_shard(_shard(keys, self.shards)):
-                if kind == TRIPLES:
+                if kind == PAIRS:
                     i, j = np.searchsorted(self.context, [a, b])
                     m = np.bincount(self.context[i:j] - a, minlength=b - a)
                     yield _row(kind, s, chunk, _enc(keys[a:b]), _enc(m), _enc(self.tail[i:j]))
@@ -352,7 +356,7 @@ def _ask(bits, shards: int, order: int):
                     codes, uniq = pd.factorize(p.keys[3])
                     first, count = _first(codes, len(uniq)), np.bincount(codes, minlength=len(uniq))
                     key = p.context[first]
-                    yield _frame([_row(TRIPLES, s, -1, _enc(key[at]), _enc(m), _enc(tail), _enc(cnt))
+                    yield _frame([_row(PAIRS, s, -2, _enc(key[at]), _enc(m), _enc(tail), _enc(cnt))
                                   for s, at, m, tail, cnt in _shared(key, shards, p.id[first] & TAIL, count)])
     return non_empty(run)
 
@@ -375,38 +379,41 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.nda
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """The answers of one shard: what it has of each chunk's keys in their order, and its counts of counts."""
     kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-    counts, asked = pdf[pdf["chunk"] < 0], pdf[pdf["chunk"] >= 0]
-    stats: np.ndarray | None = None
+    counts, asked = pdf[pdf["chunk"] == -1], pdf[pdf["chunk"] >= 0]
+    stats: dict[int, np.ndarray] = {}
+    triples = ends = np.zeros(0, "int64")
     if kind == CHARS:
         keys, values = _all(counts["x"]), _all(counts["y"])
         order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order][None]
+        keys, values = keys[order], [values[order]]
     elif kind == WORDS:
         parts = np.concatenate([np.zeros((5, 0), "int64"), *[_dec(y).reshape(5, -1) for y in counts["y"]]], axis=1)
         keys, values = _sums(_all(counts["x"]), *parts)
-        stats = values[0]
-    elif kind == PAIRS:
-        keys, values = _sums(_all(counts["x"]), _all(counts["y"]))
-        stats = values[0]
+        stats[WORDS] = values[0]
     else:
-        context = np.repeat(_all(counts["x"]), _all(counts["y"]))
-        tail = _all(counts["z"])
-        key = mix(3, context, tail)
+        rows = pdf[pdf["chunk"] == -2]
+        context = np.repeat(_all(rows["x"]), _all(rows["y"]))
+        key = mix(3, context, _all(rows["z"]))
         first = np.unique(key, return_index=True)[1]
-        triples, (stats,) = _sums(key, _all(counts["w"]))
-        keys, values = _sums(context[first], stats, *[(stats == i).astype("int64") for i in (1, 2)], (stats > 2).astype("int64"))
-    values = np.concatenate([np.stack(list(values)), np.zeros((len(values), 1), "int64")], axis=1)
-    rows = []
+        triples, (ends,) = _sums(key, _all(rows["w"]))
+        by_count = [ends, *[(ends == i).astype("int64") for i in (1, 2)], (ends > 2).astype("int64")]
+        # pairs with the number of words before them, and as contexts of triples
+        two, n2 = _all(counts["x"]), _all(counts["y"])
+        keys, values = _sums(np.concatenate([two, context[first]]),
+                             *[np.concatenate([a, b]) for a, b in zip([n2, *[np.zeros_like(n2)] * 4], [np.zeros_like(ends), *by_count])])
+        stats = {PAIRS: values[0], TRIPLES: ends}
+    values = np.concatenate([np.stack(values), np.zeros((len(values), 1), "int64")], axis=1)
+    ends = np.append(ends, 0)
+    out = []
     for chunk, x, y, z in zip(asked["chunk"], asked["x"], asked["y"], asked["z"]):
         wanted = _dec(x)
         second = b""
-        if kind == TRIPLES:
-            second = _enc(np.append(stats, 0)[_find(triples, mix(3, np.repeat(wanted, _dec(y)), _dec(z)))])
-        rows.append((kind, shard, chunk, _enc(values[:, _find(keys, wanted)].ravel()), second, *[0] * len(STATS)))
-    if stats is not None:
-        rows.append((kind, shard, -1, b"", b"", *[int((stats == i).sum()) for i in (1, 2, 3, 4)],
-                     int((stats > 0).sum()), int(stats.sum())))
-    return pd.DataFrame(rows, columns=["kind", "shard", "chunk", "x", "y", *STATS])
+        if kind == PAIRS:
+            second = _enc(ends[_find(triples, mix(3, np.repeat(wanted, _dec(y)), _dec(z)))])
+        out.append((kind, shard, chunk, _enc(values[:, _find(keys, wanted)].ravel()), second, *[0] * len(STATS)))
+    for of, n in stats.items():
+        out.append((of, shard, -1, b"", b"", *[int((n == i).sum()) for i in (1, 2, 3, 4)], int((n > 0).sum()), int(n.sum())))
+    return pd.DataFrame(out, columns=["kind", "shard", "chunk", "x", "y", *STATS])
 
 
 def _repeats(p: Places) -> np.ndarray:
@@ -456,14 +463,14 @@ def _score_chunk(bits, shards: int, order: int, stats: dict[int, dict[str, int]]
 
         logs = found(CHARS, 1)[0].view("float64")[wants.at[CHARS]]
         spelt = np.bincount(wants.owner, logs, len(p.words))[p.code]
-        words, at = found(WORDS, 5), wants.at[WORDS]
-        n1, previous = words[0][at[:-1]], words[1:, p.before(at[:-1], 1, at[-1])]
-        n3 = np.append(_all(answers.loc[answers["kind"] == TRIPLES, "y"]), 0)[wants.triple]
+        words, pairs = found(WORDS, 5), found(PAIRS, 5)
+        n1, n2 = words[0][wants.at[WORDS]], pairs[0][wants.at[PAIRS]]
+        n3 = np.append(_all(answers.loc[answers["kind"] == PAIRS, "y"]), 0)[wants.triple]
         spare = [one.get("n1", 0), one.get("n2", 0)]
         spare.append(one.get("types", 0) - sum(spare))
         logp = _interpolated(spelt, n1, [np.full(len(n1), x) for x in (one.get("total", 0), *spare)], d[WORDS])
-        logp = _interpolated(logp, found(PAIRS, 1)[0][wants.at[PAIRS]], list(previous), d[PAIRS])
-        logp = _interpolated(logp, n3, list(found(TRIPLES, 4)[:, wants.at[TRIPLES]]), d[TRIPLES])
+        logp = _interpolated(logp, n2, list(words[1:, wants.ahead[WORDS]]), d[PAIRS])
+        logp = _interpolated(logp, n3, list(pairs[1:, wants.ahead[PAIRS]]), d[TRIPLES])
         m = len(p.counts)
         add = lambda x: np.bincount(p.owner, x, minlength=m)
         n = add(p.size)
@@ -479,7 +486,7 @@ def _log_rows(shards: int, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys = gram_keys(pdf["gram"].tolist(), order)
-            at = np.lexsort((keys, _shard(keys, shards)))
+            at = _sorted(keys)
             logs = pdf["logp"].to_numpy("float64").view("int64")[at]
             keys = keys[at]
             yield _frame([_row(CHARS, s, -1, _enc(keys[a:b]), _enc(logs[a:b])) for s, a, b in _by_shard(_shard(keys, shards))])
