@@ -27,7 +27,7 @@ FENCE = 3.0
 # No bound that is not a pure quantile rejects a smaller share of repeats (fixed value).
 REPEATS = 0.5
 # Distinct words a task holds.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -165,19 +165,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     marked = (d.join(train.withColumn("trained", F.lit(True)), "id", "left")
               .withColumn("train", F.coalesce("trained", F.lit(False))).drop("trained"))
     with scratch(d.sparkSession) as write:
-        logs = write(_spelling(d, d.select("id", "text").join(train, "id", "left_semi"), order), "logs")
+        with scratch(d.sparkSession) as within:
+            logs = write(_spelling(d, d.select("id", "text").join(train, "id", "left_semi"), order, within), "logs")
         with settings(d.sparkSession, SMALL_BATCHES):
             scores = score_documents(marked, logs, order, shard_grams)
     return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
 
 
-def _spelling(d: DataFrame, texts: DataFrame, order: int) -> DataFrame:
+def _spelling(d: DataFrame, texts: DataFrame, order: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(gram, logp) of every character gram of the words of ``d`` (text), by a model of those of ``texts`` (text)."""
     with settings(d.sparkSession, SMALL_BATCHES):
         counts = texts.select("text").mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
-        model = kneser_ney(counts, order)
+        model = kneser_ney(counts, order, write)
         grams = d.select("text").mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
-        grams = saved(grams.groupBy("gram").agg(F.count("*").alias("c")).select("gram"), "corpus-grams")
+        grams = write(grams.groupBy("gram").agg(F.count("*").alias("c")).select("gram"), "corpus-grams")
     return gram_logs(grams, model, model[0][0].count())
 
 

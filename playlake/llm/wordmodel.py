@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,15 +23,15 @@ RUNS = (1, 3)
 # Words of an n-gram; the place before a text's first word has the id 0.
 WORD_ORDER = 3
 # Bytes of text scored together, at least one document: what they look up is asked for once for all of them.
-CHUNK_BYTES = 8 * 2 ** 20
+CHUNK_BYTES = 4 * 2 ** 20
 # Bytes by which each document of a chunk counts besides its text.
 ROW_BYTES = 64
 # Bits of the filter of the model's keys that is sent to the tasks (16 MB); it drops lookups that can't hit, no others.
 FILTER_BITS, SLICES = 2 ** 27, 16
 # n-grams of a shard by expectation, and bytes of text that ask one shard.
-SHARD_GRAMS, SHARD_BYTES = 1_000_000, 64 * 2 ** 20
+SHARD_GRAMS, SHARD_BYTES = 500_000, 32 * 2 ** 20
 # Fewest shards, for parallel work.
-LEAST_SHARDS = 8
+LEAST_SHARDS = 16
 # Bits of a word that tell it from others next to the same two words; with their 64 bits 112 in all.
 TAIL = np.int64(2 ** 48 - 1)
 # A chunk's blob is some MB: few to an Arrow batch.
@@ -229,13 +229,13 @@ def _union_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slice": list(found), "bits": [b.tobytes() for b in found.values()]})
 
 
-def _key_filter(chunks: DataFrame):
+def _key_filter(chunks: DataFrame, write: Callable[[DataFrame, str], DataFrame]):
     """The filter of the keys of the training texts, broadcast: of bounded size, whatever the model's."""
     spark = chunks.sparkSession
     parts = (chunks.where("train_bytes > 0").select("blob").mapInPandas(_filter_bits, "slice long, bits binary")
              .repartition(SLICES, "slice").mapInPandas(non_empty(_union_bits), "slice long, bits binary"))
     bits = np.zeros((SLICES, FILTER_BITS // 8 // SLICES), "uint8")
-    for r in parts.toLocalIterator():
+    for r in write(parts, "filter").toLocalIterator():
         bits[r["slice"]] = np.frombuffer(r["bits"], "uint8")
     return spark.sparkContext.broadcast(bits.tobytes())
 
@@ -520,7 +520,7 @@ def score_documents(docs: DataFrame, logs: DataFrame, order: int, shard_grams: i
         # a word takes about eight bytes of text
         shards = int(max(LEAST_SHARDS, -(-(size["train"] or 0) // (8 * shard_grams)), -(-(size["all"] or 0) // SHARD_BYTES)))
         with settings(spark, BLOB_BATCHES):
-            bits = _key_filter(chunks)
+            bits = _key_filter(chunks, write)
             pairs = chunks.where("train_bytes > 0").select("blob").mapInPandas(_pair_rows(shards), ROW)
             counts = write(pairs.groupBy("shard").applyInPandas(_count_pairs(shards), ROW), "counts")
         spelt = write(logs.mapInPandas(_log_rows(shards, order), ROW), "spelling")
