@@ -168,11 +168,12 @@ def precision_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
                  (F.sum(prec * F.col("support")) / F.sum("support")).alias("precision_weighted"))
 
 
-def cosine_mse(df: DataFrame, a: str, b: str) -> DataFrame:
+def cosine_mse(df: DataFrame, a: str, b: str, of_zeros: float = 0.0) -> DataFrame:
+    """Mean cosine and mean squared error of two vector columns; the cosine of a vector of zeros counts as ``of_zeros``."""
     from ..functions.vectors import cosine
     se = F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x.cast("double") - y.cast("double")) ** 2),
                      F.lit(0.0), lambda acc, t: acc + t) / F.size(a)
-    return df.agg(F.avg(cosine(a, b)).alias("cosine"), F.avg(se).alias("mse"), F.count(F.lit(1)).alias("n"))
+    return df.agg(F.avg(cosine(a, b, of_zeros)).alias("cosine"), F.avg(se).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 def label_space(df: DataFrame, label: str) -> DataFrame:

@@ -65,3 +65,25 @@ def test_components_explain_all_variance(separable):
     w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     assert np.allclose(ev, w / w.sum())
     assert len(proj.first().pca) == 3
+
+
+def test_cosine_of_zeros_is_zero(spark):
+    """Texts without words have a vector of zeros, which has no direction: it counts as 0, not as an error."""
+    df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 1.0], [0.0, 0.0]), ([0.0, 0.0], [3.0, 0.0])],
+                               "a array<double>, b array<double>")
+    r = L.cosine_mse(df, "a", "b").first()
+    assert abs(r.cosine - 1 / 3) < 1e-12 and abs(r.mse - (0.5 + 1 + 4.5) / 3) < 1e-12 and r.n == 3
+    assert np.isnan(L.cosine_mse(df, "a", "b", of_zeros=float("nan")).first().cosine)
+
+
+def test_projections_take_texts_without_words(spark, tmp_path):
+    """J4 over documents of which some have no words, also among those held out."""
+    import __spark_entry__ as E
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, "..." if i % 3 == 0 else f"w{i % 7} w{i % 5} w{i}", "en") for i in range(120)],
+                          "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist(), i % 3) for i in range(120)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("j4_project_state", "j4_project_cosine"):
+        r = E.queries()[name](spark, str(tmp_path)).first()
+        assert -1 <= r.cosine <= 1 and r.mse >= 0 and r.n > 0
