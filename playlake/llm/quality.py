@@ -11,13 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import non_empty, row_keys, saved, scratch, settings
+from .common import BROADCAST_KEYS, non_empty, row_keys, saved, scratch, settings
 from .wordmodel import END, RUNS, SHARD_GRAMS, START, discounts, score_documents, windows
 
 # Rows of one Arrow batch, so that a batch of long texts fits a Python worker.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
-# Most labelled documents used: their ids (8 bytes) are broadcast; a hash of the id picks them if there are more.
-MAX_LABELLED = 1_000_000
 # One in so many trusted documents sets the thresholds and is not trained on.
 HOLD_OUT = 5
 # Languages with fewer held-out documents take the quantiles of all languages together.
@@ -120,25 +118,25 @@ def gram_logs(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], types:
     return q.select("gram", F.log("below").alias("logp"))
 
 
-def _trusted_ids(labels: DataFrame, max_labelled: int) -> tuple[DataFrame, DataFrame]:
-    """Ids to train on and ids to set thresholds by."""
+def _trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids to train on and ids to set thresholds by: together all trusted ones."""
     t = (labels.where("doc_id IS NOT NULL").groupBy("doc_id")
-         .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id"))
-    share = max_labelled / max(t.count(), max_labelled)
-    coin = F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1_000_000))
-    t = t.where(coin < int(share * 1_000_000))
-    held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HOLD_OUT)) == 0
-    return t.where(~held), t.where(held)
+         .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0")
+         .select(F.col("doc_id").cast("long").alias("id"),
+                 (F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HOLD_OUT)) == 0).alias("held")))
+    t = saved(t, "trusted")
+    # few ids (8 bytes each) go to all tasks, more are joined by shuffle
+    small = t.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return tuple(F.broadcast(x) if small else x for x in (t.where("NOT held").select("id"), t.where("held").select("id")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float = 0.0025, high: float = 0.995,
-                  max_labelled: int = MAX_LABELLED, shard_grams: int = SHARD_GRAMS, id_col: str = "doc_id",
-                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+                  shard_grams: int = SHARD_GRAMS, id_col: str = "doc_id", text_col: str = "text",
+                  lang_col: str = "lang") -> DataFrame:
     """Judge documents by their perplexity per character under a model of trusted text.
 
-    Trusted are the documents that ``labels`` (doc_id, quality, toxic) calls
-    good and not toxic, at most about ``max_labelled`` of them; repeated
-    labels must agree.  Four in five train an interpolated modified
+    Trusted are all documents that ``labels`` (doc_id, quality, toxic) calls
+    good and not toxic; repeated labels must agree.  Four in five train an interpolated modified
     Kneser-Ney model of three words over the running text (white space ends
     a word).  Below single words lies a model of their spelling by
     character ``order``-grams, so that words never seen have a probability.
@@ -160,8 +158,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                     F.col(lang_col).cast("string").alias("lang"), *row_keys(F.col(id_col), F.col(text_col)))
-    train, held = (F.broadcast(x.select(F.col("doc_id").cast("long").alias("id")))
-                   for x in _trusted_ids(labels, max_labelled))
+    train, held = _trusted_ids(labels)
     marked = (d.join(train.withColumn("trained", F.lit(True)), "id", "left")
               .withColumn("train", F.coalesce("trained", F.lit(False))).drop("trained"))
     with scratch(d.sparkSession) as write:

@@ -279,3 +279,14 @@ def test_near_dedup_keeps_one_of_a_group_without_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f", "x", "s", 1), (None, "a b c d e f", "x", "s", 1), (None, None, "x", "s", 1)], DOCS)
     out = corpus_pipeline.near_dedup(spark, d, "")
     assert sorted(str(x.text) for x in out.select(F.col("text")).collect()) == ["None", "a b c d e f"]
+
+
+def test_all_trusted_documents_train_or_set_thresholds(spark):
+    """No share of the labels is left out, however many there are."""
+    import inspect
+    from playlake.llm import quality as Q
+    labels = spark.range(1_100_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    train, held = Q._trusted_ids(labels)
+    assert "max_labelled" not in inspect.signature(Q.score_quality).parameters
+    assert train.count() + held.count() == 1_100_000 and train.join(held, "id").count() == 0
+    assert 0.79 < train.count() / 1_100_000 < 0.81
