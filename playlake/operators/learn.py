@@ -28,12 +28,13 @@ from .sampling import class_weights
 def text_embed(df: DataFrame, text: str, out: str = "sentence_embeddings", dims: int = 384) -> DataFrame:
     """Sentence -> unit-norm ``dims`` vector: tokens -> hashed TF -> IDF -> L2; the text is left out.
 
-    The pretrained-encoder slot: any Arrow ``pandas_udf`` returning
+    Null is a text without tokens: its vector is zeros.  The pretrained-encoder slot: any Arrow ``pandas_udf`` returning
     array<float> can replace this (see ``encoder_udf``).
     """
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)
     # written, so that the fit and the transform read term counts and the text is tokenised once
+    df = df.withColumn(text, F.coalesce(text, F.lit("")))
     t = written(tf.transform(tok.transform(df)).drop("_tok", text), "term-counts")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
     n = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf.transform(t))
