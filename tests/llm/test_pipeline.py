@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import components, contaminated
 from pyspark.sql import functions as F
@@ -290,3 +291,40 @@ def test_all_trusted_documents_train_or_set_thresholds(spark):
     assert "max_labelled" not in inspect.signature(Q.score_quality).parameters
     assert train.count() + held.count() == 1_100_000 and train.join(held, "id").count() == 0
     assert 0.79 < train.count() / 1_100_000 < 0.81
+
+
+def test_word_model_goes_in_rounds_of_chunks(spark, monkeypatch):
+    # the questions of an eighth of the chunks at a time give the scores that all at once give
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, i, 0, "xx", " ".join(r.choice(words) for _ in range(9)) + " new" * (i % 2), i % 3 == 0) for i in range(90)]
+    d = spark.createDataFrame(rows, "id long, k1 long, k2 long, lang string, text string, train boolean").repartition(2)
+    grams = {g for w in [*words, "new"] for g in quality.word_grams(w, 3)}
+    logs = spark.createDataFrame([(g, -0.1 * len(g) - 0.01 * i) for i, g in enumerate(sorted(grams))], "gram string, logp double")
+    monkeypatch.setattr(wordmodel, "CHUNK_BYTES", 300)
+    written, save = [], wordmodel.saved
+    monkeypatch.setattr(wordmodel, "saved", lambda df, name: written.append(save(df, name)) or written[-1])
+
+    def scores(least):
+        monkeypatch.setattr(wordmodel, "ROUND_CHUNKS", least)
+        written.clear()
+        return {x.id: x for x in wordmodel.score_documents(d, logs, 3).collect()}, [x.count() for x in written]
+
+    whole, once = scores(10 ** 9)
+    parts, rounds = scores(1)
+    assert once == [90] and len(rounds) == wordmodel.ROUNDS and sum(rounds) == 90 and max(rounds) <= 30
+    assert parts == whole
+
+
+def test_numbers_of_pairs_tell_all_pairs_apart():
+    top, shards = 40, 7
+    lay = wordmodel.Layout(shards, top)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(1, top + 1), np.arange(1, top + 1)))
+    numbers = np.sort(lay.pair(a, b))
+    assert len(np.unique(numbers)) == top * top
+    found = set()
+    for s, _, _, inside in lay.runs(wordmodel.PAIRS, numbers):
+        x, y = lay.words(s, inside)
+        assert ((x + y) % shards == s).all()
+        found |= set(zip(x.tolist(), y.tolist()))
+    assert found == set(zip(a.tolist(), b.tolist()))
