@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, non_empty, pick_rows, row_keys, saved
+from .common import DROP_SHUFFLES, arrow_rows, non_empty, pick_rows, row_keys, saved, scratch, settings
 from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 
 ARROW_ROWS = 500
@@ -97,35 +97,41 @@ def repeated_windows(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     counted by 128 bits.  Each level joins counts with places on the hash; a
     hash that holds a third of all places is split by the skew join.
     """
-    seeds = saved(docs.select("text", "k1", "k2").mapInPandas(_seeds(n), (
-        "k1 long, k2 long, c1 long, c2 long, at array<int>, short array<long>, rgt array<long>, lft array<long>")), "seeds")
-    first = F.min(F.struct("k1", "k2")).alias("first")
-    classes = seeds.groupBy("c1", "c2").agg(F.count("*").alias("m"), first).where("m > 1").drop("m")
-    copies = saved(seeds.select("c1", "c2", "k1", "k2").join(classes, ["c1", "c2"])
-                   .select("k1", "k2", (F.struct("k1", "k2") == F.col("first")).alias("stands")).distinct(), "copies")
-    seeds = pick_rows(seeds, copies.where("NOT stands").select("k1", "k2"), "left_anti")
-    many = (seeds.select(F.explode("short").alias("short")).groupBy("short").agg(F.count("*").alias("m"))
-            .where("m > 1").select("short"))
-    one = (seeds.select("k1", "k2", F.explode(F.arrays_zip("at", "short", "rgt", "lft")).alias("s"))
-           .select("k1", "k2", "s.*").join(many, "short", "left_semi").drop("short"))
-    one = saved(one, "level-1")
-    # the two extensions as rows of their own: side 0 to the right, 1 to the left; 0 stands for none
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("rgt").alias("wide")),
-                    F.struct(F.lit(1).alias("side"), F.col("lft").alias("wide")))
-    two = one.select("k1", "k2", "at", F.explode(sides).alias("x")).select("k1", "k2", "at", "x.*").where("wide != 0")
-    many = two.groupBy("side", "wide").agg(F.count("*").alias("m")).where("m > 1").select("side", "wide")
-    two = two.join(many, ["side", "wide"], "left_semi")
-    of = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("at")))
-    two = saved(two.groupBy("k1", "k2").agg(of(0).alias("rgt"), of(1).alias("lft")), "level-2")
-    picked = pick_rows(docs.select("text", "k1", "k2"), two.select("k1", "k2"), "left_semi")
-    three = saved(picked.join(two, ["k1", "k2"]).mapInPandas(
-        _long_windows(n), "k1 long, k2 long, start array<int>, a array<long>, b array<long>"), "level-3")
-    many = (three.select(F.explode(F.arrays_zip("a", "b")).alias("w")).groupBy("w.a", "w.b")
-            .agg(F.count("*").alias("m")).where("m > 1").select("a", "b"))
-    three = three.select("k1", "k2", F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select("k1", "k2", "w.*")
-    found = three.join(many, ["a", "b"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    spark = docs.sparkSession
+    # what only a later level reads goes with the last one, shuffles go at once
+    with scratch(spark) as write:
+        seeds = write(docs.select("text", "k1", "k2").mapInPandas(_seeds(n), (
+            "k1 long, k2 long, c1 long, c2 long, at array<int>, short array<long>, rgt array<long>, lft array<long>")), "seeds")
+        first = F.min(F.struct("k1", "k2")).alias("first")
+        classes = seeds.groupBy("c1", "c2").agg(F.count("*").alias("m"), first).where("m > 1").drop("m")
+        with settings(spark, DROP_SHUFFLES):
+            copies = saved(seeds.select("c1", "c2", "k1", "k2").join(classes, ["c1", "c2"])
+                           .select("k1", "k2", (F.struct("k1", "k2") == F.col("first")).alias("stands")).distinct(), "copies")
+        seeds = pick_rows(seeds, copies.where("NOT stands").select("k1", "k2"), "left_anti")
+        many = (seeds.select(F.explode("short").alias("short")).groupBy("short").agg(F.count("*").alias("m"))
+                .where("m > 1").select("short"))
+        one = (seeds.select("k1", "k2", F.explode(F.arrays_zip("at", "short", "rgt", "lft")).alias("s"))
+               .select("k1", "k2", "s.*").join(many, "short", "left_semi").drop("short"))
+        one = write(one, "level-1")
+        # the two extensions as rows of their own: side 0 to the right, 1 to the left; 0 stands for none
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.col("rgt").alias("wide")),
+                        F.struct(F.lit(1).alias("side"), F.col("lft").alias("wide")))
+        two = one.select("k1", "k2", "at", F.explode(sides).alias("x")).select("k1", "k2", "at", "x.*").where("wide != 0")
+        many = two.groupBy("side", "wide").agg(F.count("*").alias("m")).where("m > 1").select("side", "wide")
+        two = two.join(many, ["side", "wide"], "left_semi")
+        of = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("at")))
+        two = write(two.groupBy("k1", "k2").agg(of(0).alias("rgt"), of(1).alias("lft")), "level-2")
+        picked = pick_rows(docs.select("text", "k1", "k2"), two.select("k1", "k2"), "left_semi")
+        three = write(picked.join(two, ["k1", "k2"]).mapInPandas(
+            _long_windows(n), "k1 long, k2 long, start array<int>, a array<long>, b array<long>"), "level-3")
+        many = (three.select(F.explode(F.arrays_zip("a", "b")).alias("w")).groupBy("w.a", "w.b")
+                .agg(F.count("*").alias("m")).where("m > 1").select("a", "b"))
+        three = three.select("k1", "k2", F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select("k1", "k2", "w.*")
+        found = three.join(many, ["a", "b"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+        with settings(spark, DROP_SHUFFLES):
+            found = saved(found, "repeated")
     copies = copies.select("k1", "k2")
-    return copies, pick_rows(saved(found, "repeated"), copies, "left_anti")
+    return copies, pick_rows(found, copies, "left_anti")
 
 
 def _cut(n: int, with_text: bool):
@@ -175,7 +181,8 @@ def dedup_substrings(docs: DataFrame, n: int = 50, with_text: bool = True, id_co
     no_starts = F.lit(None).cast("array<int>").alias("starts")
     columns = ["id", "k1", "k2", "text"]
     # only texts that lose words meet their windows
-    keys = saved(copies.unionByName(found.select("k1", "k2")), "keys")
+    with settings(docs.sparkSession, DROP_SHUFFLES):
+        keys = saved(copies.unionByName(found.select("k1", "k2")), "keys")
     rows = (pick_rows(d, copies, "left_semi").select(*columns, F.lit(True).alias("whole"), no_starts)
             .unionByName(pick_rows(d, found.select("k1", "k2"), "left_semi").join(found, ["k1", "k2"])
                          .select(*columns, F.lit(False).alias("whole"), "starts"))

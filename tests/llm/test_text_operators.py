@@ -144,6 +144,20 @@ def test_substrings_match_counting(spark, n):
     assert all(r.kept_sha256 == sha(r.kept) for r in got.collect())
 
 
+def test_substrings_leave_no_levels_on_the_disk(spark):
+    # only what the result reads stays: the levels and the shuffles that made them are gone
+    import glob
+    import os
+    from playlake.session import scratch_path
+    folder = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    rows = corpus(6, 30)
+    got = dedup_substrings(docs(spark, rows), n=7)
+    new = {os.path.basename(x).rsplit("-", 1)[0] for x in set(glob.glob(f"{folder}/*")) - before}
+    assert new == {"copies", "repeated", "keys"}
+    assert got.count() == len(rows)
+
+
 def _lines(rows, divisor=2):
     """dedup_lines in plain Python."""
     import hashlib
