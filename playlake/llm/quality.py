@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, non_empty, row_keys, saved, scratch, settings
-from .wordmodel import END, RUNS, SHARD_GRAMS, START, discounts, score_documents, windows
+from .common import BROADCAST_KEYS, non_empty, row_keys, saved, scratch
+from .wordmodel import END, RUNS, SHARD_GRAMS, START, block_words, discounts, score_documents, windows
 
-# Rows of one Arrow batch, so that a batch of long texts fits a Python worker.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 # One in so many trusted documents sets the thresholds and is not trained on.
 HOLD_OUT = 5
 # Languages with fewer held-out documents take the quantiles of all languages together.
@@ -24,8 +21,6 @@ MIN_HELD_OUT = 20
 FENCE = 3.0
 # No bound that is not a pure quantile rejects a smaller share of repeats (fixed value).
 REPEATS = 0.5
-# Distinct words a task holds.
-MAX_WORDS = 150_000
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -35,25 +30,19 @@ def word_grams(word: str, n: int) -> list[str]:
 
 
 def _gram_counts(n: int, distinct: bool):
+    """The character grams of the words of each block of the vocabulary: of all once, or of the training words with their counts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-
-        def flush():
-            joined, first, owner, keys = windows(list(words), n)
-            codes, _ = pd.factorize(keys)
-            seen = first[~pd.Series(codes).duplicated().to_numpy()]
-            grams = [joined[i:i + n] for i in seen.tolist()]
-            count = np.bincount(codes, np.array(list(words.values()), "float64")[owner], len(grams))
-            words.clear()
-            return pd.DataFrame({"gram": grams, "cnt": 1 if distinct else count.astype("int64")})
-
         for pdf in batches:
-            for text in pdf["text"]:
-                if text:
-                    words.update(text.split())
-                if len(words) > MAX_WORDS:
-                    yield flush()
-        yield flush()
+            for x, y in zip(pdf["x"], pdf["y"]):
+                words, count = block_words(x, y)
+                if not distinct:
+                    words = words[:np.count_nonzero(count)]
+                joined, first, owner, keys = windows(words, n)
+                codes, _ = pd.factorize(keys)
+                seen = first[~pd.Series(codes).duplicated().to_numpy()]
+                grams = [joined[i:i + n] for i in seen.tolist()]
+                total = np.bincount(codes, count[owner], len(grams))
+                yield pd.DataFrame({"gram": grams, "cnt": 1 if distinct else total.astype("int64")})
     return non_empty(run)
 
 
@@ -161,22 +150,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = 5, low: float
     train, held = _trusted_ids(labels)
     marked = (d.join(train.withColumn("trained", F.lit(True)), "id", "left")
               .withColumn("train", F.coalesce("trained", F.lit(False))).drop("trained"))
-    with scratch(d.sparkSession) as write:
-        with scratch(d.sparkSession) as within:
-            logs = write(_spelling(d, d.select("id", "text").join(train, "id", "left_semi"), order, within), "logs")
-        with settings(d.sparkSession, SMALL_BATCHES):
-            scores = score_documents(marked, logs, order, shard_grams)
+    scores = score_documents(marked, partial(_spelling, order), order, shard_grams)
     return _judged(scores, thresholds(scores.join(held, "id", "left_semi"), low, high))
 
 
-def _spelling(d: DataFrame, texts: DataFrame, order: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(gram, logp) of every character gram of the words of ``d`` (text), by a model of those of ``texts`` (text)."""
-    with settings(d.sparkSession, SMALL_BATCHES):
-        counts = texts.select("text").mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
-        model = kneser_ney(counts, order, write)
-        grams = d.select("text").mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
-        grams = write(grams.groupBy("gram").agg(F.count("*").alias("c")).select("gram"), "corpus-grams")
-    return gram_logs(grams, model, model[0][0].count())
+def _spelling(order: int, vocabulary: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(gram, logp) of every character gram of the words of ``vocabulary``, by a model of those of its training words."""
+    with scratch(vocabulary.sparkSession) as within:
+        counts = vocabulary.mapInPandas(_gram_counts(order, distinct=False), "gram string, cnt long")
+        model = kneser_ney(counts, order, within)
+        grams = vocabulary.mapInPandas(_gram_counts(order, distinct=True), "gram string, cnt long")
+        grams = within(grams.groupBy("gram").agg(F.count("*").alias("c")).select("gram"), "corpus-grams")
+        return write(gram_logs(grams, model, model[0][0].count()), "logs")
 
 
 # The scores that have an upper (True) or lower bound.
