@@ -328,3 +328,40 @@ def test_numbers_of_pairs_tell_all_pairs_apart():
         assert ((x + y) % shards == s).all()
         found |= set(zip(x.tolist(), y.tolist()))
     assert found == set(zip(a.tolist(), b.tolist()))
+
+
+def test_texts_are_packed_once_as_numbers_of_all_their_words(spark):
+    r = random.Random(8)
+    texts = ["", None, " a  b\x1fa\u2003\u00e9t\u00e9 \x85", "\n", *[" ".join(r.choice("abcdefgh") * r.randint(1, 12) for _ in range(30)) for _ in range(20)]]
+    rows = [(i, i, 0, "xx", t, i % 2 == 0) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "id long, k1 long, k2 long, lang string, text string, train boolean").coalesce(1)
+    out = d.mapInArrow(wordmodel._pack(400, 5, 3), wordmodel.PACKED).toPandas()
+    got = {}
+    for _, chunk in out[out["kind"] == wordmodel.TEXTS].iterrows():
+        words, count = [], []
+        for _, x in out[(out["kind"] == wordmodel.WORDS) & (out["chunk"] == chunk["chunk"])].sort_values("shard").iterrows():
+            words += wordmodel._strings(wordmodel._unzip(x["x"]), wordmodel._dec(x["y"])).to_pylist()
+            count += wordmodel._dec(x["z"]).tolist()
+        p = wordmodel._places(out[(out["kind"] == wordmodel.TEXTS) & (out["chunk"] == chunk["chunk"])])
+        assert len(set(words)) == len(words) and p.sizes.tolist() == [len(w) + 1 for w in words]
+        assert count == (np.bincount(p.code, minlength=len(words)) if chunk["train"] else np.zeros(len(words))).tolist()
+        for i, x in enumerate(wordmodel.pa.ipc.open_stream(chunk["x"]).read_all()["id"].to_pylist()):
+            got[x] = [words[c] for c in p.code[p.owner == i]]
+    assert got == {i: (t or "").split() for i, t in enumerate(texts)}
+
+
+def test_numbers_keep_their_values_when_packed():
+    for x in ([], [0], [0, 255, 256], [2 ** 62, 5], [-1, 3, -2 ** 63]):
+        assert wordmodel._dec(wordmodel._enc(np.array(x, "int64"))).tolist() == x
+
+
+def test_a_table_in_buckets_is_not_moved_again(spark):
+    with wordmodel.scratch(spark) as write:
+        table = write(spark.range(50).selectExpr("CAST(id % 7 AS INT) AS shard", "id"), "counts", "shard", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = spark.range(20).selectExpr("CAST(id % 7 AS INT) AS shard", "id")
+        import pandas as pd
+        out = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(
+            lambda a, b: pd.DataFrame({"n": [len(a)], "m": [len(b)]}), "n long, m long")
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        got = out.collect()
+        assert sum(x.n for x in got) == 20 and sum(x.m for x in got) == 50
