@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, sent_if_few
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,20 +14,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: each edge is re-hung from
     the smallest neighbour seen, so the diameter shrinks by a factor a
     round.  A hub meets its edges in a join, which is split when skewed,
-    and never in one group.  Each round's edges are written to the shared
+    and never in one group; of few edges the smallest neighbours are sent
+    to all tasks instead.  Each round's edges are written to the shared
     folder.  Self-loops and repeated edges do no harm.
     """
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
               "edges")
+    few = sent_if_few(e)
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select(
-            F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = both.where("v > u").join(few(low), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
+        # what an edge's two ends hang from now
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        e = saved(large.join(few(low), F.col("u") == F.col("x")).select(ends.alias("e")).select("e.u", "e.v")
+                  .where("u != v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

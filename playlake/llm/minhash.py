@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, arrow_rows, non_empty, row_keys, saved
+from .common import BROADCAST_KEYS, arrow_rows, non_empty, row_keys, saved, sent_if_few
 from .graph import connected_components
 from .words import BASE_A, BASE_B, WordHashes, mixed, windows
 
@@ -86,16 +86,21 @@ def _sets(words: int):
     return non_empty(run)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, ...) with i, the size of what their full sets share, and ok, whether that makes a link.
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """``pairs`` (a, b, ...) with i, the size of what their full sets share, and ok, whether that makes a link; written.
 
-    a may be a hub: its join is split when skewed.
+    ``few`` pairs go to the sets, and the two sets of each meet by the pair.
+    Else a may be a hub: its join is split when skewed.
     """
-    p = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-    p = p.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
+    left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    if few:
+        pairs = saved(pairs, "pairs")
+        p = right.join(F.broadcast(pairs), "b").join(left.join(F.broadcast(pairs.select("a", "b")), "a"), ["a", "b"])
+    else:
+        p = pairs.join(right, "b").join(left, "a")
     inter, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
     p = p.select(*pairs.columns, inter.alias("i"), total.alias("total"))
-    return p.withColumn("ok", F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).drop("total")
+    return saved(p.withColumn("ok", F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).drop("total"), "compared")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS,
@@ -147,10 +152,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
                  .mapInPandas(_sets(shingle_words), "cid long, shingles array<long>"), "sets")
 
     links = _links(members, keys.select("cid", "n"), sets, percent)
-    comp = connected_components(links).select(F.col("node").alias("cid"), "component")
+    comp = saved(connected_components(links).select(F.col("node").alias("cid"), "component"), "components")
+    few = sent_if_few(comp)
     # of the few classes that have links: the smallest id of each component
-    low = comp.join(classes.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("component_low"))
-    linked = comp.join(low, "component").select("cid", "component", "component_low")
+    low = classes.select("cid", "low").join(few(comp), "cid").groupBy("component").agg(F.min("low").alias("component_low"))
+    linked = few(comp.join(few(low), "component").select("cid", "component", "component_low"))
     named = (classes.select("c1", "c2", "n", "low", "cid").join(linked, "cid", "left")
              .select("c1", "c2", "n", F.coalesce("component", "cid").alias("group_id"),
                      F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_low"))
@@ -170,11 +176,13 @@ def _links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
              .groupBy("cid").agg(F.count("*").alias("alone")))
     shared = (sizes.join(alone, "cid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
               .where(F.col("s") * 100 >= F.col("n") * percent).select("cid", "n", "s"))
-    left = members.join(shared, "cid")
+    # tables by class, and by bucket, that are sent if they are small
+    classes, few = sent_if_few(sizes), sent_if_few(members)
+    left = members.join(classes(shared), "cid")
     many = left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    left = saved(left.join(many, "bucket"), "bucketed")
+    left = saved(left.join(few(many), "bucket"), "bucketed")
     degree = left.groupBy("cid").agg(F.sum("size").alias("degree"))
-    left = left.select("bucket", "cid", "n", "s").join(degree, "cid")
+    left = left.select("bucket", "cid", "n", "s").join(classes(degree), "cid")
     # the most that two sets can share still has to be enough
     def enough(most):
         return most * (100 + percent) >= (F.col("n") + F.col("m")) * percent
@@ -185,26 +193,25 @@ def _links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
         centre = (left.groupBy("bucket").agg(F.max(top).alias("c"))
                   .select("bucket", (-F.col("c.low")).alias("a"), F.col("c.degree").alias("da"), F.col("c.n").alias("m"),
                           F.col("c.s").alias("t")))
-        star = left.join(centre, "bucket").where(F.col("cid") != F.col("a"))
+        star = left.join(few(centre), "bucket").where(F.col("cid") != F.col("a"))
         star = saved(star.select("*", F.least("a", "cid").alias("x"), F.greatest("a", "cid").alias("y")), "star")
         pairs = (star.where(enough(F.least("s", "t"))).select("a", F.col("cid").alias("b"), "da", "x", "y")
                  .dropDuplicates(["x", "y"]))
         if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        new = saved(_compared(pairs, sets, percent), "compared")
+            pairs = pairs.join(few(tested), ["x", "y"], "left_anti")
+        new = _compared(pairs, sets, percent, few is F.broadcast)
         tested = new if tested is None else tested.unionByName(new)
         # members linked to one centre, or to centres linked to one, are connected
         own = tested.where("ok").groupBy("b").agg(F.max(F.struct("da", "a")).alias("c")).select("b", F.col("c.a").alias("a"))
         next_ = own.select(F.col("b").alias("a"), F.col("a").alias("up"))
-        own = own.join(next_, "a", "left").select(F.col("b").alias("cid"), F.coalesce("up", "a").alias("group"))
-        rest = (star.select("bucket", "cid", "n", "s", "degree", "x", "y").join(own, "cid", "left")
+        own = own.join(classes(next_), "a", "left").select(F.col("b").alias("cid"), F.coalesce("up", "a").alias("group"))
+        rest = (star.select("bucket", "cid", "n", "s", "degree", "x", "y").join(classes(own), "cid", "left")
                 .withColumn("group", F.coalesce("group", "cid")))
         apart = (rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"),
                                             F.count("*").alias("size")).where("lo < hi").select("bucket", "size"))
-        rest = saved(rest.join(apart, "bucket").join(tested.select("x", "y", "i"), ["x", "y"], "left").drop("x", "y"), "left")
-        work = (rest.select("bucket", "size").distinct()
-                .agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("pairs"),
-                     F.coalesce(F.sum("size"), F.lit(0)).alias("members")).first())
+        rest = saved(rest.join(few(apart), "bucket").join(few(tested.select("x", "y", "i")), ["x", "y"], "left").drop("x", "y"), "left")
+        # each member counts its bucket's members, itself among them
+        work = rest.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("pairs"), F.count("*").alias("members")).first()
         links = tested.where("ok").select("a", "b")
         if work["members"] == 0:
             return links
@@ -216,12 +223,12 @@ def _links(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
     most = F.when(known, F.least("i", "j") + F.least(F.col("s") - F.col("i"), F.col("t") - F.col("j"))).otherwise(F.least("s", "t"))
     # a pair is made in one of its buckets
     places = rest.groupBy("cid").agg(F.collect_set("bucket").alias("places"))
-    rest = rest.join(places, "cid")
+    rest = rest.join(classes(places), "cid")
     x = rest.select("bucket", F.col("cid").alias("a"), "n", "s", "i", F.col("group").alias("ga"), F.col("places").alias("pa"))
     y = rest.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("i").alias("j"),
                     F.col("group").alias("gb"), F.col("places").alias("pb"))
     pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))
                    & enough(F.least("s", "t")) & enough(most)
                    & (F.array_min(F.array_intersect("pa", "pb")) == x["bucket"]))
-    last = saved(_compared(pairs.select("a", "b"), sets, percent), "compared")
+    last = _compared(pairs.select("a", "b"), sets, percent)
     return links.unionByName(last.where("ok").select("a", "b"))

@@ -6,6 +6,7 @@ import pytest
 from brute import components, contaminated, cut_repeats, sha
 from pyspark.sql import functions as F
 
+from playlake.llm.common import settings
 from playlake.llm.contamination import contamination, proximity_matches
 from playlake.llm.lines import dedup_lines
 from playlake.llm.minhash import band_keys, near_duplicates, signature
@@ -65,6 +66,29 @@ def test_near_duplicates_defaults_are_five_words_and_0_8(spark):
     assert sorted(map(str, got)) == sorted(map(str, components(rows, 5, 80)))
 
 
+def test_near_duplicates_are_the_same_however_tables_are_joined(spark, monkeypatch):
+    rows = corpus(4)
+    monkeypatch.setattr("playlake.llm.common.FEW_ROWS", 0)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), 3, 85).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, components(rows, 3, 85)))
+
+
+def test_near_duplicates_move_few_tables(spark):
+    # every shuffle costs a task for each of its partitions, however few its rows are
+    sc = spark.sparkContext
+    sc.setJobGroup("near-duplicate-tasks", "")
+    try:
+        with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40",
+                              "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            near_duplicates(docs(spark, corpus(6)), 3, 85).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("near-duplicate-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert 0 < tasks <= 2_200, tasks
+
+
 def test_links_only_through_a_centre_are_kept(spark):
     # variants agree with the original (0.85 and more) but not with each other
     r = random.Random(5)
