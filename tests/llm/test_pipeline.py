@@ -2,9 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from brute import components, contaminated
 from pyspark.sql import functions as F
@@ -350,6 +353,36 @@ def test_texts_are_packed_once_as_numbers_of_all_their_words(spark):
     assert got == {i: (t or "").split() for i, t in enumerate(texts)}
 
 
+def test_a_chunk_is_scored_in_little_memory(monkeypatch):
+    # what a Python worker holds for a chunk at most, by the places of its words
+    r, enc, texts, places, words = np.random.default_rng(3), wordmodel._enc, 400, 200_000, 30_000
+    layout = wordmodel.Layout(4, 50_000)
+    ids = r.permutation(50_000)[:words]
+    monkeypatch.setattr(wordmodel, "_chunk_ids", lambda rows, shards: ids)
+    code = np.concatenate([np.arange(words), r.integers(0, words, places - words)])
+    out = wordmodel.io.BytesIO()
+    keys = pa.table({"id": range(texts), "k1": range(texts), "k2": range(texts), "lang": ["xx"] * texts})
+    with pa.ipc.new_stream(out, keys.schema) as writer:
+        writer.write_table(keys)
+    count = np.bincount(code, minlength=words)
+    frequent = wordmodel._rank(np.argsort(-count, kind="stable"))
+    packed = pd.DataFrame([(0, out.getvalue(), enc(np.full(texts, places // texts)), enc(frequent[code]), enc(count),
+                            enc(np.full(words, 7)))], columns=["chunk", "x", "y", "z", "w", "v"])
+    asked = list(wordmodel.Wants(wordmodel._places(packed), ids, layout).rows(0))
+    counts = lambda m: enc(np.repeat([[1], [9], [2], [1], [1]], m, axis=1).ravel())
+    rows = [(0, wordmodel.PAIRS, x[1], counts(len(wordmodel._dec(x[3]))), enc(np.ones(len(wordmodel._dec(x[5]))))) for x in asked]
+    rows += [(0, wordmodel.WORDS, i, counts(words // 4), enc(np.full(words // 4, -9.0).view("int64"))) for i in range(4)]
+    rows = pd.DataFrame(rows, columns=["chunk", "kind", "shard", "x", "y"])
+    stats = {"n1": 100, "n2": 50, "n3": 20, "n4": 10, "total": 10_000, "types": 2_000}
+    score = wordmodel._score_chunk(layout, {k: stats for k in (wordmodel.WORDS, wordmodel.PAIRS, wordmodel.TRIPLES)}, [0] * 5)
+    tracemalloc.start()
+    got = score(packed, rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == texts and (got["n"] == 7 * places // texts).all() and got["cost"].between(0, 9).all()
+    assert most < 200 * places, most / places
+
+
 def test_numbers_keep_their_values_when_packed():
     for x in ([], [0], [0, 255, 256], [2 ** 62, 5], [-1, 3, -2 ** 63]):
         assert wordmodel._dec(wordmodel._enc(np.array(x, "int64"))).tolist() == x
